@@ -9,7 +9,7 @@ listed once, in dependency order.
 
 from __future__ import annotations
 
-from aerokpi.params import TESTDATA
+from aerokpi.params import CHANNEL_SYNONYMS, DQ_CHECKS, TESTDATA, TIMES_OF_DAY, WEEKDAYS
 
 P = TESTDATA
 
@@ -77,6 +77,172 @@ FROM (SELECT flightnumber, CAST(flight_date AS DATE) AS flight_date, origin, des
 LEFT JOIN flight f ON a.flightnumber = f.flightnumber AND a.flight_date = CAST(f.flightdate AS DATE)""")
 
 
+
+# ---------------------------------------------------------------------------
+# SQL snippets
+# ---------------------------------------------------------------------------
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def canon(x: str) -> str:
+    return f"upper({strip(x)})"
+
+
+def idnorm(x: str) -> str:
+    return f"NULLIF(regexp_replace({strip(x)}, '[^0-9]', '', 'g'), '')"
+
+
+def channel(x: str) -> str:
+    k = f"lower({strip(x)})"
+    whens = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CHANNEL_SYNONYMS.items())
+    return f"CASE {k} {whens} ELSE {k} END"
+
+
+T, PRE, AT = ("revenue_per_booking_ticket", "revenue_per_booking_ancilliary_pre_check_in",
+              "revenue_per_booking_ancilliary_at_check_in")
+ZERO_TOTAL = f"COALESCE({T}, 0) + COALESCE({PRE}, 0) + COALESCE({AT}, 0)"
+ZERO_ANC = f"COALESCE({PRE}, 0) + COALESCE({AT}, 0)"
+RAW_COLS = ("bookingid_pnr, reservation_date, cancellation_date, flight_date, origin, destination, routing, "
+            f"flightnumber, CAST({T} AS DOUBLE) AS {T}, CAST({PRE} AS DOUBLE) AS {PRE}, "
+            f"CAST({AT} AS DOUBLE) AS {AT}, passengercount")
+R6 = 6  # rounding of averages, as on the Spark side
+
+
+def values(rows, cols) -> str:
+    body = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) t({', '.join(cols)})"
+
+
+rel("calendar", (), values([(d, i + 1) for i, d in enumerate(WEEKDAYS)], ("dow", "dow_ord")))
+rel("tod_spine", (), values([(t, i) for i, t in enumerate(TIMES_OF_DAY)], ("timeofday", "tod_ord")))
+
+rel("leg_anc", ("booking",), f"""
+SELECT flightnumber, CAST(flight_date AS DATE) AS flight_date, origin, destination, SUM({PRE} + {AT}) AS anc_rev
+FROM booking GROUP BY 1, 2, 3, 4""")
+
+rel("leg_revpp", ("leg",), "SELECT *, CASE WHEN pax > 0 THEN total_revenue / pax END AS rev_per_pax FROM leg")
+
+rel("leg_yield", ("leg_revpp",), f"""
+SELECT *, CAST(q5 - 1 AS DOUBLE) / 4.0 AS yield_index
+FROM (SELECT *, CAST(NTILE({P.yield_buckets}) OVER (PARTITION BY origin, destination
+        ORDER BY rev_per_pax ASC NULLS LAST, flight_date ASC NULLS LAST, flightnumber ASC NULLS LAST) AS INTEGER) AS q5
+      FROM leg_revpp) r""")
+
+rel("booking_clean", ("booking",), f"""
+SELECT bookingid_pnr, reservation_date, cancellation_date, flight_date,
+  {canon('origin')} AS origin, {canon('destination')} AS destination, routing, flightnumber, passengercount,
+  CAST({T} AS DOUBLE) AS {T}, CAST({PRE} AS DOUBLE) AS {PRE}, CAST({AT} AS DOUBLE) AS {AT},
+  {idnorm('bookingid_pnr')} AS bookingid_norm,
+  CAST({ZERO_TOTAL} AS DOUBLE) AS total_revenue,
+  {canon('origin')} || '-' || {canon('destination')} AS routing_canonical,
+  cancellation_date IS NOT NULL AS is_cancelled,
+  dayname(flight_date) AS flight_dow,
+  CAST(cancellation_date - reservation_date AS BIGINT) AS days_after_booking_to_cancel,
+  CAST(flight_date - cancellation_date AS BIGINT) AS days_before_flight_to_cancel,
+  CAST(flight_date - reservation_date AS BIGINT) AS lead_time_days,
+  CAST({ZERO_ANC} AS DOUBLE) AS ancillary_total
+FROM booking""")
+
+# canonical-O&D sums straight from the bookings, money summed exactly
+rel("seg_report", ("booking",), f"""
+SELECT {canon('origin')} AS origin, {canon('destination')} AS destination,
+  CAST(COUNT({idnorm('bookingid_pnr')}) AS BIGINT) AS bookings,
+  CAST(COUNT(cancellation_date) AS BIGINT) AS cancels,
+  CAST(COALESCE(SUM(passengercount), 0) AS BIGINT) AS pax,
+  CAST(SUM({ZERO_TOTAL}) AS DOUBLE) AS revenue,
+  CAST(SUM({ZERO_ANC}) AS DOUBLE) AS num
+FROM booking GROUP BY 1, 2""")
+
+rel("segment_kpis", ("seg_report",), """
+SELECT origin, destination, bookings, cancels, pax, revenue,
+  CASE WHEN bookings > 0 THEN CAST(cancels AS DOUBLE) / bookings END AS cancel_rate,
+  CASE WHEN pax > 0 THEN revenue / pax END AS rev_per_pax,
+  revenue AS denom, num,
+  CASE WHEN revenue > 0 THEN num / revenue END AS anc_share
+FROM seg_report""")
+
+rel("aseg", ("seg_report",), """
+SELECT origin, destination, revenue, num AS ancillary,
+  CASE WHEN revenue > 0 THEN num / revenue END AS aras, origin || '→' || destination AS od
+FROM seg_report""")
+
+rel("leg_report", ("booking", "flight"), f"""
+SELECT a.flightnumber, a.flight_date, a.origin, a.destination, a.pax, a.revenue, a.cancels,
+  f.availablecapacity, f.timeofday, f.routetype,
+  CASE WHEN f.availablecapacity > 0 THEN CAST(a.pax AS DOUBLE) / f.availablecapacity END AS load_factor,
+  CASE WHEN a.pax > 0 THEN a.revenue / a.pax END AS rev_per_pax,
+  dayname(a.flight_date) AS dow
+FROM (SELECT flightnumber, flight_date, {canon('origin')} AS origin, {canon('destination')} AS destination,
+        CAST(COALESCE(SUM(passengercount), 0) AS BIGINT) AS pax,
+        CAST(SUM({ZERO_TOTAL}) AS DOUBLE) AS revenue,
+        CAST(COUNT(cancellation_date) AS BIGINT) AS cancels
+      FROM booking GROUP BY 1, 2, 3, 4) a
+LEFT JOIN flight f ON a.flightnumber IS NOT DISTINCT FROM f.flightnumber
+                 AND a.flight_date IS NOT DISTINCT FROM f.flightdate""")
+
+rel("realized", ("booking",), """
+SELECT flightnumber, flight_date,
+  CAST(SUM(COALESCE(passengercount, 0) - CASE WHEN cancellation_date IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS realized_pax
+FROM booking WHERE flightnumber IS NOT NULL AND flight_date IS NOT NULL GROUP BY 1, 2""")
+
+rel("fwlf_dow", ("leg_report",), """
+SELECT dow, CASE WHEN SUM(availablecapacity) > 0 THEN CAST(SUM(pax) AS DOUBLE) / SUM(availablecapacity) END AS fwlf
+FROM leg_report WHERE dow IS NOT NULL GROUP BY 1""")
+
+rel("calf_dow", ("leg_report", "realized"), f"""
+SELECT l.dow, round(avg(CASE WHEN l.availablecapacity > 0 THEN CAST(r.realized_pax AS DOUBLE) / l.availablecapacity END), {R6}) AS calf
+FROM leg_report l LEFT JOIN realized r ON l.flightnumber = r.flightnumber AND l.flight_date = r.flight_date
+WHERE l.dow IS NOT NULL GROUP BY 1""")
+
+fo, fd = P.feeder_segment
+oo, od = P.onward_segment
+rel("pacs_dow", ("leg_report",), f"""
+SELECT l.dow, round(avg(CASE WHEN l.availablecapacity > 0 THEN
+   ((CASE WHEN l.origin = '{fo}' AND l.destination = '{fd}'
+          THEN l.revenue + {P.dow_connection_value_pct}::DOUBLE * COALESCE(o.onward_rev, 0.0) ELSE l.revenue END)
+    - l.availablecapacity * {P.dow_variable_cost_per_seat_leg}::DOUBLE) / CAST(l.availablecapacity AS DOUBLE) END), {R6}) AS pacs
+FROM leg_report l
+LEFT JOIN (SELECT dow, avg(revenue) AS onward_rev FROM leg_report
+           WHERE origin = '{oo}' AND destination = '{od}' AND dow IS NOT NULL GROUP BY 1) o USING (dow)
+WHERE l.dow IS NOT NULL GROUP BY 1""")
+
+rel("passenger_clean", ("passenger",), f"""
+SELECT *, {idnorm('bookingid')} AS bookingid_norm, {channel('booking_channel')} AS booking_channel_norm,
+  lower({strip('device_used')}) AS device_used_norm
+FROM passenger""")
+
+rel("pnr_channel", ("passenger_clean",), """
+SELECT bookingid_norm, arg_min(booking_channel_norm, ordinal) FILTER (WHERE booking_channel_norm IS NOT NULL) AS primary_channel
+FROM passenger_clean WHERE bookingid_norm IS NOT NULL GROUP BY 1""")
+
+rel("lf_long", ("leg_report",), f"""
+SELECT origin, destination, dow, round(avg(load_factor), {R6}) AS load_factor, origin || '→' || destination AS segment
+FROM leg_report WHERE dow IS NOT NULL GROUP BY 1, 2, 3""")
+
+rel("dq_booking", ("booking",), f"""
+SELECT {RAW_COLS}, {idnorm('bookingid_pnr')} AS bookingid_norm,
+  {canon('origin')} || '-' || {canon('destination')} AS routing_canonical,
+  CAST({ZERO_TOTAL} AS DOUBLE) AS total_revenue
+FROM booking""")
+
+rel("dq_leg", ("booking", "flight"), """
+SELECT a.flightnumber, a.flight_date, a.origin, a.destination, a.pax, f.flightdate, f.availablecapacity,
+  COALESCE(a.pax > f.availablecapacity, false) AND f.availablecapacity IS NOT NULL AS capacity_anomaly
+FROM (SELECT flightnumber, flight_date, origin, destination, CAST(COALESCE(SUM(passengercount), 0) AS BIGINT) AS pax
+      FROM booking GROUP BY 1, 2, 3, 4) a
+LEFT JOIN flight f ON a.flightnumber IS NOT DISTINCT FROM f.flightnumber
+                 AND a.flight_date IS NOT DISTINCT FROM f.flightdate""")
+
+rel("dq_passenger", ("passenger",), f"SELECT *, {idnorm('bookingid')} AS bookingid_norm FROM passenger")
+
+rel("dq_pnr", ("dq_passenger",), """
+SELECT bookingid_norm, COUNT(*) AS n,
+  COUNT(DISTINCT booking_channel) + MAX(CASE WHEN booking_channel IS NULL THEN 1 ELSE 0 END) AS n_channels,
+  COUNT(DISTINCT device_used) + MAX(CASE WHEN device_used IS NULL THEN 1 ELSE 0 END) AS n_devices
+FROM dq_passenger WHERE bookingid_norm IS NOT NULL GROUP BY 1""")
+
+
 def sql(final: str, *deps: str) -> str:
     """One statement: WITH <deps in dependency order> <final>."""
     order: list[str] = []
@@ -106,8 +272,220 @@ def q(name: str, final: str, *deps: str) -> None:
     ORACLE[name] = sql(final, *deps)
 
 
+def on_calendar(inner: str, cols: str) -> str:
+    return f"SELECT c.dow, {cols} FROM calendar c LEFT JOIN ({inner}) s USING (dow)"
+
+
+LEG_TIES = "flight_date ASC NULLS LAST, flightnumber ASC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST"
+
+# ---- sources / cleaning
+q("src_booking", f"SELECT {RAW_COLS} FROM booking", "booking")
+q("normalize_columns", f"SELECT {RAW_COLS} FROM booking", "booking")
+q("src_passenger", "SELECT * FROM passenger", "passenger")
+q("src_flight", "SELECT * FROM flight", "flight")
+q("booking_id_norm", f"SELECT bookingid_pnr, {idnorm('bookingid_pnr')} AS bookingid_norm FROM booking", "booking")
+SEGMENT = """SELECT origin, destination, CAST(SUM(pax) AS BIGINT) AS pax, CAST(SUM(seats) AS BIGINT) AS seats,
+  CAST(SUM(CAST(total_revenue AS DECIMAL(38,4))) AS DOUBLE) AS total_revenue FROM leg GROUP BY 1, 2"""
+q("segment", SEGMENT, "leg")
+q("segment_label", f"SELECT *, origin || '→' || destination AS segment FROM ({SEGMENT}) s", "leg")
+q("booking_clean", "SELECT * FROM booking_clean", "booking_clean")
+q("passenger_clean", "SELECT * FROM passenger_clean", "passenger_clean")
+q("pnr_channel", "SELECT * FROM pnr_channel", "pnr_channel")
+q("pnr_devices", """
+SELECT bookingid_norm,
+  COALESCE(list(device_used_norm ORDER BY first_ord) FILTER (WHERE device_used_norm IS NOT NULL), CAST([] AS VARCHAR[])) AS devices
+FROM (SELECT bookingid_norm, device_used_norm, MIN(ordinal) AS first_ord FROM passenger_clean
+      WHERE bookingid_norm IS NOT NULL GROUP BY 1, 2) d
+GROUP BY 1""", "passenger_clean")
+q("booking_enriched", """
+SELECT b.*, p.primary_channel FROM booking_clean b LEFT JOIN pnr_channel p ON b.bookingid_norm = p.bookingid_norm""",
+  "booking_clean", "pnr_channel")
+
+# ---- marts
 q("leg", "SELECT * FROM leg", "leg")
+q("leg_revpp", "SELECT * FROM leg_revpp", "leg_revpp")
+q("leg_yield_index", "SELECT * FROM leg_yield", "leg_yield")
+q("leg_report", "SELECT * FROM leg_report", "leg_report")
+
+# ---- core KPIs
+q("fwlf_overall", "SELECT CAST(SUM(pax) AS DOUBLE) / NULLIF(SUM(seats), 0) AS fwlf FROM leg", "leg")
 q("fwlf_by_segment", """
 SELECT origin, destination, CAST(SUM(pax) AS DOUBLE) / NULLIF(SUM(seats), 0) AS fwlf
 FROM leg GROUP BY 1, 2""", "leg")
-q("fwlf_overall", "SELECT CAST(SUM(pax) AS DOUBLE) / NULLIF(SUM(seats), 0) AS fwlf FROM leg", "leg")
+q("calf_overall", "SELECT CAST(SUM(pax) AS DOUBLE) / NULLIF(SUM(seats), 0) AS calf FROM leg", "leg")
+PACS = f"""
+SELECT flightnumber, flight_date, origin, destination, seats, total_revenue,
+  total_revenue * {P.connection_value_pct}::DOUBLE AS connection_value,
+  (total_revenue + total_revenue * {P.connection_value_pct}::DOUBLE - seats * {P.variable_cost_per_seat_leg}::DOUBLE)
+    / NULLIF(CAST(seats AS DOUBLE), 0) AS pacs_per_seat_leg
+FROM leg"""
+q("pacs_leg", PACS, "leg")
+q("pacs_top5", f"SELECT * FROM ({PACS}) p ORDER BY pacs_per_seat_leg DESC NULLS LAST, {LEG_TIES} LIMIT {P.top_pacs_print}", "leg")
+for _nm, _dir in (("pacs_top20", "DESC"), ("pacs_bottom20", "ASC")):
+    q(_nm, f"""
+SELECT flightnumber, flight_date, origin, destination, pacs_per_seat_leg,
+  origin || '→' || destination || ' ' || CAST(flight_date AS VARCHAR) AS label
+FROM ({PACS}) p ORDER BY pacs_per_seat_leg {_dir} NULLS LAST, {LEG_TIES} LIMIT {P.top_pacs_chart}""", "leg")
+q("yalf_overall", "SELECT CAST(SUM(pax * yield_index) AS DOUBLE) / NULLIF(CAST(SUM(seats) AS DOUBLE), 0) AS yalf FROM leg_yield", "leg_yield")
+q("aras_overall", f"""
+SELECT CAST(SUM(a.ancillary_rev) AS DOUBLE) / NULLIF(CAST(SUM(l.seats) AS DOUBLE), 0) AS aras
+FROM (SELECT flightnumber, CAST(flight_date AS DATE) AS flight_date, SUM({PRE} + {AT}) AS ancillary_rev
+      FROM booking GROUP BY 1, 2) a
+JOIN leg l USING (flightnumber, flight_date)""", "leg")
+q("srm_proxy", """
+SELECT CAST(SUM(pax) AS DOUBLE) / NULLIF(COUNT(DISTINCT flightnumber || '_' || CAST(flight_date AS VARCHAR)), 0)
+  AS passenger_legs_per_flight FROM leg""", "leg")
+q("mart_checks", f"""
+SELECT COUNT(*) FILTER (WHERE pax < 0) AS cnt_bad_pax,
+  COUNT(*) FILTER (WHERE seats IS NULL OR seats <= 0) AS cnt_bad_seats,
+  COUNT(*) FILTER (WHERE leg_lf < 0 OR leg_lf > {P.lf_upper_bound}) AS cnt_bad_lf
+FROM leg""", "leg")
+
+# ---- weekday KPIs
+q("fwlf_by_dow", on_calendar("SELECT * FROM fwlf_dow", "s.fwlf") + " ORDER BY c.dow_ord", "calendar", "fwlf_dow")
+q("calf_realized_by_dow", on_calendar("SELECT * FROM calf_dow", "s.calf") + " ORDER BY c.dow_ord", "calendar", "calf_dow")
+q("pacs_feeder_by_dow", on_calendar("SELECT * FROM pacs_dow", "s.pacs") + " ORDER BY c.dow_ord", "calendar", "pacs_dow")
+q("kpi_summary_by_dow", """
+SELECT c.dow, f.fwlf, p.pacs AS pacs_per_seat, k.calf FROM calendar c
+LEFT JOIN fwlf_dow f USING (dow) LEFT JOIN pacs_dow p USING (dow) LEFT JOIN calf_dow k USING (dow)
+ORDER BY c.dow_ord""", "calendar", "fwlf_dow", "pacs_dow", "calf_dow")
+q("fwlf_calf_by_dow", """
+SELECT c.dow, f.fwlf, k.calf FROM calendar c LEFT JOIN fwlf_dow f USING (dow) LEFT JOIN calf_dow k USING (dow)
+ORDER BY c.dow_ord""", "calendar", "fwlf_dow", "calf_dow")
+q("ancillary_share_top10", f"""
+SELECT * FROM aseg ORDER BY revenue DESC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST
+LIMIT {P.top_segments_aras}""", "aseg")
+q("network_avg_ancillary_share", f"SELECT round(avg(aras), {R6}) AS network_avg_ancillary_share FROM aseg", "aseg")
+
+# ---- exploration, SQL convention
+q("lf_by_time", f"SELECT timeofday, round(avg(leg_lf), {R6}) AS avg_lf FROM leg GROUP BY 1", "leg")
+q("lf_by_time_ordered", f"""
+SELECT t.timeofday, s.avg_lf FROM tod_spine t
+LEFT JOIN (SELECT timeofday, round(avg(leg_lf), {R6}) AS avg_lf FROM leg GROUP BY 1) s USING (timeofday)
+ORDER BY t.tod_ord""", "tod_spine", "leg")
+q("anc_share_segment", """
+SELECT a.origin, a.destination,
+  CAST(SUM(a.anc_rev) AS DOUBLE) / NULLIF(CAST(SUM(CAST(l.total_revenue AS DECIMAL(38,4))) AS DOUBLE), 0) AS anc_share
+FROM leg_anc a JOIN leg l ON a.flightnumber = l.flightnumber AND a.flight_date = l.flight_date
+GROUP BY 1, 2""", "leg_anc", "leg")
+q("cancel_rate_segment", f"""
+SELECT origin, destination,
+  round(avg(CASE WHEN pax + cancels > 0 THEN CAST(cancels AS DOUBLE) / (pax + cancels) END), {R6}) AS cancel_rate
+FROM leg GROUP BY 1, 2""", "leg")
+k = P.top_outliers
+q("low_lf_legs", f"""
+SELECT flightnumber, flight_date, origin, destination, leg_lf, total_revenue FROM leg
+ORDER BY leg_lf ASC NULLS LAST, {LEG_TIES} LIMIT {k}""", "leg")
+q("high_lf_legs", f"""
+SELECT flightnumber, flight_date, origin, destination, leg_lf, total_revenue FROM leg
+ORDER BY leg_lf DESC NULLS LAST, {LEG_TIES} LIMIT {k}""", "leg")
+q("high_yield_legs", f"""
+SELECT flightnumber, flight_date, origin, destination, rev_per_pax, leg_lf FROM leg_revpp
+ORDER BY rev_per_pax DESC NULLS LAST, {LEG_TIES} LIMIT {k}""", "leg_revpp")
+q("low_yield_legs", f"""
+SELECT flightnumber, flight_date, origin, destination, rev_per_pax, leg_lf FROM leg_revpp
+WHERE rev_per_pax IS NOT NULL ORDER BY rev_per_pax ASC, {LEG_TIES} LIMIT {k}""", "leg_revpp")
+q("scatter_lf_revpp", """
+SELECT flightnumber, flight_date, origin, destination, leg_lf, rev_per_pax FROM leg_revpp
+WHERE leg_lf IS NOT NULL AND rev_per_pax IS NOT NULL""", "leg_revpp")
+
+# ---- exploration, report convention
+q("cancellation_by_dow", """
+SELECT c.dow AS flight_dow, CAST(COALESCE(s.bookings, 0) AS BIGINT) AS bookings,
+  CAST(COALESCE(s.cancel_count, 0) AS BIGINT) AS cancel_count,
+  CASE WHEN s.bookings > 0 THEN CAST(s.cancel_count AS DOUBLE) / s.bookings END AS cancel_rate
+FROM calendar c LEFT JOIN (
+  SELECT flight_dow AS dow, COUNT(*) AS bookings, COUNT(*) FILTER (WHERE is_cancelled) AS cancel_count
+  FROM booking_clean WHERE flight_dow IS NOT NULL GROUP BY 1) s USING (dow)
+ORDER BY c.dow_ord""", "calendar", "booking_clean")
+for _col, _nm in (("days_after_booking_to_cancel", "cancel_days_after_booking"),
+                  ("days_before_flight_to_cancel", "cancel_days_before_flight")):
+    q(_nm, f"""
+SELECT {_col}, COUNT(*) AS count FROM booking_clean
+WHERE is_cancelled AND {_col} IS NOT NULL GROUP BY 1 ORDER BY 1""", "booking_clean")
+q("cancellation_by_channel", """
+SELECT p.primary_channel, CAST(SUM(b.n) AS BIGINT) AS bookings, CAST(SUM(b.c) AS BIGINT) AS cancels,
+  CASE WHEN SUM(b.n) > 0 THEN CAST(SUM(b.c) AS DOUBLE) / SUM(b.n) END AS cancel_rate
+FROM (SELECT bookingid_norm, COUNT(*) AS n, COUNT(cancellation_date) AS c FROM booking_clean
+      WHERE bookingid_norm IS NOT NULL GROUP BY 1) b
+JOIN pnr_channel p USING (bookingid_norm)
+WHERE p.primary_channel IS NOT NULL GROUP BY 1""", "booking_clean", "pnr_channel")
+q("lf_by_dow", on_calendar(f"""
+SELECT dayname(flight_date) AS dow, round(avg(load), {R6}) AS avg_load_factor
+FROM (SELECT flight_date, avg(load_factor) AS load FROM leg_report WHERE flight_date IS NOT NULL GROUP BY 1) d
+GROUP BY 1""", "s.avg_load_factor") + " ORDER BY c.dow_ord", "calendar", "leg_report")
+q("lf_by_time_of_day", f"""
+SELECT timeofday, round(avg(load_factor), {R6}) AS avg_load_factor FROM leg_report
+WHERE timeofday IS NOT NULL GROUP BY 1""", "leg_report")
+q("lf_segment_dow_long", "SELECT * FROM lf_long", "lf_long")
+q("lf_segment_dow_wide", """
+PIVOT (SELECT dow, segment, load_factor FROM lf_long WHERE load_factor IS NOT NULL)
+ON segment USING first(load_factor) GROUP BY dow""", "lf_long")
+q("segment_kpis", "SELECT * FROM segment_kpis", "segment_kpis")
+q("anc_share_top_segments", f"""
+SELECT *, origin || '→' || destination AS od FROM segment_kpis
+ORDER BY revenue DESC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST LIMIT {P.top_segments_chart}""",
+  "segment_kpis")
+q("directional_imbalance", f"""
+SELECT s.origin, s.destination, round(s.load_factor, {R6}) AS load_factor,
+  round(r.load_factor, {R6}) AS load_factor_rev, round(s.load_factor - r.load_factor, {R6}) AS lf_diff_vs_reverse
+FROM (SELECT origin, destination, avg(load_factor) AS load_factor FROM leg_report GROUP BY 1, 2) s
+LEFT JOIN (SELECT origin, destination, avg(load_factor) AS load_factor FROM leg_report GROUP BY 1, 2) r
+  ON s.origin = r.destination AND s.destination = r.origin""", "leg_report")
+q("rev_lf_correlation", f"""
+SELECT CASE WHEN COUNT(*) > {P.min_corr_pairs} THEN round(corr(load_factor, rev_per_pax), {R6}) END AS rev_lf_corr
+FROM leg_report WHERE load_factor IS NOT NULL AND rev_per_pax IS NOT NULL""", "leg_report")
+q("cancel_timing_stats", f"""
+SELECT round(CAST(quantile_cont(days_after_booking_to_cancel, 0.5) AS DOUBLE), {R6}) AS median_days_after_booking,
+  round(CAST(quantile_cont(days_after_booking_to_cancel, 0.9) AS DOUBLE), {R6}) AS p90_days_after_booking,
+  round(CAST(quantile_cont(days_before_flight_to_cancel, 0.5) AS DOUBLE), {R6}) AS median_days_before_flight,
+  round(CAST(quantile_cont(days_before_flight_to_cancel, 0.9) AS DOUBLE), {R6}) AS p90_days_before_flight
+FROM booking_clean WHERE is_cancelled""", "booking_clean")
+q("last_minute_share", f"""
+SELECT round(avg(CASE WHEN COALESCE(days_before_flight_to_cancel <= {P.last_minute_days}, false) THEN 1.0 ELSE 0.0 END), {R6})
+  AS last_minute_share
+FROM booking_clean WHERE is_cancelled""", "booking_clean")
+
+# ---- data quality
+_RQ = "replace(upper(routing), ' ', '')"
+_O, _D = "replace(upper(origin), ' ', '')", "replace(upper(destination), ' ', '')"
+DQ_BOOKING_PRED = {
+    "canceled_with_checkin_ancillary": f"cancellation_date IS NOT NULL AND COALESCE({AT} > 0, false)",
+    "cancellation_before_reservation": "COALESCE(cancellation_date < reservation_date, false)",
+    "reservation_after_flight": "COALESCE(reservation_date > flight_date, false)",
+    "revenue_with_zero_passengers": "COALESCE(passengercount = 0 AND total_revenue > 0, false)",
+    "negative_revenue_fields": " OR ".join(f"COALESCE({c} < 0, false)" for c in (T, PRE, AT)),
+    "negative_passengers": "COALESCE(passengercount < 0, false)",
+    "routing_inconsistent_with_od": f"NOT COALESCE({_RQ} = {_O} || '-' || {_D} OR {_RQ} = {_O} || '→' || {_D}, false)",
+    "cancellation_with_positive_pax": "cancellation_date IS NOT NULL AND COALESCE(passengercount > 0, false)",
+    "missing_flight_date": "flight_date IS NULL",
+}
+DQ_BODY: dict[str, tuple[str, tuple[str, ...]]] = {}
+for _n, _pred in DQ_BOOKING_PRED.items():
+    DQ_BODY[_n] = (f"SELECT * FROM dq_booking WHERE {_pred}", ("dq_booking",))
+DQ_BODY["same_booking_multiple_channels"] = (
+    "SELECT * FROM dq_passenger WHERE bookingid_norm IN (SELECT bookingid_norm FROM dq_pnr WHERE n_channels > 1)",
+    ("dq_passenger", "dq_pnr"))
+DQ_BODY["same_booking_multiple_devices"] = (
+    "SELECT * FROM dq_passenger WHERE bookingid_norm IN (SELECT bookingid_norm FROM dq_pnr WHERE n_devices > 1)",
+    ("dq_passenger", "dq_pnr"))
+DQ_BODY["pax_exceeds_capacity"] = ("SELECT * FROM dq_leg WHERE capacity_anomaly", ("dq_leg",))
+DQ_BODY["missing_capacity_for_leg"] = ("SELECT * FROM dq_leg WHERE availablecapacity IS NULL", ("dq_leg",))
+DQ_BODY["capacity_out_of_range"] = (
+    f"SELECT * FROM dq_leg WHERE availablecapacity IS NOT NULL AND "
+    f"(availablecapacity < {P.capacity_min} OR availablecapacity > {P.capacity_max})", ("dq_leg",))
+DQ_BODY["duplicate_legs_within_pnr"] = ("""
+SELECT * EXCLUDE (dup_n) FROM (
+  SELECT *, COUNT(*) OVER (PARTITION BY bookingid_norm, flightnumber, flight_date, origin, destination) AS dup_n
+  FROM dq_booking) d WHERE dup_n > 1""", ("dq_booking",))
+
+for _n in DQ_CHECKS:
+    _body, _deps = DQ_BODY[_n]
+    q(f"dq_{_n}", _body, *_deps)
+
+_all_deps = sorted({d for _b, ds in DQ_BODY.values() for d in ds})
+_union = "\nUNION ALL ".join(
+    f"SELECT '{n}' AS \"check\", {i} AS ord, CAST(COUNT(*) AS BIGINT) AS \"count\" FROM ({DQ_BODY[n][0]}) x"
+    for i, n in enumerate(DQ_CHECKS)
+)
+q("dq_summary", f'SELECT "check", "count" FROM ({_union}) u ORDER BY "count" DESC, ord', *_all_deps)

@@ -61,6 +61,7 @@ class Warehouse:
         self.root = root  # None: keep everything lazy (tests, small inputs)
         self.params = params
         self._done: dict[str, DataFrame] = {}
+        self.sf_dir: str | None = None
 
     @classmethod
     def for_testdata(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
@@ -78,6 +79,7 @@ class Warehouse:
                     "flight": lambda w: conform(normalize_columns(adapter.flight_sheet(w.booking())), "flight"),
                 }
                 wh = cls(spark, builders, root)
+                wh.sf_dir = sf_dir
                 _INSTANCES[key] = wh
             return wh
 

@@ -489,3 +489,106 @@ _union = "\nUNION ALL ".join(
     for i, n in enumerate(DQ_CHECKS)
 )
 q("dq_summary", f'SELECT "check", "count" FROM ({_union}) u ORDER BY "count" DESC, ord', *_all_deps)
+
+# ---- insights (R-20): each rule a 0/1-row SELECT over the tables above
+from aerokpi.operators.insights import TEMPLATES, template_parts  # noqa: E402
+
+def _table(name: str) -> str:
+    """Name of a relation holding the oracle result of query ``name``."""
+    rn = f"t_{name}"
+    if rn not in REL:
+        text = ORACLE[name]
+        # the statement is "WITH ctes... final"; as a relation, wrap it whole
+        REL[rn] = ((), text)
+    return rn
+
+
+def _fmt_sql(x: str, kind: str | None) -> str:
+    if kind == "pct":
+        return f"(printf('%.1f', round_even(CAST({x} AS DOUBLE) * 100.0, 1)) || '%')"
+    if kind == "int":
+        return f"CAST(CAST(round_even(CAST({x} AS DOUBLE), 0) AS BIGINT) AS VARCHAR)"
+    if kind == "2f":
+        return f"printf('%.2f', round_even(CAST({x} AS DOUBLE), 2))"
+    return f"CAST({x} AS VARCHAR)"
+
+
+def render_sql(template: str, cols: dict) -> str:
+    parts = []
+    for lit, name, kind in template_parts(template):
+        if lit:
+            parts.append("'" + lit.replace("'", "''") + "'")
+        if name:
+            parts.append(_fmt_sql(cols[name], kind))
+    return " || ".join(parts)
+
+
+_WD = "[" + ", ".join(f"'{d}'" for d in WEEKDAYS) + "]"
+_I = {n: _table(n) for n in ("cancellation_by_dow", "cancellation_by_channel", "lf_by_dow", "lf_by_time_of_day",
+                             "rev_lf_correlation", "directional_imbalance", "anc_share_top_segments",
+                             "cancel_timing_stats", "last_minute_share")}
+_TT = TEMPLATES
+
+
+def _rule(rule, frm, subject="NULL", value="NULL", value2="NULL", text="NULL"):
+    return (f"SELECT '{rule}' AS rule, CAST({subject} AS VARCHAR) AS subject, CAST({value} AS DOUBLE) AS value, "
+            f"CAST({value2} AS DOUBLE) AS value2, {text} AS text FROM {frm}")
+
+
+_cdow = f"(SELECT *, list_position({_WD}, flight_dow) AS ord FROM {_I['cancellation_by_dow']})"
+_ncancel = "(SELECT COUNT(cancellation_date) AS n_cancel FROM booking)"
+_rules = [
+    _rule("A", f"(SELECT string_agg(flight_dow, ', ' ORDER BY ord) AS days, COUNT(*) AS n FROM {_cdow} z "
+               f"WHERE cancel_count = 0 HAVING COUNT(*) > 0) a",
+          "days", "n", "NULL", render_sql(_TT["A"], {"days": "days"})),
+    _rule("B", f"(SELECT * FROM (SELECT * FROM {_cdow} z ORDER BY COALESCE(cancel_rate, -1.0) DESC, ord LIMIT 1) t "
+               f"WHERE cancel_rate IS NOT NULL) b",
+          "flight_dow", "cancel_rate", "NULL", render_sql(_TT["B"], {"dow": "flight_dow", "rate": "cancel_rate"})),
+]
+for _r, _m, _p in (("C", "median_days_after_booking", "p90_days_after_booking"),
+                   ("D", "median_days_before_flight", "p90_days_before_flight")):
+    _rules.append(_rule(_r, f"(SELECT * FROM {_I['cancel_timing_stats']}, {_ncancel} n WHERE n_cancel > 0 "
+                            f"AND {_m} IS NOT NULL AND {_p} IS NOT NULL) t",
+                        "NULL", _m, _p, render_sql(_TT[_r], {"med": _m, "p90": _p})))
+_rules.append(_rule(
+    "E", f"(SELECT * FROM (SELECT * FROM {_I['cancellation_by_channel']} WHERE bookings > {P.channel_min_bookings} "
+         f"ORDER BY cancel_rate DESC NULLS LAST, primary_channel ASC NULLS LAST LIMIT 1) t WHERE cancel_rate IS NOT NULL) e",
+    "primary_channel", "cancel_rate", "NULL", render_sql(_TT["E"], {"channel": "primary_channel", "rate": "cancel_rate"})))
+
+
+def _extremes_sql(tbl: str, key: str, val: str, order: str) -> str:
+    lo = f"(SELECT {key} AS low, {val} AS low_v FROM {tbl} WHERE {val} IS NOT NULL ORDER BY {val} ASC, {order} LIMIT 1)"
+    hi = f"(SELECT {key} AS high, {val} AS high_v FROM {tbl} WHERE {val} IS NOT NULL ORDER BY {val} DESC, {order} LIMIT 1)"
+    return f"(SELECT * FROM {lo} lo, {hi} hi)"
+
+
+_ext_cols = {k: k for k in ("low", "low_v", "high", "high_v")}
+_rules.append(_rule("F", _extremes_sql(f"(SELECT *, list_position({_WD}, dow) AS ord FROM {_I['lf_by_dow']})",
+                                       "dow", "avg_load_factor", "ord") + " f",
+                    "low || ' / ' || high", "low_v", "high_v", render_sql(_TT["F"], _ext_cols)))
+_rules.append(_rule("G", _extremes_sql(_I["lf_by_time_of_day"], "timeofday", "avg_load_factor", "timeofday") + " g",
+                    "low || ' / ' || high", "low_v", "high_v", render_sql(_TT["G"], _ext_cols)))
+_rules.append(_rule(
+    "H", f"(SELECT * FROM {_I['rev_lf_correlation']} WHERE rev_lf_corr IS NOT NULL) h", "NULL", "rev_lf_corr", "NULL",
+    f"CASE WHEN rev_lf_corr < {P.correlation_cut} THEN {render_sql(_TT['H_low'], {'corr': 'rev_lf_corr'})} "
+    f"ELSE {render_sql(_TT['H_high'], {'corr': 'rev_lf_corr'})} END"))
+_rules.append(_rule(
+    "I", f"(SELECT * FROM {_I['directional_imbalance']} ORDER BY abs(lf_diff_vs_reverse) DESC NULLS LAST, "
+         f"origin ASC NULLS LAST, destination ASC NULLS LAST LIMIT 1) i",
+    "origin || '→' || destination", "lf_diff_vs_reverse", "NULL",
+    render_sql(_TT["I"], {"origin": "origin", "destination": "destination", "diff": "lf_diff_vs_reverse"})))
+_ties = "revenue DESC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST"
+_tops = _I["anc_share_top_segments"]
+_rules.append(_rule(
+    "J", f"(SELECT * FROM (SELECT origin AS low_o, destination AS low_d, anc_share AS low_v FROM {_tops} "
+         f"ORDER BY anc_share ASC NULLS LAST, {_ties} LIMIT 1) lo, "
+         f"(SELECT origin AS high_o, destination AS high_d, anc_share AS high_v FROM {_tops} "
+         f"ORDER BY anc_share DESC NULLS LAST, {_ties} LIMIT 1) hi) j",
+    "low_o || '→' || low_d || ' / ' || high_o || '→' || high_d", "low_v", "high_v",
+    render_sql(_TT["J"], {k: k for k in ("low_o", "low_d", "low_v", "high_o", "high_d", "high_v")})))
+_rules.append(_rule("K", f"(SELECT * FROM {_I['last_minute_share']}, {_ncancel} n WHERE n_cancel > 0) k",
+                    "NULL", "last_minute_share", "NULL", render_sql(_TT["K"], {"share": "last_minute_share"})))
+_rules.append(_rule("L", "(SELECT 1) l", text="'" + _TT["L"].replace("'", "''") + "'"))
+
+q("insights", "SELECT * FROM (\n" + "\nUNION ALL\n".join(f"({r})" for r in _rules) + "\n) u ORDER BY rule",
+  "booking", *_I.values())

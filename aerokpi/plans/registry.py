@@ -361,3 +361,11 @@ for _n in DQ_CHECKS:
 @query("dq_summary")
 def _dq_summary(w: Warehouse) -> DataFrame:
     return dq.dq_summary(w.booking(), w.passenger(), _dq_leg(w), w.params)
+
+
+# ---- insights -----------------------------------------------------------------------
+@query("insights")
+def _insights(w: Warehouse) -> DataFrame:
+    from aerokpi.operators.insights import insights
+
+    return insights(w.spark, w.booking(), w.passenger(), w.leg_base(), w.leg_report(), w.params)

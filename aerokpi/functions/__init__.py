@@ -7,6 +7,10 @@ from aerokpi.functions.columns import (  # noqa: F401
     device_norm,
     exact_money_sum,
     money,
+    money_total,
+    money_units,
+    units_sum,
+    units_to_money,
     nulls_as_zero_sum,
     ratio,
     routing_key,

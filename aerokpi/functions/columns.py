@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerokpi.params import CHANNEL_SYNONYMS, MONEY_SUM_TYPE, MONEY_TYPE, SEGMENT_ARROW
+from aerokpi.params import CHANNEL_SYNONYMS, MONEY_SUM_TYPE, MONEY_TYPE, MONEY_UNITS, SEGMENT_ARROW
 
 
 def _c(x) -> Column:
@@ -91,6 +91,36 @@ def nulls_as_zero_sum(*cols) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(_c(c), F.lit(0)) for c in cols])
 
 
+def money_units(x) -> Column:
+    """Exact BIGINT count of 1e-4 units of a money amount (null stays null).
+
+    ``rint`` is exact here: x * 1e4 is within one ulp of an integer for
+    any amount below 9e11 with at most four decimals.
+    """
+    return F.rint(_c(x) * F.lit(float(MONEY_UNITS))).cast("bigint")
+
+
+def units_to_money(u) -> Column:
+    """BIGINT / DECIMAL units -> DOUBLE amount, correctly rounded."""
+    return _c(u).cast("double") / F.lit(float(MONEY_UNITS))
+
+
+def money_total(*cols, nulls_as_zero: bool = True) -> Column:
+    """Row-wise exact sum of money columns, as units.
+
+    ``nulls_as_zero=False`` propagates a null part to a null total.
+    """
+    us = [money_units(c) for c in cols]
+    if nulls_as_zero:
+        us = [F.coalesce(u, F.lit(0)) for u in us]
+    return reduce(lambda a, b: a + b, us)
+
+
+def units_sum(u) -> Column:
+    """Overflow-safe SUM of unit counts across many rows (DECIMAL(38,0))."""
+    return F.sum(_c(u).cast("decimal(38,0)"))
+
+
 def exact_money_sum(x) -> Column:
     """SUM of money done in exact decimal arithmetic, returned as DOUBLE.
 

@@ -10,7 +10,8 @@ from aerokpi.functions import (
     canon_code,
     channel_norm,
     device_norm,
-    nulls_as_zero_sum,
+    money_total,
+    units_to_money,
     weekday_name,
     whole_days,
 )
@@ -21,24 +22,19 @@ from aerokpi.sources.schema import ANCILLARY_COLS, REVENUE_COLS
 def booking_clean(booking: DataFrame) -> DataFrame:
     """R-1: typed bookings with canonical O&D and derived columns.
 
-    Money columns are returned as DOUBLE (computed exactly, converted once).
+    Totals are summed exactly (in 1e-4 units) and converted once.
     """
-    bc = [c for c in booking.columns if c not in REVENUE_COLS]
     return booking.select(
-        *[
-            canon_code(c).alias(c) if c in ("origin", "destination") else F.col(c)
-            for c in bc
-        ],
-        *[F.col(c).cast("double").alias(c) for c in REVENUE_COLS],
+        *[canon_code(c).alias(c) if c in ("origin", "destination") else F.col(c) for c in booking.columns],
         booking_id_norm("bookingid_pnr").alias("bookingid_norm"),
-        nulls_as_zero_sum(*REVENUE_COLS).cast("double").alias("total_revenue"),
+        units_to_money(money_total(*REVENUE_COLS)).alias("total_revenue"),
         F.concat(canon_code("origin"), F.lit(ROUTING_DASH), canon_code("destination")).alias("routing_canonical"),
         F.col("cancellation_date").isNotNull().alias("is_cancelled"),
         weekday_name("flight_date").alias("flight_dow"),
         whole_days("cancellation_date", "reservation_date").alias("days_after_booking_to_cancel"),
         whole_days("flight_date", "cancellation_date").alias("days_before_flight_to_cancel"),
         whole_days("flight_date", "reservation_date").alias("lead_time_days"),
-        nulls_as_zero_sum(*ANCILLARY_COLS).cast("double").alias("ancillary_total"),
+        units_to_money(money_total(*ANCILLARY_COLS)).alias("ancillary_total"),
     )
 
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerokpi.functions import booking_id_norm, canon_code, nulls_as_zero_sum, routing_key
+from aerokpi.functions import booking_id_norm, canon_code, money_total, routing_key, units_to_money
 from aerokpi.params import DEFAULT, DQ_CHECKS, ROUTING_DASH, SEGMENT_ARROW, KpiParams
 from aerokpi.sources.schema import REVENUE_COLS
 
@@ -41,12 +41,11 @@ def _false_if_null(c) -> F.Column:
 def dq_booking(booking: DataFrame) -> DataFrame:
     """Bookings as the checks see them: raw codes, money as DOUBLE, plus the
     normalised PNR, canonical routing and the zero-filled total revenue."""
-    keep = [F.col(c).cast("double").alias(c) if c in REVENUE_COLS else F.col(c) for c in booking.columns]
     return booking.select(
-        *keep,
+        *booking.columns,
         booking_id_norm("bookingid_pnr").alias("bookingid_norm"),
         F.concat(canon_code("origin"), F.lit(ROUTING_DASH), canon_code("destination")).alias("routing_canonical"),
-        nulls_as_zero_sum(*REVENUE_COLS).cast("double").alias("total_revenue"),
+        units_to_money(money_total(*REVENUE_COLS)).alias("total_revenue"),
     )
 
 

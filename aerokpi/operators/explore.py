@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerokpi.functions import booking_id_norm, canon_code, ratio, segment_label
+from aerokpi.functions import booking_id_norm, canon_code, money_units, ratio, segment_label, units_sum, units_to_money
 from aerokpi.operators.clean import booking_clean, pnr_channel
 from aerokpi.operators.marts import leg_anc, leg_revpp
 from aerokpi.params import DEFAULT, TIMES_OF_DAY, WEEKDAYS, KpiParams
@@ -64,8 +64,8 @@ def anc_share_segment(base: DataFrame, leg: DataFrame) -> DataFrame:
     j = a.join(lg, (F.col("a.flightnumber") == F.col("l.flightnumber")) & (F.col("a.flight_date") == F.col("l.flight_date")))
     return j.groupBy(F.col("a.origin").alias("origin"), F.col("a.destination").alias("destination")).agg(
         ratio(
-            F.sum("a.anc_rev").cast("double"),
-            F.sum(F.col("l.total_revenue").cast("decimal(38,4)")).cast("double"),
+            units_to_money(units_sum("a.anc_rev_u")),
+            units_to_money(units_sum(money_units("l.total_revenue"))),
         ).alias("anc_share")
     )
 
@@ -202,8 +202,8 @@ def segment_kpis(base: DataFrame) -> DataFrame:
         F.sum("n_ids").cast("bigint").alias("bookings"),
         F.sum("cancels").cast("bigint").alias("cancels"),
         F.coalesce(F.sum("pax_sum"), F.lit(0)).cast("bigint").alias("pax"),
-        F.sum("revenue_all").cast("double").alias("revenue"),
-        F.sum("anc_all").cast("double").alias("num"),
+        units_to_money(units_sum("revenue_all_u")).alias("revenue"),
+        units_to_money(units_sum("anc_all_u")).alias("num"),
     )
     return s.select(
         "origin", "destination", "bookings", "cancels", "pax", "revenue",
@@ -281,8 +281,8 @@ def last_minute_share(booking: DataFrame, params: KpiParams = DEFAULT) -> DataFr
 def ancillary_share_by_segment(base: DataFrame) -> DataFrame:
     """R-17: ancillary / revenue per canonical O&D (report convention)."""
     s = base.groupBy(canon_code("origin").alias("origin"), canon_code("destination").alias("destination")).agg(
-        F.sum("revenue_all").cast("double").alias("revenue"),
-        F.sum("anc_all").cast("double").alias("ancillary"),
+        units_to_money(units_sum("revenue_all_u")).alias("revenue"),
+        units_to_money(units_sum("anc_all_u")).alias("ancillary"),
     )
     return s.withColumn("aras", F.when(F.col("revenue") > 0, ratio("ancillary", "revenue"))).withColumn(
         "od", segment_label()

@@ -9,9 +9,10 @@ need, in both null conventions:
   and an all-null sum stays null;
 * report convention: null parts count as zero, an all-null sum is zero.
 
-All money sums are exact decimals, so re-aggregating the base at a coarser
-grain (date-truncated keys, canonical O&D codes, flight + date) gives the
-same numbers as aggregating the bookings directly. Partial aggregation
+All money sums are exact BIGINT counts of 1e-4 units (``*_u`` columns), so
+re-aggregating the base at a coarser grain (date-truncated keys, canonical
+O&D codes, flight + date) gives the same numbers as aggregating the
+bookings directly, and the hot aggregation stays on primitive longs. Partial aggregation
 runs map-side, so the shuffle carries at most (legs x partitions) rows.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerokpi.functions import booking_id_norm, canon_code, nulls_as_zero_sum, ratio, weekday_name
+from aerokpi.functions import booking_id_norm, canon_code, money_total, money_units, ratio, units_sum, units_to_money, weekday_name
 from aerokpi.params import DEFAULT, KpiParams
 from aerokpi.sources.schema import ANCILLARY_COLS, REVENUE_COLS
 
@@ -29,17 +30,15 @@ LEG_KEYS = ["flightnumber", "flight_date", "origin", "destination"]
 
 
 def leg_base(booking: DataFrame) -> DataFrame:
-    rev = [F.col(c) for c in REVENUE_COLS]
-    anc = [F.col(c) for c in ANCILLARY_COLS]
     return booking.groupBy(*LEG_KEYS).agg(
         F.sum("passengercount").alias("pax_sum"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count(booking_id_norm("bookingid_pnr")).alias("n_ids"),
         F.count("cancellation_date").alias("cancels"),
-        F.sum(rev[0] + rev[1] + rev[2]).alias("revenue_sql"),
-        F.sum(nulls_as_zero_sum(*rev)).alias("revenue_all"),
-        F.sum(anc[0] + anc[1]).alias("anc_sql"),
-        F.sum(nulls_as_zero_sum(*anc)).alias("anc_all"),
+        F.sum(money_total(*REVENUE_COLS, nulls_as_zero=False)).alias("revenue_sql_u"),
+        F.sum(money_total(*REVENUE_COLS)).alias("revenue_all_u"),
+        F.sum(money_total(*ANCILLARY_COLS, nulls_as_zero=False)).alias("anc_sql_u"),
+        F.sum(money_total(*ANCILLARY_COLS)).alias("anc_all_u"),
     )
 
 
@@ -61,7 +60,7 @@ def leg(base: DataFrame, flight: DataFrame) -> DataFrame:
     a = leg_sql_grain(base).select(
         *LEG_KEYS,
         F.col("pax_sum").alias("pax"),
-        F.col("revenue_sql").cast("double").alias("total_revenue"),
+        units_to_money("revenue_sql_u").alias("total_revenue"),
         F.col("cancels"),
     )
     f = flight.select(
@@ -82,7 +81,7 @@ def segment(leg_df: DataFrame) -> DataFrame:
     return leg_df.groupBy("origin", "destination").agg(
         F.sum("pax").alias("pax"),
         F.sum("seats").cast("bigint").alias("seats"),
-        F.sum(F.col("total_revenue").cast("decimal(38,4)")).cast("double").alias("total_revenue"),
+        units_to_money(units_sum(money_units("total_revenue"))).alias("total_revenue"),
     )
 
 
@@ -112,8 +111,8 @@ def leg_yield_index(leg_df: DataFrame, params: KpiParams = DEFAULT) -> DataFrame
 
 
 def leg_anc(base: DataFrame) -> DataFrame:
-    """Ancillary revenue per SQL leg (null-propagating parts), exact decimal."""
-    return leg_sql_grain(base).select(*LEG_KEYS, F.col("anc_sql").alias("anc_rev"))
+    """Ancillary revenue per SQL leg (null-propagating parts), exact units."""
+    return leg_sql_grain(base).select(*LEG_KEYS, F.col("anc_sql_u").alias("anc_rev_u"))
 
 
 def leg_report(base: DataFrame, flight: DataFrame) -> DataFrame:
@@ -128,7 +127,7 @@ def leg_report(base: DataFrame, flight: DataFrame) -> DataFrame:
         canon_code("origin").alias("origin"), canon_code("destination").alias("destination"),
     ).agg(
         F.coalesce(F.sum("pax_sum"), F.lit(0)).cast("bigint").alias("pax"),
-        F.sum("revenue_all").cast("double").alias("revenue"),
+        units_to_money(F.sum("revenue_all_u")).alias("revenue"),
         F.sum("cancels").cast("bigint").alias("cancels"),
     )
     f = flight.select(

@@ -57,9 +57,13 @@ DQ_CHECKS = (
 SEGMENT_ARROW = "→"
 ROUTING_DASH = "-"
 
-# Money is kept as exact fixed-point so that sums do not depend on the
-# order in which partitions are combined.
-MONEY_TYPE = "decimal(18,4)"
+# Money: amounts carry at most four decimals. They are stored as DOUBLE
+# (the nearest double of the exact amount) and summed exactly as BIGINT
+# units of 1e-4, so a sum never depends on the order in which partitions
+# are combined. Sums over more than one leg use DECIMAL(38,0) units so
+# they cannot overflow.
+MONEY_TYPE = "double"
+MONEY_UNITS = 10000
 MONEY_SUM_TYPE = "decimal(38,4)"
 
 

@@ -17,7 +17,7 @@ from aerokpi.functions import booking_id_norm, segment_label
 from aerokpi.operators import clean, dq, explore, kpis, marts, weekday
 from aerokpi.params import DQ_CHECKS
 from aerokpi.sources import adapter
-from aerokpi.sources.schema import REVENUE_COLS, normalize_columns
+from aerokpi.sources.schema import normalize_columns
 from aerokpi.sources.warehouse import Warehouse
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -38,14 +38,10 @@ def query(name: str):
 
 
 # ---- sources / cleaning -------------------------------------------------------
-def _money_as_double(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) if c in REVENUE_COLS else F.col(c) for c in df.columns])
-
-
 @query("src_booking")
 def _src_booking(w: Warehouse) -> DataFrame:
     """SRC-1: the typed booking entity."""
-    return _money_as_double(w.booking())
+    return w.booking()
 
 
 @query("src_passenger")
@@ -63,7 +59,7 @@ def _normalize_columns(w: Warehouse) -> DataFrame:
     """PRJ-1: the booking sheet with its display headers normalised."""
     # the sheet is rebuilt from the source tables (not the written entity)
     sheet = adapter.booking_sheet(w.spark, w.sf_dir)
-    return _money_as_double(normalize_columns(sheet))
+    return normalize_columns(sheet)
 
 
 @query("booking_id_norm")

@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerokpi.params import MONEY_TYPE
 
 # ---------------------------------------------------------------------------
 # Workbook display headers of each sheet.
@@ -48,9 +47,14 @@ def _region_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _exact(x: str):
-    """A two-decimal double as exact decimal (money values are cents)."""
-    return F.col(x).cast("decimal(18,2)")
+def _cents(x: str):
+    """A two-decimal double as an exact BIGINT number of hundredths."""
+    return F.rint(F.col(x) * F.lit(100.0)).cast("bigint")
+
+
+def _money(units):
+    """Exact amount given in 1e-4 units -> nearest DOUBLE."""
+    return units.cast("double") / F.lit(10000.0)
 
 
 def booking_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +87,7 @@ def booking_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship = F.to_date("l_shipdate")
     qty = F.col("l_quantity").cast("int")
     pk = F.col("l_partkey")
-    price = _exact("l_extendedprice")
+    price = _cents("l_extendedprice")
     od_arrow = F.concat("o_name", F.lit("→"), "d_name")
     od_dash = F.lower(F.concat("o_name", F.lit(" - "), "d_name"))
     return j.select(
@@ -99,9 +103,9 @@ def booking_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(od_dash)
         .alias(BOOKING_HEADERS[6]),
         F.concat(F.lit("TX"), (F.col("o_rk") * 5 + F.col("d_rk") + 1000).cast("string")).alias(BOOKING_HEADERS[7]),
-        (price - 1500).cast(MONEY_TYPE).alias(BOOKING_HEADERS[8]),
-        (price * _exact("l_tax")).cast(MONEY_TYPE).alias(BOOKING_HEADERS[9]),
-        F.when(F.col("l_suppkey") % 10 != 0, (price * _exact("l_discount")).cast(MONEY_TYPE)).alias(BOOKING_HEADERS[10]),
+        _money((price - 150000) * 100).alias(BOOKING_HEADERS[8]),
+        _money(price * _cents("l_tax")).alias(BOOKING_HEADERS[9]),
+        F.when(F.col("l_suppkey") % 10 != 0, _money(price * _cents("l_discount"))).alias(BOOKING_HEADERS[10]),
         (F.col("l_quantity").cast("bigint") - 2).alias(BOOKING_HEADERS[11]),
     )
 

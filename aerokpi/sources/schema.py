@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerokpi.params import MONEY_TYPE
-
-_MONEY = T._parse_datatype_string(MONEY_TYPE)
+_MONEY = T.DoubleType()
 
 # Date-like columns accept DATE or TIMESTAMP_NTZ as delivered; strings are
 # parsed leniently to TIMESTAMP_NTZ.

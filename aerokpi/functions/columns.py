@@ -12,21 +12,25 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerokpi.params import CHANNEL_SYNONYMS, MONEY_SUM_TYPE, MONEY_TYPE, MONEY_UNITS, SEGMENT_ARROW
+from aerokpi.params import CHANNEL_SYNONYMS, MONEY_SUM_TYPE, MONEY_TYPE, MONEY_UNITS, SEGMENT_ARROW, WEEKDAYS
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Fixed value: the ASCII whitespace set stripped from both ends of a text.
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(x) -> Column:
     """Remove leading/trailing whitespace of any kind (not only blanks)."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    return F.trim(_c(x), F.lit(WHITESPACE))
 
 
 def booking_id_norm(x) -> Column:
     """Digits of a booking id as a string; empty or null gives null."""
-    digits = F.regexp_replace(strip_ws(_c(x).cast("string")), "[^0-9]", "")
+    digits = F.regexp_replace(_c(x).cast("string"), "[^0-9]+", "")
     return F.nullif(digits, F.lit(""))
 
 
@@ -57,17 +61,27 @@ def segment_label(origin="origin", destination="destination", sep: str = SEGMENT
 
 
 def weekday_name(d) -> Column:
-    """Full English weekday name of a date or timestamp (Monday ... Sunday)."""
-    return F.date_format(_c(d), "EEEE")
+    """Full English weekday name of a date or timestamp (Monday ... Sunday).
+
+    ``dayofweek`` counts from Sunday = 1; a lookup in a literal array is
+    cheaper than a date formatter and independent of any locale.
+    """
+    sunday_first = WEEKDAYS[-1:] + WEEKDAYS[:-1]
+    k = F.dayofweek(_c(d))
+    # guarded: element_at with a null index does not yield null everywhere
+    return F.when(k.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in sunday_first]), k))
 
 
-def whole_days(end, start) -> Column:
+def whole_days(end, start, dates: bool = False) -> Column:
     """Whole days from ``start`` to ``end``, floored (-2.5 days gives -3).
 
-    Works for DATE and TIMESTAMP_NTZ inputs alike: both are widened to
-    TIMESTAMP_NTZ, which carries no time zone, so the result never depends
-    on the session zone.
+    With ``dates=True`` (both inputs DATE) this is a plain day difference.
+    Otherwise DATE and TIMESTAMP_NTZ inputs are widened to TIMESTAMP_NTZ,
+    which carries no time zone, so the result never depends on the
+    session zone.
     """
+    if dates:
+        return F.datediff(_c(end), _c(start)).cast("bigint")
     secs = F.timestamp_diff("SECOND", _c(start).cast("timestamp_ntz"), _c(end).cast("timestamp_ntz"))
     return F.floor(secs / F.lit(86400)).cast("bigint")
 

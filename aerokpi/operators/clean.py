@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerokpi.functions import (
     booking_id_norm,
@@ -24,6 +25,8 @@ def booking_clean(booking: DataFrame) -> DataFrame:
 
     Totals are summed exactly (in 1e-4 units) and converted once.
     """
+    dates = all(isinstance(booking.schema[c].dataType, T.DateType)
+                for c in ("reservation_date", "cancellation_date", "flight_date"))
     return booking.select(
         *[canon_code(c).alias(c) if c in ("origin", "destination") else F.col(c) for c in booking.columns],
         booking_id_norm("bookingid_pnr").alias("bookingid_norm"),
@@ -31,9 +34,9 @@ def booking_clean(booking: DataFrame) -> DataFrame:
         F.concat(canon_code("origin"), F.lit(ROUTING_DASH), canon_code("destination")).alias("routing_canonical"),
         F.col("cancellation_date").isNotNull().alias("is_cancelled"),
         weekday_name("flight_date").alias("flight_dow"),
-        whole_days("cancellation_date", "reservation_date").alias("days_after_booking_to_cancel"),
-        whole_days("flight_date", "cancellation_date").alias("days_before_flight_to_cancel"),
-        whole_days("flight_date", "reservation_date").alias("lead_time_days"),
+        whole_days("cancellation_date", "reservation_date", dates).alias("days_after_booking_to_cancel"),
+        whole_days("flight_date", "cancellation_date", dates).alias("days_before_flight_to_cancel"),
+        whole_days("flight_date", "reservation_date", dates).alias("lead_time_days"),
         units_to_money(money_total(*ANCILLARY_COLS)).alias("ancillary_total"),
     )
 

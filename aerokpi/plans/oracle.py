@@ -81,8 +81,11 @@ LEFT JOIN flight f ON a.flightnumber = f.flightnumber AND a.flight_date = CAST(f
 # ---------------------------------------------------------------------------
 # SQL snippets
 # ---------------------------------------------------------------------------
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {_WS})"
 
 
 def canon(x: str) -> str:
@@ -90,7 +93,7 @@ def canon(x: str) -> str:
 
 
 def idnorm(x: str) -> str:
-    return f"NULLIF(regexp_replace({strip(x)}, '[^0-9]', '', 'g'), '')"
+    return f"NULLIF(regexp_replace({x}, '[^0-9]+', '', 'g'), '')"
 
 
 def channel(x: str) -> str:

@@ -39,8 +39,10 @@ def test_day_difference_on_dates(spark):
 
 
 def test_weekday_name(spark):
-    df = spark.createDataFrame([(dt.date(2025, 3, 1),)], "d date")
-    assert df.select(weekday_name("d").alias("w")).first().w == "Saturday"
+    days = [dt.date(2025, 3, 1) + dt.timedelta(days=i) for i in range(7)]
+    df = spark.createDataFrame([(d,) for d in days] + [(None,)], "d date")
+    got = [r.w for r in df.select(weekday_name("d").alias("w")).collect()]
+    assert got == [d.strftime("%A") for d in days] + [None]
 
 
 def test_routing_key_removes_all_blanks(spark):

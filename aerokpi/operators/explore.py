@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerokpi.functions import booking_id_norm, canon_code, money_units, ratio, segment_label, units_sum, units_to_money
+from aerokpi.functions import (
+    booking_id_norm, canon_code, money_units, ratio, segment_label, units_sum, units_to_money, weekday_name,
+)
 from aerokpi.operators.clean import booking_clean, pnr_channel
 from aerokpi.operators.marts import leg_anc, leg_revpp
 from aerokpi.params import DEFAULT, TIMES_OF_DAY, WEEKDAYS, KpiParams
@@ -27,9 +29,18 @@ def ravg(c) -> F.Column:
     return F.round(F.avg(c), AVG_DIGITS)
 
 
+def spine(spark: SparkSession, labels, name: str, ord_name: str) -> DataFrame:
+    """A small fixed list of labels with their 1-based position, built in the
+    JVM (``range`` + array lookup: no Python rows to ship)."""
+    arr = F.array(*[F.lit(x) for x in labels])
+    return spark.range(1, len(labels) + 1).select(
+        F.element_at(arr, F.col("id").cast("int")).alias(name), F.col("id").cast("int").alias(ord_name)
+    )
+
+
 def calendar(spark: SparkSession) -> DataFrame:
     """7-row weekday spine (name, ordinal 1..7)."""
-    return spark.createDataFrame([(d, i + 1) for i, d in enumerate(WEEKDAYS)], "dow string, dow_ord int")
+    return spine(spark, WEEKDAYS, "dow", "dow_ord")
 
 
 def on_calendar(spark: SparkSession, df: DataFrame, key: str = "dow") -> DataFrame:
@@ -52,8 +63,8 @@ def lf_by_time(leg: DataFrame) -> DataFrame:
 
 def lf_by_time_ordered(spark: SparkSession, leg: DataFrame) -> DataFrame:
     """R-21: K-14 on the Morning/Afternoon/Evening spine, in that order."""
-    spine = spark.createDataFrame([(t, i) for i, t in enumerate(TIMES_OF_DAY)], "timeofday string, tod_ord int")
-    return F.broadcast(spine).join(lf_by_time(leg), "timeofday", "left").orderBy("tod_ord").drop("tod_ord")
+    tod = spine(spark, TIMES_OF_DAY, "timeofday", "tod_ord")
+    return F.broadcast(tod).join(F.broadcast(lf_by_time(leg)), "timeofday", "left").orderBy("tod_ord").drop("tod_ord")
 
 
 def anc_share_segment(base: DataFrame, leg: DataFrame) -> DataFrame:
@@ -113,11 +124,14 @@ def scatter_lf_revpp(leg: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Report convention
 # ---------------------------------------------------------------------------
-def cancellation_by_dow(spark: SparkSession, booking: DataFrame) -> DataFrame:
-    """R-5: bookings, cancellations and rate per flight weekday (7 rows)."""
-    b = booking_clean(booking).where(F.col("flight_dow").isNotNull())
-    agg = b.groupBy(F.col("flight_dow").alias("dow")).agg(
-        F.count(F.lit(1)).alias("bookings"), F.count_if("is_cancelled").alias("cancel_count")
+def cancellation_by_dow(spark: SparkSession, base: DataFrame) -> DataFrame:
+    """R-5: bookings, cancellations and rate per flight weekday (7 rows).
+
+    Read from the leg base (the weekday is a function of its flight-date
+    key), so this scans legs, not bookings."""
+    b = base.withColumn("dow", weekday_name("flight_date")).where(F.col("dow").isNotNull())
+    agg = b.groupBy("dow").agg(
+        F.sum("n_rows").alias("bookings"), F.sum("cancels").alias("cancel_count")
     )
     out = on_calendar(spark, agg)
     return out.select(
@@ -256,26 +270,37 @@ def rev_lf_correlation(leg_report: DataFrame, params: KpiParams = DEFAULT) -> Da
     )
 
 
-def cancel_timing_stats(booking: DataFrame) -> DataFrame:
-    """R-19: exact (linearly interpolated) median and P90 of the two
-    cancellation timings. ``percentile`` keeps a value -> count map of the
+TIMING_STATS = ("median_days_after_booking", "p90_days_after_booking",
+                "median_days_before_flight", "p90_days_before_flight")
+
+
+def cancellation_timing(booking: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
+    """One row over the cancelled bookings: exact (linearly interpolated)
+    median and P90 of both timings, the last-minute share and the number
+    of cancellations. ``percentile`` keeps a value -> count map of the
     distinct day values, which is small and merges map-side."""
     b = booking_clean(booking).where("is_cancelled")
     a, f = F.col("days_after_booking_to_cancel"), F.col("days_before_flight_to_cancel")
+    flag = F.coalesce(f <= params.last_minute_days, F.lit(False))
     return b.agg(
-        F.round(F.percentile(a, F.lit(0.5)), AVG_DIGITS).alias("median_days_after_booking"),
-        F.round(F.percentile(a, F.lit(0.9)), AVG_DIGITS).alias("p90_days_after_booking"),
-        F.round(F.percentile(f, F.lit(0.5)), AVG_DIGITS).alias("median_days_before_flight"),
-        F.round(F.percentile(f, F.lit(0.9)), AVG_DIGITS).alias("p90_days_before_flight"),
+        F.round(F.percentile(a, F.lit(0.5)), AVG_DIGITS).alias(TIMING_STATS[0]),
+        F.round(F.percentile(a, F.lit(0.9)), AVG_DIGITS).alias(TIMING_STATS[1]),
+        F.round(F.percentile(f, F.lit(0.5)), AVG_DIGITS).alias(TIMING_STATS[2]),
+        F.round(F.percentile(f, F.lit(0.9)), AVG_DIGITS).alias(TIMING_STATS[3]),
+        F.round(F.avg(flag.cast("double")), AVG_DIGITS).alias("last_minute_share"),
+        F.count(F.lit(1)).alias("n_cancel"),
     )
 
 
+def cancel_timing_stats(booking: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
+    """R-19: median and P90 of the two cancellation timings."""
+    return cancellation_timing(booking, params).select(*TIMING_STATS)
+
+
 def last_minute_share(booking: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
     """R-19: share of cancellations made at most ``last_minute_days`` before
     the flight (an unknown timing counts as not last-minute)."""
-    b = booking_clean(booking).where("is_cancelled")
-    flag = F.coalesce(F.col("days_before_flight_to_cancel") <= params.last_minute_days, F.lit(False))
-    return b.agg(F.round(F.avg(flag.cast("double")), AVG_DIGITS).alias("last_minute_share"))
+    return cancellation_timing(booking, params).select("last_minute_share")
 
 
 def ancillary_share_by_segment(base: DataFrame) -> DataFrame:

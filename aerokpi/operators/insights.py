@@ -102,7 +102,7 @@ def insights(spark: SparkSession, booking: DataFrame, passenger: DataFrame, base
     rows = []
 
     # A: weekdays without cancellations (calendar order)
-    by_dow = explore.cancellation_by_dow(spark, booking).withColumn("ord", _ord("flight_dow"))
+    by_dow = explore.cancellation_by_dow(spark, base).withColumn("ord", _ord("flight_dow"))
     zero = by_dow.where(c("cancel_count") == 0).agg(
         F.array_sort(F.collect_list(F.struct("ord", "flight_dow"))).alias("z")
     ).where(F.size("z") > 0)
@@ -117,8 +117,8 @@ def insights(spark: SparkSession, booking: DataFrame, passenger: DataFrame, base
                      render(T["B"], {"dow": c("flight_dow"), "rate": c("cancel_rate")})))
 
     # C, D: cancellation timing (only when something was cancelled)
-    n_cancel = booking.agg(F.count("cancellation_date").alias("n_cancel"))
-    timing = explore.cancel_timing_stats(booking).crossJoin(n_cancel).where(c("n_cancel") > 0)
+    # one aggregation over the cancelled bookings feeds rules C, D and K
+    timing = explore.cancellation_timing(booking, params).where(c("n_cancel") > 0)
     for rule, med, p90 in (
         ("C", "median_days_after_booking", "p90_days_after_booking"),
         ("D", "median_days_before_flight", "p90_days_before_flight"),
@@ -175,8 +175,7 @@ def insights(spark: SparkSession, booking: DataFrame, passenger: DataFrame, base
                      c("low_v"), c("high_v"), render(T["J"], jc)))
 
     # K: last-minute share of cancellations
-    lm = explore.last_minute_share(booking, params).crossJoin(n_cancel).where(c("n_cancel") > 0)
-    rows.append(_row(lm, "K", None, c("last_minute_share"), None, render(T["K"], {"share": c("last_minute_share")})))
+    rows.append(_row(timing, "K", None, c("last_minute_share"), None, render(T["K"], {"share": c("last_minute_share")})))
 
     # L: fixed KPI-pack line
     one = spark.range(1)

@@ -10,38 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerokpi.functions import ratio
-from aerokpi.operators.explore import AVG_DIGITS, on_calendar, ravg
+from aerokpi.operators.explore import calendar, on_calendar, ravg
 from aerokpi.operators.marts import realized_by_flight
 from aerokpi.params import DEFAULT, KpiParams
 
 
-def fwlf_by_dow(spark: SparkSession, leg_report: DataFrame) -> DataFrame:
-    """R-14: sum(pax) / sum(capacity) per weekday, null if sum(capacity) <= 0."""
+def _fwlf(leg_report: DataFrame) -> DataFrame:
     s = leg_report.where(F.col("dow").isNotNull()).groupBy("dow").agg(
         F.sum("pax").alias("p"), F.sum("availablecapacity").alias("c")
     )
-    s = s.select("dow", F.when(F.col("c") > 0, ratio("p", "c")).alias("fwlf"))
-    return on_calendar(spark, s)
+    return s.select("dow", F.when(F.col("c") > 0, ratio("p", "c")).alias("fwlf"))
 
 
-def calf_realized_by_dow(spark: SparkSession, leg_report: DataFrame, base: DataFrame) -> DataFrame:
-    """R-15: realized LF = realized pax of the (flight number, date) / leg
-    capacity, averaged per weekday. Realized pax joins on two of the leg's
-    four keys, as defined (a flight number on several O&Ds fans out)."""
+def _calf(leg_report: DataFrame, base: DataFrame) -> DataFrame:
     r = realized_by_flight(base)
     j = leg_report.join(r, ["flightnumber", "flight_date"], "left")
     calf = F.when(F.col("availablecapacity") > 0, ratio("realized_pax", "availablecapacity"))
-    s = j.where(F.col("dow").isNotNull()).groupBy("dow").agg(ravg(calf).alias("calf"))
-    return on_calendar(spark, s)
+    return j.where(F.col("dow").isNotNull()).groupBy("dow").agg(ravg(calf).alias("calf"))
 
 
-def pacs_feeder_by_dow(spark: SparkSession, leg_report: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
-    """R-16: mean PACS per weekday where only the feeder segment is credited
-    with ``pct`` x the mean onward-segment revenue of the same weekday.
-
-    The onward means form a <= 7-row table (one per weekday), so it is
-    broadcast; a weekday without onward legs credits 0.
-    """
+def _pacs(leg_report: DataFrame, params: KpiParams) -> DataFrame:
     fo, fd = params.feeder_segment
     oo, od = params.onward_segment
     onward = (
@@ -55,21 +43,46 @@ def pacs_feeder_by_dow(spark: SparkSession, leg_report: DataFrame, params: KpiPa
     rev = F.when(F.coalesce(feeder, F.lit(False)), F.col("revenue") + credit).otherwise(F.col("revenue"))
     cap = F.col("availablecapacity")
     pacs = F.when(cap > 0, ratio(rev - cap * F.lit(float(params.dow_variable_cost_per_seat_leg)), cap))
-    s = j.groupBy("dow").agg(ravg(pacs).alias("pacs"))
-    return on_calendar(spark, s)
+    return j.groupBy("dow").agg(ravg(pacs).alias("pacs"))
+
+
+def fwlf_by_dow(spark: SparkSession, leg_report: DataFrame) -> DataFrame:
+    """R-14: sum(pax) / sum(capacity) per weekday, null if sum(capacity) <= 0."""
+    return on_calendar(spark, _fwlf(leg_report))
+
+
+def calf_realized_by_dow(spark: SparkSession, leg_report: DataFrame, base: DataFrame) -> DataFrame:
+    """R-15: realized LF = realized pax of the (flight number, date) / leg
+    capacity, averaged per weekday. Realized pax joins on two of the leg's
+    four keys, as defined (a flight number on several O&Ds fans out)."""
+    return on_calendar(spark, _calf(leg_report, base))
+
+
+def pacs_feeder_by_dow(spark: SparkSession, leg_report: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
+    """R-16: mean PACS per weekday where only the feeder segment is credited
+    with ``pct`` x the mean onward-segment revenue of the same weekday.
+
+    The onward means form a <= 7-row table (one per weekday), so it is
+    broadcast; a weekday without onward legs credits 0.
+    """
+    return on_calendar(spark, _pacs(leg_report, params))
+
+
+def _on_calendar_many(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """Calendar left-joined with several <= 7-row weekday tables at once."""
+    out = calendar(spark)
+    for p in parts:
+        out = out.join(F.broadcast(p), "dow", "left")
+    return out.orderBy("dow_ord").drop("dow_ord")
 
 
 def kpi_summary_by_dow(spark: SparkSession, leg_report: DataFrame, base: DataFrame,
                        params: KpiParams = DEFAULT) -> DataFrame:
     """R-18: weekday table of FWLF, weekday PACS and realized CALF."""
-    f = fwlf_by_dow(spark, leg_report)
-    p = pacs_feeder_by_dow(spark, leg_report, params)
-    c = calf_realized_by_dow(spark, leg_report, base)
-    out = on_calendar(spark, f.join(p, "dow").join(c, "dow"))
+    out = _on_calendar_many(spark, [_fwlf(leg_report), _pacs(leg_report, params), _calf(leg_report, base)])
     return out.select("dow", "fwlf", F.col("pacs").alias("pacs_per_seat"), "calf")
 
 
 def fwlf_calf_by_dow(spark: SparkSession, leg_report: DataFrame, base: DataFrame) -> DataFrame:
     """R-21: input of the grouped FWLF / CALF bar chart."""
-    out = on_calendar(spark, fwlf_by_dow(spark, leg_report).join(calf_realized_by_dow(spark, leg_report, base), "dow"))
-    return out.select("dow", "fwlf", "calf")
+    return _on_calendar_many(spark, [_fwlf(leg_report), _calf(leg_report, base)]).select("dow", "fwlf", "calf")

@@ -85,7 +85,7 @@ def export_report(w: Warehouse, out: str, fmt: str = "csv") -> None:
     s, p = w.spark, w.params
     lr, base, b = w.leg_report(), w.leg_base(), w.booking()
     small = {
-        "cancellation_by_dow": explore.cancellation_by_dow(s, b),
+        "cancellation_by_dow": explore.cancellation_by_dow(s, base),
         "cancellation_days_after_booking": explore.cancel_days_hist(b, "days_after_booking_to_cancel"),
         "cancellation_days_before_flight": explore.cancel_days_hist(b, "days_before_flight_to_cancel"),
         "cancellation_by_channel": explore.cancellation_by_channel(b, w.passenger(), p).orderBy(F.col("bookings").desc()),

@@ -264,7 +264,7 @@ def _scatter_lf_revpp(w: Warehouse) -> DataFrame:
 # ---- exploration (report convention) ----------------------------------------------
 @query("cancellation_by_dow")
 def _cancellation_by_dow(w: Warehouse) -> DataFrame:
-    return explore.cancellation_by_dow(w.spark, w.booking())
+    return explore.cancellation_by_dow(w.spark, w.leg_base())
 
 
 @query("cancel_days_after_booking")
@@ -319,7 +319,7 @@ def _rev_lf_correlation(w: Warehouse) -> DataFrame:
 
 @query("cancel_timing_stats")
 def _cancel_timing_stats(w: Warehouse) -> DataFrame:
-    return explore.cancel_timing_stats(w.booking())
+    return explore.cancel_timing_stats(w.booking(), w.params)
 
 
 @query("last_minute_share")

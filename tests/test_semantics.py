@@ -90,7 +90,7 @@ def test_no_tuesday_spine_and_pivot(spark):
     by_dow = explore.lf_by_dow(spark, w.leg_report()).collect()
     assert [r.dow for r in by_dow] == list(WEEKDAYS)
     assert by_dow[1].avg_load_factor is None
-    assert len(explore.cancellation_by_dow(spark, w.booking()).collect()) == 7
+    assert len(explore.cancellation_by_dow(spark, w.leg_base()).collect()) == 7
     assert len(weekday.fwlf_by_dow(spark, w.leg_report()).collect()) == 7
     wide = explore.lf_segment_dow_wide(w.leg_report()).collect()
     assert sorted(r.dow for r in wide) == sorted(set(WEEKDAYS) - {"Tuesday"})

@@ -47,8 +47,12 @@ def spread(df: DataFrame) -> DataFrame:
     so this never adds a shuffle at scale; on a small input it lets the
     joins, the projection and the written table use every core.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
+    return df.repartition(n) if parts < n else df
 
 
 def _region_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

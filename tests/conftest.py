@@ -42,7 +42,7 @@ def _struct(entity: str) -> T.StructType:
 
 BOOKING_DEFAULTS = dict(
     bookingid_pnr="PNR-1", reservation_date=dt.date(2025, 2, 1), cancellation_date=None,
-    flight_date=dt.date(2025, 3, 3), origin="FRA", destination="FCO", routing="FRA-FCO", flightnumber="DE1000",
+    flight_date=dt.date(2025, 3, 3), origin="FRA", destination="FCO", routing="FRA-FCO", flightnumber="XY1000",
     revenue_per_booking_ticket=100.0, revenue_per_booking_ancilliary_pre_check_in=10.0,
     revenue_per_booking_ancilliary_at_check_in=0.0, passengercount=1,
 )
@@ -60,7 +60,7 @@ def booking(spark, rows):
 
 
 def flight(spark, rows):
-    return make(spark, "flight", rows, dict(flightnumber="DE1000", flightdate=dt.date(2025, 3, 3),
+    return make(spark, "flight", rows, dict(flightnumber="XY1000", flightdate=dt.date(2025, 3, 3),
                                             availablecapacity=180, timeofday="Morning", routetype="Outbound"))
 
 

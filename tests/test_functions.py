@@ -60,8 +60,8 @@ def test_bad_values_become_null(spark, tmp_path):
     p = tmp_path / "booking.csv"
     p.write_text(
         "BookingID (PNR),Reservation Date,Flight Date,Revenue per Booking (Ticket),PassengerCount,FlightNumber\n"
-        "PNR-1,zz,2025-03-01,x,2,DE1\n"
-        "PNR-2,2025-02-01 10:30:00,2025-03-02,12.5,y,DE1\n"
+        "PNR-1,zz,2025-03-01,x,2,XY1\n"
+        "PNR-2,2025-02-01 10:30:00,2025-03-02,12.5,y,XY1\n"
     )
     rows = read_entity(spark, str(p), "booking", fmt="csv").orderBy("bookingid_pnr").collect()
     assert rows[0].reservation_date is None

@@ -59,9 +59,9 @@ def pacs_chart(leg: DataFrame, k: int, params: KpiParams = DEFAULT, descending:
     )
 
 
-def yalf_overall(leg: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
+def yalf_overall(leg: DataFrame, params: KpiParams = DEFAULT, stable=None) -> DataFrame:
     """K-8: sum(pax * yield_index) / sum(seats)."""
-    y = leg_yield_index(leg, params)
+    y = leg_yield_index(leg, params, stable)
     return y.agg(ratio(F.sum(F.col("pax") * F.col("yield_index")), F.sum("seats")).alias("yalf"))
 
 

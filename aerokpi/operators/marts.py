@@ -90,18 +90,18 @@ def leg_revpp(leg_df: DataFrame) -> DataFrame:
     return leg_df.withColumn("rev_per_pax", F.when(F.col("pax") > 0, ratio("total_revenue", "pax")))
 
 
-def leg_yield_index(leg_df: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
-    """K-7: quintile of revenue per pax inside the directed segment -> [0, 1].
+SEGMENT = ["origin", "destination"]
+YIELD_ORDER = ["rev_per_pax", "flight_date", "flightnumber"]
 
-    Nulls sort last (they land in the top buckets); ties are broken by
-    flight date and flight number so the buckets are deterministic. The
-    window is partitioned by segment: one task per segment over legs.
-    """
-    w = Window.partitionBy("origin", "destination").orderBy(
-        F.col("rev_per_pax").asc_nulls_last(),
-        F.col("flight_date").asc_nulls_last(),
-        F.col("flightnumber").asc_nulls_last(),
-    )
+
+def _yield_order():
+    return [F.col(c).asc_nulls_last() for c in YIELD_ORDER]
+
+
+def leg_yield_index_window(leg_df: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
+    """K-7 with a plain window (one task per segment); the reference
+    implementation that ``leg_yield_index`` is tested against."""
+    w = Window.partitionBy(*SEGMENT).orderBy(*_yield_order())
     n = params.yield_buckets
     return (
         leg_revpp(leg_df)
@@ -110,6 +110,57 @@ def leg_yield_index(leg_df: DataFrame, params: KpiParams = DEFAULT) -> DataFrame
     )
 
 
+def ranked_legs(leg_df: DataFrame) -> DataFrame:
+    """Legs range-partitioned on (segment, revenue per pax, date, flight) and
+    tagged with their range id ``rp``. A segment with many legs spans many
+    ranges, so no task ever holds a whole segment. The tag must be made
+    stable (written table / checkpoint) before it is used twice."""
+    keys = [F.col(c).asc_nulls_last() for c in SEGMENT] + _yield_order()
+    return leg_revpp(leg_df).repartitionByRange(*keys).withColumn("rp", F.spark_partition_id())
+
+
+def leg_yield_index(leg_df: DataFrame, params: KpiParams = DEFAULT, stable=None) -> DataFrame:
+    """K-7: quintile of revenue per pax inside the directed segment -> [0, 1].
+
+    Nulls sort last (they land in the top buckets); ties are broken by
+    flight date and flight number, so the buckets are deterministic.
+
+    Distributed NTILE: position of a leg in its segment = legs of the
+    segment in earlier ranges (a prefix sum over the small (segment, range)
+    count table) + its row number inside (segment, range). With N legs in
+    the segment and n buckets, the first N mod n buckets get one extra leg,
+    exactly as NTILE assigns them. ``stable`` turns the range tag into data
+    (default: ``DataFrame.checkpoint``).
+    """
+    ranged = ranked_legs(leg_df)
+    ranged = stable(ranged) if stable is not None else ranged.checkpoint()
+    seg = Window.partitionBy(*SEGMENT)
+    counts = ranged.groupBy(*SEGMENT, "rp").count()
+    offs = counts.select(
+        *[F.col(c).alias(f"o_{c}") for c in SEGMENT],
+        F.col("rp").alias("o_rp"),
+        F.coalesce(F.sum("count").over(seg.orderBy("rp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("count").over(seg).alias("seg_n"),
+    )
+    local = F.row_number().over(Window.partitionBy(*SEGMENT, "rp").orderBy(*_yield_order()))
+    r = ranged.withColumn("local", local)
+    cond = (r.origin.eqNullSafe(offs.o_origin) & r.destination.eqNullSafe(offs.o_destination)
+            & (r.rp == offs.o_rp))
+    j = r.join(offs, cond, "inner")
+    n = params.yield_buckets
+    pos = F.col("before") + F.col("local") - 1          # 0-based position in the segment
+    q = F.floor(F.col("seg_n") / F.lit(n))               # legs per bucket
+    big = F.col("seg_n") - q * n                         # buckets with one extra leg
+    cut = big * (q + 1)
+    bucket = F.when(pos < cut, F.floor(pos / (q + 1)) + 1).otherwise(
+        F.floor((pos - cut) / F.nullif(q, F.lit(0))) + big + 1
+    )
+    return j.select(
+        *leg_df.columns, "rev_per_pax",
+        bucket.cast("int").alias("q5"),
+    ).withColumn("yield_index", (F.col("q5") - 1).cast("double") / F.lit(float(n - 1)))
+
+
 def leg_anc(base: DataFrame) -> DataFrame:
     """Ancillary revenue per SQL leg (null-propagating parts), exact units."""
     return leg_sql_grain(base).select(*LEG_KEYS, F.col("anc_sql_u").alias("anc_rev_u"))

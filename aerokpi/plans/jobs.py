@@ -59,9 +59,10 @@ def export_kpis(w: Warehouse, out: str, fmt: str = "csv") -> None:
     _write(kpis.fwlf_overall(leg), f"{out}/fwlf_overall", fmt, small=True)
     _write(kpis.fwlf_by_segment(leg), f"{out}/fwlf_by_segment", fmt, small=True)
     _write(kpis.pacs_leg(leg, p), f"{out}/pacs_leg", fmt)
-    _write(kpis.yalf_overall(leg, p), f"{out}/yalf_overall", fmt, small=True)
+    stable = lambda df: w.stable("leg_ranked", df)
+    _write(kpis.yalf_overall(leg, p, stable), f"{out}/yalf_overall", fmt, small=True)
     _write(kpis.aras_overall(w.leg_base(), leg), f"{out}/aras_overall", fmt, small=True)
-    _write(marts.leg_yield_index(leg, p), f"{out}/leg_detail", fmt)
+    _write(marts.leg_yield_index(leg, p, stable), f"{out}/leg_detail", fmt)
 
 
 def export_dq(w: Warehouse, out: str, fmt: str = "csv") -> None:

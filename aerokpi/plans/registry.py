@@ -110,7 +110,7 @@ def _leg_revpp(w: Warehouse) -> DataFrame:
 
 @query("leg_yield_index")
 def _leg_yield_index(w: Warehouse) -> DataFrame:
-    return marts.leg_yield_index(w.leg(), w.params)
+    return marts.leg_yield_index(w.leg(), w.params, lambda df: w.stable("leg_ranked", df))
 
 
 @query("leg_report")
@@ -156,7 +156,7 @@ def _pacs_bottom20(w: Warehouse) -> DataFrame:
 
 @query("yalf_overall")
 def _yalf_overall(w: Warehouse) -> DataFrame:
-    return kpis.yalf_overall(w.leg(), w.params)
+    return kpis.yalf_overall(w.leg(), w.params, lambda df: w.stable("leg_ranked", df))
 
 
 @query("aras_overall")

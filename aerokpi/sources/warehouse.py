@@ -102,6 +102,14 @@ class Warehouse:
                     self._done[name] = self.spark.read.parquet(path)
             return self._done[name]
 
+    def stable(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` turned into data: a written table (or, for an in-memory
+        warehouse, a reliable checkpoint under the checkpoint folder)."""
+        if self.root is None:
+            checkpoint_root(self.spark)
+            return df.checkpoint()
+        return self._materialize(name, lambda: df)
+
     def _entity(self, name: str) -> DataFrame:
         return self._materialize(name, lambda: self._builders[name](self))
 

@@ -188,3 +188,35 @@ def test_feeder_credit(spark):
     feeder = (1000 + 0.25 * 400 - 100 * 40) / 100
     onward = (400 - 100 * 40) / 100
     assert mon == pytest.approx((feeder + onward) / 2)
+
+
+def test_distributed_ntile_equals_window_ntile(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = []
+    for i in range(400):
+        seg = rnd.choice([("A", "B"), ("A", "C"), ("B", "A"), (None, "A")])
+        rows.append(dict(
+            bookingid_pnr=f"PNR-{i}", origin=seg[0], destination=seg[1],
+            flight_date=D + dt.timedelta(days=rnd.randrange(40)), flightnumber=rnd.choice(["F1", "F2", "F3"]),
+            revenue_per_booking_ticket=float(rnd.choice([50, 100, 150, 200])),  # many ties
+            passengercount=rnd.choice([0, 1, 2, None]),                          # null rev/pax
+        ))
+    b = booking(spark, rows).repartition(5)
+    w = warehouse(spark, b)
+    leg = w.leg()
+    key = ["origin", "destination", "flight_date", "flightnumber"]
+    dist = {tuple(r[k] for k in key): r.q5 for r in marts.leg_yield_index(leg, TESTDATA).collect()}
+    ref = {tuple(r[k] for k in key): r.q5 for r in marts.leg_yield_index_window(leg, TESTDATA).collect()}
+    assert dist == ref and len(dist) == leg.count()
+
+
+@pytest.mark.parametrize("n_legs", [1, 2, 4, 5, 6, 11, 12])
+def test_distributed_ntile_small_segments(spark, n_legs):
+    rows = [dict(bookingid_pnr=f"P{i}", flight_date=D + dt.timedelta(days=i), revenue_per_booking_ticket=float(i))
+            for i in range(n_legs)]
+    w = warehouse(spark, booking(spark, rows))
+    got = sorted(r.q5 for r in marts.leg_yield_index(w.leg(), TESTDATA).collect())
+    ref = sorted(r.q5 for r in marts.leg_yield_index_window(w.leg(), TESTDATA).collect())
+    assert got == ref

@@ -109,12 +109,21 @@ def export_report(w: Warehouse, out: str, fmt: str = "csv") -> None:
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="aerokpi.plans.jobs")
     ap.add_argument("job", choices=["ingest", "kpis", "dq", "report", "all"])
-    ap.add_argument("--sf-dir", required=True)
+    ap.add_argument("--sf-dir", help="test-data directory (TPC-style tables through the adapter)")
+    ap.add_argument("--booking", help="Booking sheet (CSV with header or Parquet)")
+    ap.add_argument("--passenger", help="Passenger sheet")
+    ap.add_argument("--flight", help="Flight sheet")
+    ap.add_argument("--input-format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"aerokpi-{a.job}").getOrCreate()
-    w = Warehouse.for_testdata(spark, a.sf_dir)
+    if a.booking:
+        w = Warehouse.from_sheets(spark, a.booking, a.passenger, a.flight, a.input_format)
+    elif a.sf_dir:
+        w = Warehouse.for_testdata(spark, a.sf_dir)
+    else:
+        ap.error("give --sf-dir or --booking/--passenger/--flight")
     if a.job in ("ingest", "all"):
         ingest(w, a.out, "parquet")
     if a.job in ("kpis", "all"):

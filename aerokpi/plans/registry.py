@@ -22,6 +22,8 @@ from aerokpi.sources.warehouse import Warehouse
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+# the same datasets over any warehouse (test data, exported sheets, ...)
+DATASETS: dict[str, Callable[[Warehouse], DataFrame]] = {}
 
 
 def query(name: str):
@@ -32,6 +34,7 @@ def query(name: str):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        DATASETS[name] = fn
         return fn
 
     return deco
@@ -57,6 +60,8 @@ def _src_flight(w: Warehouse) -> DataFrame:
 @query("normalize_columns")
 def _normalize_columns(w: Warehouse) -> DataFrame:
     """PRJ-1: the booking sheet with its display headers normalised."""
+    if w.sf_dir is None:  # a warehouse over exported sheets: its typed entity
+        return w.booking()
     # the sheet is rebuilt from the source tables (not the written entity)
     sheet = adapter.booking_sheet(w.spark, w.sf_dir)
     return normalize_columns(sheet)

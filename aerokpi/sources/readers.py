@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aerokpi.sources import adapter
 from aerokpi.sources.schema import conform, normalize_columns
@@ -19,7 +20,12 @@ def read_entity(spark: SparkSession, path: str, entity: str, fmt: str = "parquet
         raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    return conform(normalize_columns(raw), entity)
+    df = normalize_columns(raw)
+    if entity == "passenger" and "ordinal" not in df.columns:
+        # "first channel" needs the source row order: ids increase with the
+        # split index and the row position inside it, i.e. with file order.
+        df = df.withColumn("ordinal", F.monotonically_increasing_id())
+    return conform(df, entity)
 
 
 def entities_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -83,6 +83,20 @@ class Warehouse:
                 _INSTANCES[key] = wh
             return wh
 
+    @classmethod
+    def from_sheets(cls, spark: SparkSession, booking: str, passenger: str, flight: str, fmt: str = "csv",
+                    params: KpiParams | None = None) -> "Warehouse":
+        """Warehouse over exported Booking / Passenger / Flight sheets (CSV with
+        header or Parquet), materialised under the checkpoint folder."""
+        from aerokpi.params import DEFAULT
+        from aerokpi.sources.readers import read_entity
+
+        paths = {"booking": booking, "passenger": passenger, "flight": flight}
+        key = "|".join(f"{k}={os.path.abspath(v)}" for k, v in sorted(paths.items()))
+        root = f"{checkpoint_root(spark)}/aerokpi-warehouse/{hashlib.sha1(key.encode()).hexdigest()[:16]}"
+        builders = {k: (lambda w, k=k: read_entity(spark, paths[k], k, fmt)) for k in paths}
+        return cls(spark, builders, root, params or DEFAULT)
+
     @classmethod
     def of(cls, spark: SparkSession, booking: DataFrame, passenger: DataFrame, flight: DataFrame,
            params: KpiParams = TESTDATA, root: str | None = None) -> "Warehouse":

@@ -204,7 +204,9 @@ def lf_segment_dow_wide(leg_report: DataFrame) -> DataFrame:
     """R-10 (wide): one row per weekday that has a value, one column per
     segment that has a value. The pivot values are the distinct segment
     labels (a bounded set: Spark refuses more than spark.sql.pivotMaxValues)."""
-    long = lf_segment_dow_long(leg_report).where(F.col("load_factor").isNotNull())
+    # a null label (null O&D code) cannot name a column: left out, as a null
+    # group key is in a pivot
+    long = lf_segment_dow_long(leg_report).where(F.col("load_factor").isNotNull() & F.col("segment").isNotNull())
     return long.groupBy("dow").pivot("segment").agg(F.first("load_factor"))
 
 

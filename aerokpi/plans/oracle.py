@@ -246,12 +246,18 @@ SELECT bookingid_norm, COUNT(*) AS n,
 FROM dq_passenger WHERE bookingid_norm IS NOT NULL GROUP BY 1""")
 
 
-def sql(final: str, *deps: str) -> str:
-    """One statement: WITH <deps in dependency order> <final>."""
+ENTITY_RELATIONS = ("booking", "flight", "passenger")
+
+
+def sql(final: str, *deps: str, skip: tuple[str, ...] = ()) -> str:
+    """One statement: WITH <deps in dependency order> <final>.
+
+    Relations named in ``skip`` are not emitted (they must then exist as
+    tables, e.g. entity tables in a test)."""
     order: list[str] = []
 
     def visit(n: str) -> None:
-        if n in order:
+        if n in order or n in skip:
             return
         for d in REL[n][0]:
             visit(d)
@@ -269,12 +275,21 @@ def sql(final: str, *deps: str) -> str:
 # Oracle statements per query
 # ---------------------------------------------------------------------------
 ORACLE: dict[str, str] = {}
+PARTS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def q(name: str, final: str, *deps: str) -> None:
+    PARTS[name] = (final, deps)
     ORACLE[name] = sql(final, *deps)
 
 
+def entity_sql(name: str) -> str:
+    """The oracle statement of ``name`` over existing booking / flight /
+    passenger tables instead of the test-data adapter."""
+    final, deps = PARTS[name]
+    return sql(final, *deps, skip=ENTITY_RELATIONS)
+
+
 def on_calendar(inner: str, cols: str) -> str:
     return f"SELECT c.dow, {cols} FROM calendar c LEFT JOIN ({inner}) s USING (dow)"
 
@@ -422,7 +437,7 @@ SELECT timeofday, round(avg(load_factor), {R6}) AS avg_load_factor FROM leg_repo
 WHERE timeofday IS NOT NULL GROUP BY 1""", "leg_report")
 q("lf_segment_dow_long", "SELECT * FROM lf_long", "lf_long")
 q("lf_segment_dow_wide", """
-PIVOT (SELECT dow, segment, load_factor FROM lf_long WHERE load_factor IS NOT NULL)
+PIVOT (SELECT dow, segment, load_factor FROM lf_long WHERE load_factor IS NOT NULL AND segment IS NOT NULL)
 ON segment USING first(load_factor) GROUP BY dow""", "lf_long")
 q("segment_kpis", "SELECT * FROM segment_kpis", "segment_kpis")
 q("anc_share_top_segments", f"""
@@ -500,9 +515,8 @@ def _table(name: str) -> str:
     """Name of a relation holding the oracle result of query ``name``."""
     rn = f"t_{name}"
     if rn not in REL:
-        text = ORACLE[name]
-        # the statement is "WITH ctes... final"; as a relation, wrap it whole
-        REL[rn] = ((), text)
+        final, deps = PARTS[name]
+        REL[rn] = (deps, final)
     return rn
 
 

@@ -23,10 +23,19 @@ from aerokpi.operators.marts import leg_anc, leg_revpp
 from aerokpi.params import DEFAULT, TIMES_OF_DAY, WEEKDAYS, KpiParams
 
 AVG_DIGITS = 6
+SNAP_DIGITS = 10
+
+
+def sround(c) -> F.Column:
+    """Round to AVG_DIGITS after snapping to SNAP_DIGITS: a value that is
+    exactly on a rounding tie (small denominators make that common) but
+    carries order-dependent noise in its last bits always rounds the same
+    way."""
+    return F.round(F.round(c, SNAP_DIGITS), AVG_DIGITS)
 
 
 def ravg(c) -> F.Column:
-    return F.round(F.avg(c), AVG_DIGITS)
+    return sround(F.avg(c))
 
 
 def spine(spark: SparkSession, labels, name: str, ord_name: str) -> DataFrame:
@@ -257,9 +266,9 @@ def directional_imbalance(leg_report: DataFrame) -> DataFrame:
     j = s.join(rev, ["origin", "destination"], "left")
     return j.select(
         "origin", "destination",
-        F.round("load_factor", AVG_DIGITS).alias("load_factor"),
-        F.round("load_factor_rev", AVG_DIGITS).alias("load_factor_rev"),
-        F.round(F.col("load_factor") - F.col("load_factor_rev"), AVG_DIGITS).alias("lf_diff_vs_reverse"),
+        sround("load_factor").alias("load_factor"),
+        sround("load_factor_rev").alias("load_factor_rev"),
+        sround(F.col("load_factor") - F.col("load_factor_rev")).alias("lf_diff_vs_reverse"),
     )
 
 
@@ -268,7 +277,7 @@ def rev_lf_correlation(leg_report: DataFrame, params: KpiParams = DEFAULT) -> Da
     null unless there are more than ``min_corr_pairs`` pairs."""
     p = leg_report.na.drop(subset=["load_factor", "rev_per_pax"])
     return p.agg(
-        F.when(F.count(F.lit(1)) > params.min_corr_pairs, F.round(F.corr("load_factor", "rev_per_pax"), AVG_DIGITS)).alias("rev_lf_corr")
+        F.when(F.count(F.lit(1)) > params.min_corr_pairs, sround(F.corr("load_factor", "rev_per_pax"))).alias("rev_lf_corr")
     )
 
 
@@ -285,11 +294,11 @@ def cancellation_timing(booking: DataFrame, params: KpiParams = DEFAULT) -> Data
     a, f = F.col("days_after_booking_to_cancel"), F.col("days_before_flight_to_cancel")
     flag = F.coalesce(f <= params.last_minute_days, F.lit(False))
     return b.agg(
-        F.round(F.percentile(a, F.lit(0.5)), AVG_DIGITS).alias(TIMING_STATS[0]),
-        F.round(F.percentile(a, F.lit(0.9)), AVG_DIGITS).alias(TIMING_STATS[1]),
-        F.round(F.percentile(f, F.lit(0.5)), AVG_DIGITS).alias(TIMING_STATS[2]),
-        F.round(F.percentile(f, F.lit(0.9)), AVG_DIGITS).alias(TIMING_STATS[3]),
-        F.round(F.avg(flag.cast("double")), AVG_DIGITS).alias("last_minute_share"),
+        sround(F.percentile(a, F.lit(0.5))).alias(TIMING_STATS[0]),
+        sround(F.percentile(a, F.lit(0.9))).alias(TIMING_STATS[1]),
+        sround(F.percentile(f, F.lit(0.5))).alias(TIMING_STATS[2]),
+        sround(F.percentile(f, F.lit(0.9))).alias(TIMING_STATS[3]),
+        sround(F.avg(flag.cast("double"))).alias("last_minute_share"),
         F.count(F.lit(1)).alias("n_cancel"),
     )
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import random
 
 import duckdb
@@ -121,7 +122,10 @@ def _close(a, b):
     return False
 
 
-@pytest.fixture(scope="module", params=[11, 23])
+SEEDS = [int(x) for x in os.environ.get("AEROKPI_DIFF_SEEDS", "11,23").split(",")]
+
+
+@pytest.fixture(scope="module", params=SEEDS)
 def pair(request, spark):
     books, pax, flights = gen(request.param)
     data = {"booking": books, "passenger": pax, "flight": flights}

@@ -50,21 +50,26 @@ def dq_booking(booking: DataFrame) -> DataFrame:
 
 
 def booking_flags(booking: DataFrame) -> dict[str, F.Column]:
-    """Check name -> boolean Column over ``dq_booking`` (never null)."""
+    """Check name -> predicate over ``dq_booking``.
+
+    A predicate may be null where an input is null; in a filter or a
+    ``count_if`` null acts as false, which is the rule's meaning, and
+    leaving the predicate bare lets Parquet push it into the scan. Only
+    the negated routing rule needs an explicit null-as-false."""
     c = F.col
     cancelled = c("cancellation_date").isNotNull()
     r_up = routing_key("routing")
     o, d = routing_key("origin"), routing_key("destination")
     consistent = (r_up == F.concat(o, F.lit(ROUTING_DASH), d)) | (r_up == F.concat(o, F.lit(SEGMENT_ARROW), d))
     return {
-        "canceled_with_checkin_ancillary": cancelled & _false_if_null(c("revenue_per_booking_ancilliary_at_check_in") > 0),
-        "cancellation_before_reservation": _false_if_null(c("cancellation_date") < c("reservation_date")),
-        "reservation_after_flight": _false_if_null(c("reservation_date") > c("flight_date")),
-        "revenue_with_zero_passengers": _false_if_null((c("passengercount") == 0) & (c("total_revenue") > 0)),
-        "negative_revenue_fields": reduce(lambda a, b: a | b, [_false_if_null(c(x) < 0) for x in REVENUE_COLS]),
-        "negative_passengers": _false_if_null(c("passengercount") < 0),
+        "canceled_with_checkin_ancillary": cancelled & (c("revenue_per_booking_ancilliary_at_check_in") > 0),
+        "cancellation_before_reservation": c("cancellation_date") < c("reservation_date"),
+        "reservation_after_flight": c("reservation_date") > c("flight_date"),
+        "revenue_with_zero_passengers": (c("passengercount") == 0) & (c("total_revenue") > 0),
+        "negative_revenue_fields": reduce(lambda a, b: a | b, [c(x) < 0 for x in REVENUE_COLS]),
+        "negative_passengers": c("passengercount") < 0,
         "routing_inconsistent_with_od": ~_false_if_null(consistent),
-        "cancellation_with_positive_pax": cancelled & _false_if_null(c("passengercount") > 0),
+        "cancellation_with_positive_pax": cancelled & (c("passengercount") > 0),
         "missing_flight_date": c("flight_date").isNull(),
     }
 

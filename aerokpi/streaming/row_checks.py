@@ -29,7 +29,7 @@ def flag_bookings(bookings: DataFrame) -> DataFrame:
     b = dq_booking(bookings)
     flags = booking_flags(b)
     failed = F.filter(
-        F.array(*[F.when(flags[n], F.lit(n)) for n in BOOKING_CHECKS]), lambda x: x.isNotNull()
+        F.array(*[F.when(flags[n], F.lit(n)) for n in BOOKING_CHECKS]), lambda x: x.isNotNull()  # null flag: passes
     )
     return b.withColumn("failed_checks", failed).where(F.size("failed_checks") > 0)
 

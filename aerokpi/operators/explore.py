@@ -26,12 +26,22 @@ AVG_DIGITS = 6
 SNAP_DIGITS = 10
 
 
+def _round_half_up(c, digits: int) -> F.Column:
+    """floor(x * 10^d + 0.5) / 10^d in plain IEEE double arithmetic, so any
+    engine doing the same operations gets the same bits (built-in ``round``
+    functions differ between engines at exact decimal ties)."""
+    p = float(10 ** digits)
+    return F.floor(c * F.lit(p) + F.lit(0.5)) / F.lit(p)
+
+
 def sround(c) -> F.Column:
     """Round to AVG_DIGITS after snapping to SNAP_DIGITS: a value that is
     exactly on a rounding tie (small denominators make that common) but
     carries order-dependent noise in its last bits always rounds the same
     way."""
-    return F.round(F.round(c, SNAP_DIGITS), AVG_DIGITS)
+    if isinstance(c, str):
+        c = F.col(c)
+    return _round_half_up(_round_half_up(c, SNAP_DIGITS), AVG_DIGITS)
 
 
 def ravg(c) -> F.Column:

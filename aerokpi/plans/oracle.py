@@ -194,17 +194,17 @@ SELECT dow, CASE WHEN SUM(availablecapacity) > 0 THEN CAST(SUM(pax) AS DOUBLE) /
 FROM leg_report WHERE dow IS NOT NULL GROUP BY 1""")
 
 rel("calf_dow", ("leg_report", "realized"), f"""
-SELECT l.dow, round(round(avg(CASE WHEN l.availablecapacity > 0 THEN CAST(r.realized_pax AS DOUBLE) / l.availablecapacity END), 10), {R6}) AS calf
+SELECT l.dow, (floor((floor((avg(CASE WHEN l.availablecapacity > 0 THEN CAST(r.realized_pax AS DOUBLE) / l.availablecapacity END)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS calf
 FROM leg_report l LEFT JOIN realized r ON l.flightnumber = r.flightnumber AND l.flight_date = r.flight_date
 WHERE l.dow IS NOT NULL GROUP BY 1""")
 
 fo, fd = P.feeder_segment
 oo, od = P.onward_segment
 rel("pacs_dow", ("leg_report",), f"""
-SELECT l.dow, round(round(avg(CASE WHEN l.availablecapacity > 0 THEN
+SELECT l.dow, (floor((floor((avg(CASE WHEN l.availablecapacity > 0 THEN
    ((CASE WHEN l.origin = '{fo}' AND l.destination = '{fd}'
           THEN l.revenue + {P.dow_connection_value_pct}::DOUBLE * COALESCE(o.onward_rev, 0.0) ELSE l.revenue END)
-    - l.availablecapacity * {P.dow_variable_cost_per_seat_leg}::DOUBLE) / CAST(l.availablecapacity AS DOUBLE) END), 10), {R6}) AS pacs
+    - l.availablecapacity * {P.dow_variable_cost_per_seat_leg}::DOUBLE) / CAST(l.availablecapacity AS DOUBLE) END)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS pacs
 FROM leg_report l
 LEFT JOIN (SELECT dow, avg(revenue) AS onward_rev FROM leg_report
            WHERE origin = '{oo}' AND destination = '{od}' AND dow IS NOT NULL GROUP BY 1) o USING (dow)
@@ -220,7 +220,7 @@ SELECT bookingid_norm, arg_min(booking_channel_norm, ordinal) FILTER (WHERE book
 FROM passenger_clean WHERE bookingid_norm IS NOT NULL GROUP BY 1""")
 
 rel("lf_long", ("leg_report",), f"""
-SELECT origin, destination, dow, round(round(avg(load_factor), 10), {R6}) AS load_factor, origin || '→' || destination AS segment
+SELECT origin, destination, dow, (floor((floor((avg(load_factor)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS load_factor, origin || '→' || destination AS segment
 FROM leg_report WHERE dow IS NOT NULL GROUP BY 1, 2, 3""")
 
 rel("dq_booking", ("booking",), f"""
@@ -373,13 +373,13 @@ ORDER BY c.dow_ord""", "calendar", "fwlf_dow", "calf_dow")
 q("ancillary_share_top10", f"""
 SELECT * FROM aseg ORDER BY revenue DESC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST
 LIMIT {P.top_segments_aras}""", "aseg")
-q("network_avg_ancillary_share", f"SELECT round(round(avg(aras), 10), {R6}) AS network_avg_ancillary_share FROM aseg", "aseg")
+q("network_avg_ancillary_share", f"SELECT (floor((floor((avg(aras)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS network_avg_ancillary_share FROM aseg", "aseg")
 
 # ---- exploration, SQL convention
-q("lf_by_time", f"SELECT timeofday, round(round(avg(leg_lf), 10), {R6}) AS avg_lf FROM leg GROUP BY 1", "leg")
+q("lf_by_time", f"SELECT timeofday, (floor((floor((avg(leg_lf)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS avg_lf FROM leg GROUP BY 1", "leg")
 q("lf_by_time_ordered", f"""
 SELECT t.timeofday, s.avg_lf FROM tod_spine t
-LEFT JOIN (SELECT timeofday, round(round(avg(leg_lf), 10), {R6}) AS avg_lf FROM leg GROUP BY 1) s USING (timeofday)
+LEFT JOIN (SELECT timeofday, (floor((floor((avg(leg_lf)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS avg_lf FROM leg GROUP BY 1) s USING (timeofday)
 ORDER BY t.tod_ord""", "tod_spine", "leg")
 q("anc_share_segment", """
 SELECT a.origin, a.destination,
@@ -388,7 +388,7 @@ FROM leg_anc a JOIN leg l ON a.flightnumber = l.flightnumber AND a.flight_date =
 GROUP BY 1, 2""", "leg_anc", "leg")
 q("cancel_rate_segment", f"""
 SELECT origin, destination,
-  round(round(avg(CASE WHEN pax + cancels > 0 THEN CAST(cancels AS DOUBLE) / (pax + cancels) END), 10), {R6}) AS cancel_rate
+  (floor((floor((avg(CASE WHEN pax + cancels > 0 THEN CAST(cancels AS DOUBLE) / (pax + cancels) END)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS cancel_rate
 FROM leg GROUP BY 1, 2""", "leg")
 k = P.top_outliers
 q("low_lf_legs", f"""
@@ -429,11 +429,11 @@ FROM (SELECT bookingid_norm, COUNT(*) AS n, COUNT(cancellation_date) AS c FROM b
 JOIN pnr_channel p USING (bookingid_norm)
 WHERE p.primary_channel IS NOT NULL GROUP BY 1""", "booking_clean", "pnr_channel")
 q("lf_by_dow", on_calendar(f"""
-SELECT dayname(flight_date) AS dow, round(round(avg(load), 10), {R6}) AS avg_load_factor
+SELECT dayname(flight_date) AS dow, (floor((floor((avg(load)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS avg_load_factor
 FROM (SELECT flight_date, avg(load_factor) AS load FROM leg_report WHERE flight_date IS NOT NULL GROUP BY 1) d
 GROUP BY 1""", "s.avg_load_factor") + " ORDER BY c.dow_ord", "calendar", "leg_report")
 q("lf_by_time_of_day", f"""
-SELECT timeofday, round(round(avg(load_factor), 10), {R6}) AS avg_load_factor FROM leg_report
+SELECT timeofday, (floor((floor((avg(load_factor)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS avg_load_factor FROM leg_report
 WHERE timeofday IS NOT NULL GROUP BY 1""", "leg_report")
 q("lf_segment_dow_long", "SELECT * FROM lf_long", "lf_long")
 q("lf_segment_dow_wide", """
@@ -445,22 +445,22 @@ SELECT *, origin || '→' || destination AS od FROM segment_kpis
 ORDER BY revenue DESC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST LIMIT {P.top_segments_chart}""",
   "segment_kpis")
 q("directional_imbalance", f"""
-SELECT s.origin, s.destination, round(round(s.load_factor, 10), {R6}) AS load_factor,
-  round(round(r.load_factor, 10), {R6}) AS load_factor_rev, round(round(s.load_factor - r.load_factor, 10), {R6}) AS lf_diff_vs_reverse
+SELECT s.origin, s.destination, (floor((floor((s.load_factor) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS load_factor,
+  (floor((floor((r.load_factor) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS load_factor_rev, (floor((floor((s.load_factor - r.load_factor) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS lf_diff_vs_reverse
 FROM (SELECT origin, destination, avg(load_factor) AS load_factor FROM leg_report GROUP BY 1, 2) s
 LEFT JOIN (SELECT origin, destination, avg(load_factor) AS load_factor FROM leg_report GROUP BY 1, 2) r
   ON s.origin = r.destination AND s.destination = r.origin""", "leg_report")
 q("rev_lf_correlation", f"""
-SELECT CASE WHEN COUNT(*) > {P.min_corr_pairs} THEN round(round(corr(load_factor, rev_per_pax), 10), {R6}) END AS rev_lf_corr
+SELECT CASE WHEN COUNT(*) > {P.min_corr_pairs} THEN (floor((floor((corr(load_factor, rev_per_pax)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) END AS rev_lf_corr
 FROM leg_report WHERE load_factor IS NOT NULL AND rev_per_pax IS NOT NULL""", "leg_report")
 q("cancel_timing_stats", f"""
-SELECT round(round(CAST(quantile_cont(days_after_booking_to_cancel, 0.5) AS DOUBLE), 10), {R6}) AS median_days_after_booking,
-  round(round(CAST(quantile_cont(days_after_booking_to_cancel, 0.9) AS DOUBLE), 10), {R6}) AS p90_days_after_booking,
-  round(round(CAST(quantile_cont(days_before_flight_to_cancel, 0.5) AS DOUBLE), 10), {R6}) AS median_days_before_flight,
-  round(round(CAST(quantile_cont(days_before_flight_to_cancel, 0.9) AS DOUBLE), 10), {R6}) AS p90_days_before_flight
+SELECT (floor((floor((CAST(quantile_cont(days_after_booking_to_cancel, 0.5) AS DOUBLE)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS median_days_after_booking,
+  (floor((floor((CAST(quantile_cont(days_after_booking_to_cancel, 0.9) AS DOUBLE)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS p90_days_after_booking,
+  (floor((floor((CAST(quantile_cont(days_before_flight_to_cancel, 0.5) AS DOUBLE)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS median_days_before_flight,
+  (floor((floor((CAST(quantile_cont(days_before_flight_to_cancel, 0.9) AS DOUBLE)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS p90_days_before_flight
 FROM booking_clean WHERE is_cancelled""", "booking_clean")
 q("last_minute_share", f"""
-SELECT round(round(avg(CASE WHEN COALESCE(days_before_flight_to_cancel <= {P.last_minute_days}, false) THEN 1.0 ELSE 0.0 END), 10), {R6})
+SELECT (floor((floor((avg(CASE WHEN COALESCE(days_before_flight_to_cancel <= {P.last_minute_days}, false) THEN 1.0 ELSE 0.0 END)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6)
   AS last_minute_share
 FROM booking_clean WHERE is_cancelled""", "booking_clean")
 

@@ -15,13 +15,14 @@ import hashlib
 import os
 import tempfile
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from aerokpi.params import TESTDATA, KpiParams
 
 _LOCK = threading.RLock()
-_INSTANCES: dict[tuple[str, str], "Warehouse"] = {}
+_INSTANCES: dict[tuple[int, str, str], "Warehouse"] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -68,11 +69,13 @@ class Warehouse:
         from aerokpi.sources import adapter
         from aerokpi.sources.schema import conform, normalize_columns
 
-        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+        # one warehouse per session object and input; each writes into its own
+        # folder, so two sessions never overwrite each other's tables
+        key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
         with _LOCK:
             wh = _INSTANCES.get(key)
-            if wh is None:
-                root = f"{checkpoint_root(spark)}/aerokpi-warehouse/{_fingerprint(sf_dir)}"
+            if wh is None or wh.spark is not spark:
+                root = f"{checkpoint_root(spark)}/aerokpi-warehouse/{_fingerprint(sf_dir)}-{uuid.uuid4().hex[:8]}"
                 builders = {
                     "booking": lambda w: conform(normalize_columns(adapter.booking_sheet(spark, sf_dir)), "booking"),
                     "passenger": lambda w: conform(normalize_columns(adapter.passenger_sheet(spark, sf_dir)), "passenger"),
@@ -93,7 +96,8 @@ class Warehouse:
 
         paths = {"booking": booking, "passenger": passenger, "flight": flight}
         key = "|".join(f"{k}={os.path.abspath(v)}" for k, v in sorted(paths.items()))
-        root = f"{checkpoint_root(spark)}/aerokpi-warehouse/{hashlib.sha1(key.encode()).hexdigest()[:16]}"
+        root = (f"{checkpoint_root(spark)}/aerokpi-warehouse/"
+                f"{hashlib.sha1(key.encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}")
         builders = {k: (lambda w, k=k: read_entity(spark, paths[k], k, fmt)) for k in paths}
         return cls(spark, builders, root, params or DEFAULT)
 

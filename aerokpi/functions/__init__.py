@@ -5,18 +5,14 @@ from aerokpi.functions.columns import (  # noqa: F401
     canon_code,
     channel_norm,
     device_norm,
-    exact_money_sum,
-    money,
     money_total,
     money_units,
     units_sum,
     units_to_money,
-    nulls_as_zero_sum,
     ratio,
     routing_key,
     segment_label,
     strip_ws,
-    to_double,
     weekday_name,
     whole_days,
 )

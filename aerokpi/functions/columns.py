@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerokpi.params import CHANNEL_SYNONYMS, MONEY_SUM_TYPE, MONEY_TYPE, MONEY_UNITS, SEGMENT_ARROW, WEEKDAYS
+from aerokpi.params import CHANNEL_SYNONYMS, MONEY_UNITS, SEGMENT_ARROW, WEEKDAYS
 
 
 def _c(x) -> Column:
@@ -86,23 +86,12 @@ def whole_days(end, start, dates: bool = False) -> Column:
     return F.floor(secs / F.lit(86400)).cast("bigint")
 
 
-def to_double(x) -> Column:
-    return _c(x).cast("double")
-
 
 def ratio(num, den) -> Column:
     """num / den as DOUBLE, null when den is null or zero (never raises)."""
     return F.try_divide(_c(num).cast("double"), F.nullif(_c(den).cast("double"), F.lit(0.0)))
 
 
-def money(x) -> Column:
-    """Fixed-point money value (lenient: unparsable input gives null)."""
-    return _c(x).try_cast(MONEY_TYPE)
-
-
-def nulls_as_zero_sum(*cols) -> Column:
-    """Row-wise sum that treats nulls as zero (never null)."""
-    return reduce(lambda a, b: a + b, [F.coalesce(_c(c), F.lit(0)) for c in cols])
 
 
 def money_units(x) -> Column:
@@ -133,13 +122,3 @@ def money_total(*cols, nulls_as_zero: bool = True) -> Column:
 def units_sum(u) -> Column:
     """Overflow-safe SUM of unit counts across many rows (DECIMAL(38,0))."""
     return F.sum(_c(u).cast("decimal(38,0)"))
-
-
-def exact_money_sum(x) -> Column:
-    """SUM of money done in exact decimal arithmetic, returned as DOUBLE.
-
-    Double inputs that carry at most four decimals round-trip exactly
-    through ``decimal(38,4)``, so the result is independent of summation
-    order (and therefore of partitioning).
-    """
-    return F.sum(_c(x).cast(MONEY_SUM_TYPE)).cast("double")

@@ -62,9 +62,7 @@ ROUTING_DASH = "-"
 # units of 1e-4, so a sum never depends on the order in which partitions
 # are combined. Sums over more than one leg use DECIMAL(38,0) units so
 # they cannot overflow.
-MONEY_TYPE = "double"
 MONEY_UNITS = 10000
-MONEY_SUM_TYPE = "decimal(38,4)"
 
 
 @dataclass(frozen=True)

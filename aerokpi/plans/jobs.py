@@ -22,9 +22,6 @@ from aerokpi.params import DQ_CHECKS
 from aerokpi.sources.readers import write_table
 from aerokpi.sources.warehouse import Warehouse
 
-SMALL_ROWS = 10_000  # tables bounded by segments / weekdays / checks: one output file
-
-
 def _write(df: DataFrame, path: str, fmt: str, small: bool = False) -> None:
     write_table(df.coalesce(1) if small else df, path, fmt)
 

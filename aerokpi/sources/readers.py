@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerokpi.sources import adapter
 from aerokpi.sources.schema import conform, normalize_columns
 
 
@@ -28,13 +27,6 @@ def read_entity(spark: SparkSession, path: str, entity: str, fmt: str = "parquet
     return conform(df, entity)
 
 
-def entities_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """booking / passenger / flight derived from the TPC-style test tables (lazy)."""
-    booking = conform(normalize_columns(adapter.booking_sheet(spark, sf_dir)), "booking")
-    passenger = conform(normalize_columns(adapter.passenger_sheet(spark, sf_dir)), "passenger")
-    flight = conform(normalize_columns(adapter.flight_sheet(booking)), "flight")
-    return {"booking": booking, "passenger": passenger, "flight": flight}
-
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = True) -> None:
     """Publish a dataset (replace). CSV gets a header row, Parquet is the default."""

@@ -132,7 +132,8 @@ def dq_summary(booking: DataFrame, passenger: DataFrame, dq_leg_df: DataFrame,
                params: KpiParams = DEFAULT) -> DataFrame:
     """DQ-S: (check, count) for the fifteen checks, most offenders first,
     ties in check order. Four one-row aggregates (bookings, duplicate groups,
-    PNRs, legs) combined and unpivoted: no offender row reaches the driver."""
+    PNRs, legs), each unpivoted to (check, count) rows and unioned: no
+    offender row reaches the driver."""
     b = dq_booking(booking)
     bf = booking_flags(b)
     row_counts = b.agg(*[F.count_if(bf[n]).alias(n) for n in BOOKING_CHECKS])
@@ -147,8 +148,14 @@ def dq_summary(booking: DataFrame, passenger: DataFrame, dq_leg_df: DataFrame,
     ])
     lf = leg_flags(dq_leg_df, params)
     legs = dq_leg_df.agg(*[F.count_if(lf[n]).alias(n) for n in LEG_CHECKS])
-    wide = row_counts.crossJoin(dup).crossJoin(pax).crossJoin(legs)  # 1 x 1 x 1 x 1 rows
-    wide = wide.select(*[F.col(n).cast("bigint").alias(n) for n in DQ_CHECKS])
-    long = wide.unpivot([], list(DQ_CHECKS), "check", "count")
+
+    def as_rows(one_row: DataFrame, names) -> DataFrame:  # (check, count) rows
+        cols = list(names)
+        return one_row.select(*[F.col(n).cast("bigint").alias(n) for n in cols]).unpivot([], cols, "check", "count")
+
+    long = reduce(DataFrame.unionByName, [
+        as_rows(row_counts, BOOKING_CHECKS), as_rows(dup, ["duplicate_legs_within_pnr"]),
+        as_rows(pax, PASSENGER_CHECKS), as_rows(legs, LEG_CHECKS),
+    ])
     order = F.array_position(F.array(*[F.lit(n) for n in DQ_CHECKS]), F.col("check"))
     return long.orderBy(F.col("count").desc(), order)

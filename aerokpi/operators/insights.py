@@ -86,13 +86,29 @@ def _ord(col: str) -> F.Column:
     return F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col(col))
 
 
+def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two frames of at most one row with disjoint columns -> one row with
+    all columns, or no row if either is empty (a union plus a one-group
+    aggregate; no join)."""
+    ca, cb = a.columns, b.columns
+    ua = a.select(*ca, *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in cb],
+                  F.lit(1).alias("_in_a"), F.lit(0).alias("_in_b"))
+    ub = b.select(*[F.lit(None).cast(a.schema[c].dataType).alias(c) for c in ca], *cb,
+                  F.lit(0).alias("_in_a"), F.lit(1).alias("_in_b"))
+    both = ua.unionByName(ub).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ca + cb],
+        F.max("_in_a").alias("_in_a"), F.max("_in_b").alias("_in_b"),
+    )
+    return both.where((F.col("_in_a") == 1) & (F.col("_in_b") == 1)).drop("_in_a", "_in_b")
+
+
 def _extremes(df: DataFrame, key: str, val: str, order) -> DataFrame:
     """One row: key and value of the minimum and of the maximum of ``val``
     (nulls ignored, ties broken by ``order``)."""
     v = df.where(F.col(val).isNotNull())
     lo = v.orderBy(F.col(val).asc(), *order).limit(1).select(F.col(key).alias("low"), F.col(val).alias("low_v"))
     hi = v.orderBy(F.col(val).desc(), *order).limit(1).select(F.col(key).alias("high"), F.col(val).alias("high_v"))
-    return lo.crossJoin(hi)  # 1 x 1 rows
+    return _side_by_side(lo, hi)
 
 
 def insights(spark: SparkSession, booking: DataFrame, passenger: DataFrame, base: DataFrame,
@@ -169,7 +185,7 @@ def insights(spark: SparkSession, booking: DataFrame, passenger: DataFrame, base
         c("origin").alias("low_o"), c("destination").alias("low_d"), c("anc_share").alias("low_v"))
     hi = top_seg.orderBy(c("anc_share").desc_nulls_last(), *ties).limit(1).select(
         c("origin").alias("high_o"), c("destination").alias("high_d"), c("anc_share").alias("high_v"))
-    j = lo.crossJoin(hi)
+    j = _side_by_side(lo, hi)
     jc = {k: c(k) for k in ("low_o", "low_d", "low_v", "high_o", "high_d", "high_v")}
     rows.append(_row(j, "J", F.concat(c("low_o"), F.lit("→"), c("low_d"), F.lit(" / "), c("high_o"), F.lit("→"), c("high_d")),
                      c("low_v"), c("high_v"), render(T["J"], jc)))

@@ -66,3 +66,18 @@ def test_streaming_row_checks(spark, tmp_path):
     q2.awaitTermination(120)
     counts = {r["check"]: r["count"] for r in spark.table("aerokpi_dq_counts").collect()}
     assert counts["negative_passengers"] == 1 and counts["missing_flight_date"] == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF0001), reason="test data not present")
+def test_kpi_export_and_ingest(spark, tmp_path):
+    w = Warehouse.for_testdata(spark, SF0001)
+    out = str(tmp_path)
+    jobs.export_kpis(w, f"{out}/kpis", "csv")
+    jobs.ingest(w, out, "parquet")
+    read = lambda p: spark.read.option("header", True).csv(p)
+    assert float(read(f"{out}/kpis/fwlf_overall").first().fwlf) == pytest.approx(0.14494495466885476, rel=1e-12)
+    assert read(f"{out}/kpis/fwlf_by_segment").count() == 25
+    detail = read(f"{out}/kpis/leg_detail")
+    assert detail.count() == 5584 and {"q5", "yield_index", "rev_per_pax"} <= set(detail.columns)
+    assert spark.read.parquet(f"{out}/raw/booking").count() == 6000
+    assert spark.read.parquet(f"{out}/raw/flight").count() == 5439

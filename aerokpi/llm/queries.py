@@ -57,3 +57,11 @@ SELECT doc_id,
        text_sha256
 FROM d
 """
+
+
+@register
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of every document's BPE ids, and of what they decode to."""
+    from aerokpi.llm.bpe import encoded
+
+    return encoded(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))

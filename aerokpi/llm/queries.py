@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerokpi.llm.common import read_table, ship_package
+from aerokpi.llm.common import new_path, read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,34 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerokpi.llm.bpe import encoded
 
     return encoded(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@register
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from aerokpi.llm.language_id import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to WARC archives and read back."""
+    from aerokpi.llm.warc import archived, write_archives
+
+    pages = read_table(spark, sf_dir, "pages")
+    path = new_path(spark, "warc")
+    write_archives(pages, path)
+    return archived(spark, path, "page_id", pages.schema["page_id"].dataType.simpleString())
+
+
+ORACLE["op6_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""

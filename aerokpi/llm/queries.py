@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aerokpi.llm.common import new_path, read_table, ship_package
 
@@ -96,3 +97,20 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+
+@register
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings for every twentieth."""
+    from aerokpi.llm.ann import search
+
+    rows = read_table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@register
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document and whether resampling keeps it."""
+    from aerokpi.llm.resampling import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -114,3 +114,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerokpi.llm.resampling import resample
 
     return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under word-shingle Jaccard links."""
+    from aerokpi.llm.jaccard import near_copies
+
+    return near_copies(read_table(spark, sf_dir, "documents"))

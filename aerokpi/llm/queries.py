@@ -122,3 +122,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerokpi.llm.jaccard import near_copies
 
     return near_copies(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 100 bytes."""
+    from aerokpi.llm.suffix_dedup import cut_repeats
+
+    return cut_repeats(read_table(spark, sf_dir, "documents"))

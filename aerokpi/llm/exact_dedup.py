@@ -45,4 +45,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = exact_copies(docs, id_col, text_col, capacity).where(~F.col("kept")).select(
         F.col(id_col).alias("gone_id"), F.unhex("text_sha256").alias("gone_digest")).distinct()
     return docs.join(
-        gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (text_digest(docs[text_col]) == F.col("gone_digest")), "left_anti")
+        gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (text_digest(docs[text_col]) == gone["gone_digest"]), "left_anti")

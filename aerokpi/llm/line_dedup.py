@@ -112,6 +112,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """`docs` whose texts lack the lines that `line_decisions` does not keep; all columns stay."""
     gone = line_decisions(docs, id_col, text_col, min_chars).where(~F.col("kept")).groupBy(F.col(id_col).alias("gone_id")) \
         .agg(F.collect_set("line_no").alias("gone"))
-    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left").withColumn(
-        text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    left = F.array_join(F.filter(F.split(f"row.{text_col}", "\n", -1), lambda _, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n")
+    text = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(left)
+    return docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("gone_id")), "left").select(
+        *[text.alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns])

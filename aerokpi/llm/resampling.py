@@ -115,9 +115,32 @@ def kth_largest(table: DataFrame, value: str, k: int) -> int | None:
     return prefix
 
 
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, seed: int, buckets: int) -> tuple[DataFrame, np.ndarray, int | None]:
+    """The weights table (id, log_weight, n_words, key, rank_key) of all documents, the log
+    ratios, and the least rank key that is kept (None: none is)."""
+    good = written(labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+                   .groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("good")), "labels")
+    ids = good.where("good = 1")
+    n_target = ids.count()
+    if n_target > MAX_TARGET_DOCS:
+        ids = ids.where(F.pmod(F.xxhash64("label_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * MAX_TARGET_DOCS / n_target))
+    marked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = bucket_counts(marked.join(F.broadcast(ids.select("label_id")), F.col("id") == F.col("label_id"), "left"),
+                           "text", F.col("label_id").isNotNull(), buckets)
+    ratios = log_ratios(counts, buckets)
+    share = good.agg(F.avg((F.col("good") == 1).cast("double"))).first()[0]
+    scored = written(with_keys(log_weights(marked, ["id"], "text", ratios), seed), "weights")
+    n = scored.count()
+    return scored, ratios, kth_largest(scored, "rank_key", n if share is None else round(n * share))
+
+
+def with_keys(scored: DataFrame, seed: int) -> DataFrame:
+    return scored.withColumn("key", F.col("log_weight") + gumbel(F.col("id"), seed)).withColumn("rank_key", F.round(F.col("key") * 1e6).cast("long"))
+
+
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
              seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: id, log_weight, key, kept.
+    """One row per document: id, log_weight, key, n_words, kept.
 
     Two generative models over hashed words and word pairs, one of the documents labelled 1
     (the target) and one of all documents (the raw text), give each document its log
@@ -131,20 +154,17 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     own hash and is never a target. An id with labels that disagree counts as 1. An empty
     table gives an empty result; other columns are ignored.
     """
-    good = written(labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-                   .groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("good")), "labels")
-    ids = good.where("good = 1")
-    n_target = ids.count()
-    if n_target > MAX_TARGET_DOCS:
-        ids = ids.where(F.pmod(F.xxhash64("label_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * MAX_TARGET_DOCS / n_target))
-    marked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = bucket_counts(marked.join(F.broadcast(ids.select("label_id")), F.col("id") == F.col("label_id"), "left"),
-                           "text", F.col("label_id").isNotNull(), buckets)
-    ratios = log_ratios(counts, buckets)
-    share = good.agg(F.avg((F.col("good") == 1).cast("double"))).first()[0]
-    scored = log_weights(marked, ["id"], "text", ratios).withColumn("key", F.col("log_weight") + gumbel(F.col("id"), seed))
-    scored = written(scored.withColumn("rank_key", F.round(F.col("key") * 1e6).cast("long")), "weights")
-    n = scored.count()
-    least = kth_largest(scored, "rank_key", n if share is None else round(n * share))
-    kept = F.lit(least is not None) if least is None else F.col("rank_key") >= least
+    scored, _, least = weigh(docs, labels, id_col, text_col, label_col, seed, buckets)
+    kept = F.lit(False) if least is None else F.col("rank_key") >= least
     return scored.select(F.col("id").alias(id_col), "log_weight", "key", "n_words", kept.alias("kept"))
+
+
+def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                   seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of `docs` that `resample` keeps, with all their columns. The texts are weighed
+    again where they lie instead of being shuffled to the decisions."""
+    _, ratios, least = weigh(docs, labels, id_col, text_col, label_col, seed, buckets)
+    if least is None:
+        return docs.limit(0)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return with_keys(log_weights(whole, ["row", "id"], "text", ratios), seed).where(F.col("rank_key") >= least).select("row.*")

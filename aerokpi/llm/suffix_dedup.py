@@ -312,9 +312,8 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and on request `kept`
-    (the remaining text; characters that lost some of their bytes are left out).
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, and matches stay within documents. Every byte is removed that is
     covered by a string of `length` bytes (a multiple of BLOCKS) that also starts earlier: in
@@ -329,9 +328,23 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id and text don't remove each other; an empty table gives an empty result; other
     columns are ignored.
     """
-    plain = docs.select(F.col(id_col).alias("id"), id_key(F.col(id_col)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _cut(docs.select(F.col(id_col).alias("row"), id_key(F.col(id_col)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")),
+                length, False).withColumnRenamed("row", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """`docs` with the texts that `cut_repeats` leaves; all rows and columns stay. A character
+    that lost some of its bytes is left out; a null text stays null."""
+    rows = _cut(docs.select(F.struct(*docs.columns).alias("row"), id_key(F.col(id_col)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")),
+                length, True)
+    text = F.when(F.col(f"row.{text_col}").isNotNull(), F.col("kept"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns])
+
+
+def _cut(plain: DataFrame, length: int, with_text: bool) -> DataFrame:
+    """For docs (row, doc, text): row, n_bytes, n_removed, n_spans, kept_sha256 and maybe kept."""
     found = repeated_ranges(plain, length).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("row", "start", "stop")).alias("gone"))
-    fields = [T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    fields = [plain.schema["row"]] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType(fields + [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType())] * with_text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,4 +378,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns += [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] * with_text
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return plain.join(found, plain["doc"] == found["of"], "left").select("id", "text", "gone").mapInArrow(work, schema)
+    return plain.join(found, plain["doc"] == found["of"], "left").select("row", "text", "gone").mapInArrow(work, schema)

@@ -97,10 +97,14 @@ def ratio(num, den) -> Column:
 def money_units(x) -> Column:
     """Exact BIGINT count of 1e-4 units of a money amount (null stays null).
 
-    ``rint`` is exact here: x * 1e4 is within one ulp of an integer for
-    any amount below 9e11 with at most four decimals.
+    Amounts have four decimals at most; one that lies off this scale is an error, never
+    rounded. ``rint`` is exact: x * 1e4 is within an ulp of an integer for amounts on it.
     """
-    return F.rint(_c(x) * F.lit(float(MONEY_UNITS))).cast("bigint")
+    scaled = _c(x) * F.lit(float(MONEY_UNITS))
+    units = F.rint(scaled)
+    off = F.abs(scaled - units) > F.greatest(F.lit(1e-3), F.abs(units) * F.lit(4e-16))
+    message = F.concat(F.lit("amount with more than four decimals: "), _c(x).cast("string"))
+    return F.when(off, F.raise_error(message).cast("bigint")).otherwise(units.cast("bigint"))
 
 
 def units_to_money(u) -> Column:

@@ -95,23 +95,25 @@ def _passenger_ids(passenger: DataFrame) -> DataFrame:
     return passenger.withColumn("bookingid_norm", booking_id_norm("bookingid"))
 
 
-def _distinct_with_null(c: str) -> F.Column:
-    """Number of distinct values, a null counting as one more value."""
-    return F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))
+def _several(c: str) -> F.Column:
+    """More than one distinct value, a null counting as one (one partial aggregate)."""
+    mixed = (F.count(c) > 0) & (F.count(c) < F.count(F.lit(1)))
+    return F.coalesce(F.min(c) != F.max(c), F.lit(False)) | mixed
 
 
 def passenger_per_pnr(passenger: DataFrame) -> DataFrame:
+    """Per PNR: rows, and whether it has several raw channels (devices)."""
     p = _passenger_ids(passenger).where(F.col("bookingid_norm").isNotNull())
     return p.groupBy("bookingid_norm").agg(
         F.count(F.lit(1)).alias("n"),
-        *[_distinct_with_null(col).alias(f"n_{name}") for name, col in PASSENGER_CHECKS.items()],
+        *[_several(col).alias(f"several_{name}") for name, col in PASSENGER_CHECKS.items()],
     )
 
 
 def passenger_check(passenger: DataFrame, name: str) -> DataFrame:
     """DQ-4 / DQ-5: passenger rows of PNRs with more than one distinct raw
     channel (device); a null counts as a value."""
-    ids = passenger_per_pnr(passenger).where(F.col(f"n_{name}") > 1).select("bookingid_norm")
+    ids = passenger_per_pnr(passenger).where(f"several_{name}").select("bookingid_norm")
     return _passenger_ids(passenger).join(ids, "bookingid_norm", "left_semi")
 
 
@@ -143,7 +145,7 @@ def dq_summary(booking: DataFrame, passenger: DataFrame, dq_leg_df: DataFrame,
     )
     per = passenger_per_pnr(passenger)
     pax = per.agg(*[
-        F.coalesce(F.sum(F.when(F.col(f"n_{n}") > 1, F.col("n"))), F.lit(0)).cast("bigint").alias(n)
+        F.coalesce(F.sum(F.when(F.col(f"several_{n}"), F.col("n"))), F.lit(0)).cast("bigint").alias(n)
         for n in PASSENGER_CHECKS
     ])
     lf = leg_flags(dq_leg_df, params)

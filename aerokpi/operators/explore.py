@@ -5,9 +5,9 @@ Report convention (over ``leg_report`` / bookings): R-5 ... R-13, R-17,
 R-19, R-21. In the report convention a null group key is dropped, except
 for O&D codes (kept as a group of their own).
 
-Averages of doubles are rounded to ``AVG_DIGITS`` decimals: the exact
-last bits of a floating-point sum depend on the order in which partitions
-are combined, and rounding makes the published value reproducible.
+Operators return full-precision doubles. The registry publishes averages
+rounded to ``AVG_DIGITS`` decimals (``published``): the last bits of a
+floating-point sum depend on the order in which partitions are combined.
 """
 
 from __future__ import annotations
@@ -22,30 +22,20 @@ from aerokpi.operators.clean import booking_clean, pnr_channel
 from aerokpi.operators.marts import leg_anc, leg_revpp
 from aerokpi.params import DEFAULT, TIMES_OF_DAY, WEEKDAYS, KpiParams
 
+#: Decimals of published averages; the snap removes order-dependent noise at exact ties.
 AVG_DIGITS = 6
 SNAP_DIGITS = 10
 
 
-def _round_half_up(c, digits: int) -> F.Column:
-    """floor(x * 10^d + 0.5) / 10^d in plain IEEE double arithmetic, so any
-    engine doing the same operations gets the same bits (built-in ``round``
-    functions differ between engines at exact decimal ties)."""
-    p = float(10 ** digits)
-    return F.floor(c * F.lit(p) + F.lit(0.5)) / F.lit(p)
-
-
-def sround(c) -> F.Column:
-    """Round to AVG_DIGITS after snapping to SNAP_DIGITS: a value that is
-    exactly on a rounding tie (small denominators make that common) but
-    carries order-dependent noise in its last bits always rounds the same
-    way."""
-    if isinstance(c, str):
-        c = F.col(c)
-    return _round_half_up(_round_half_up(c, SNAP_DIGITS), AVG_DIGITS)
-
-
-def ravg(c) -> F.Column:
-    return sround(F.avg(c))
+def published(c) -> F.Column:
+    """A value as published: rounded to AVG_DIGITS after snapping to SNAP_DIGITS, in plain
+    IEEE doubles (ties to even), so any engine doing the same operations gets the same
+    bits and no value is clamped to an integer range."""
+    c = F.col(c) if isinstance(c, str) else c
+    for digits in (SNAP_DIGITS, AVG_DIGITS):
+        p = F.lit(float(10**digits))
+        c = F.rint(c * p) / p
+    return c
 
 
 def spine(spark: SparkSession, labels, name: str, ord_name: str) -> DataFrame:
@@ -77,26 +67,27 @@ def on_calendar(spark: SparkSession, df: DataFrame, key: str = "dow") -> DataFra
 # ---------------------------------------------------------------------------
 def lf_by_time(leg: DataFrame) -> DataFrame:
     """K-14: mean leg LF per time of day (null time of day kept)."""
-    return leg.groupBy("timeofday").agg(ravg("leg_lf").alias("avg_lf"))
+    return leg.groupBy("timeofday").agg(F.avg("leg_lf").alias("avg_lf"))
 
 
 def lf_by_time_ordered(spark: SparkSession, leg: DataFrame) -> DataFrame:
     """R-21: K-14 on the Morning/Afternoon/Evening spine, in that order."""
     tod = spine(spark, TIMES_OF_DAY, "timeofday", "tod_ord")
+    leg = leg.where(F.col("timeofday").isin(*TIMES_OF_DAY))  # at most three groups: a proven broadcast bound
     return F.broadcast(tod).join(F.broadcast(lf_by_time(leg)), "timeofday", "left").orderBy("tod_ord").drop("tod_ord")
 
 
 def anc_share_segment(base: DataFrame, leg: DataFrame) -> DataFrame:
     """K-15: ancillary (per 4-key leg) joined to legs on flight number and date
     only, then ancillary / leg revenue by the ancillary side's O&D."""
-    a = leg_anc(base).alias("a")
-    lg = leg.select("flightnumber", "flight_date", "total_revenue").alias("l")
-    j = a.join(lg, (F.col("a.flightnumber") == F.col("l.flightnumber")) & (F.col("a.flight_date") == F.col("l.flight_date")))
-    return j.groupBy(F.col("a.origin").alias("origin"), F.col("a.destination").alias("destination")).agg(
-        ratio(
-            units_to_money(units_sum("a.anc_rev_u")),
-            units_to_money(units_sum(money_units("l.total_revenue"))),
-        ).alias("anc_share")
+    # legs reduced to one row per (flight number, date) before the join, so a
+    # flight on many O&Ds is never expanded into all pairs of them
+    a = leg_anc(base)
+    flights = leg.groupBy("flightnumber", "flight_date").agg(
+        F.count(F.lit(1)).alias("n_legs"), units_sum(money_units("total_revenue")).alias("revenue_u"))
+    j = a.join(flights, ["flightnumber", "flight_date"])
+    return j.groupBy("origin", "destination").agg(
+        ratio(units_to_money(units_sum(F.col("anc_rev_u") * F.col("n_legs"))), units_to_money(units_sum("revenue_u"))).alias("anc_share")
     )
 
 
@@ -104,7 +95,7 @@ def cancel_rate_segment(leg: DataFrame) -> DataFrame:
     """K-16: mean over legs of cancels / (pax + cancels)."""
     tot = F.col("pax") + F.col("cancels")
     return leg.groupBy("origin", "destination").agg(
-        ravg(F.when(tot > 0, ratio("cancels", tot))).alias("cancel_rate")
+        F.avg(F.when(tot > 0, ratio("cancels", tot))).alias("cancel_rate")
     )
 
 
@@ -196,7 +187,7 @@ def lf_by_dow(spark: SparkSession, leg_report: DataFrame) -> DataFrame:
         .groupBy("flight_date")
         .agg(F.avg("load_factor").alias("load"))
     )
-    by_dow = by_date.groupBy(F.date_format("flight_date", "EEEE").alias("dow")).agg(ravg("load").alias("avg_load_factor"))
+    by_dow = by_date.groupBy(F.date_format("flight_date", "EEEE").alias("dow")).agg(F.avg("load").alias("avg_load_factor"))
     return on_calendar(spark, by_dow)
 
 
@@ -205,7 +196,7 @@ def lf_by_time_of_day(leg_report: DataFrame) -> DataFrame:
     return (
         leg_report.where(F.col("timeofday").isNotNull())
         .groupBy("timeofday")
-        .agg(ravg("load_factor").alias("avg_load_factor"))
+        .agg(F.avg("load_factor").alias("avg_load_factor"))
     )
 
 
@@ -214,19 +205,23 @@ def lf_segment_dow_long(leg_report: DataFrame) -> DataFrame:
     return (
         leg_report.where(F.col("dow").isNotNull())
         .groupBy("origin", "destination", "dow")
-        .agg(ravg("load_factor").alias("load_factor"))
+        .agg(F.avg("load_factor").alias("load_factor"))
         .withColumn("segment", segment_label())
     )
 
 
 def lf_segment_dow_wide(leg_report: DataFrame) -> DataFrame:
     """R-10 (wide): one row per weekday that has a value, one column per
-    segment that has a value. The pivot values are the distinct segment
-    labels (a bounded set: Spark refuses more than spark.sql.pivotMaxValues)."""
+    segment that has a value, in label order. The segments (O&D pairs, a small
+    list) are read from the aggregated table first, so none is left out whatever
+    their number; rows are in calendar order."""
     # a null label (null O&D code) cannot name a column: left out, as a null
     # group key is in a pivot
     long = lf_segment_dow_long(leg_report).where(F.col("load_factor").isNotNull() & F.col("segment").isNotNull())
-    return long.groupBy("dow").pivot("segment").agg(F.first("load_factor"))
+    segments = [r["segment"] for r in long.select("segment").distinct().orderBy("segment").collect()]
+    position = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("dow"))
+    wide = long.groupBy("dow").agg(*[F.max(F.when(F.col("segment") == x, F.col("load_factor"))).alias(x) for x in segments])
+    return wide.orderBy(position)
 
 
 def segment_kpis(base: DataFrame) -> DataFrame:
@@ -276,9 +271,9 @@ def directional_imbalance(leg_report: DataFrame) -> DataFrame:
     j = s.join(rev, ["origin", "destination"], "left")
     return j.select(
         "origin", "destination",
-        sround("load_factor").alias("load_factor"),
-        sround("load_factor_rev").alias("load_factor_rev"),
-        sround(F.col("load_factor") - F.col("load_factor_rev")).alias("lf_diff_vs_reverse"),
+        "load_factor",
+        "load_factor_rev",
+        (F.col("load_factor") - F.col("load_factor_rev")).alias("lf_diff_vs_reverse"),
     )
 
 
@@ -287,7 +282,7 @@ def rev_lf_correlation(leg_report: DataFrame, params: KpiParams = DEFAULT) -> Da
     null unless there are more than ``min_corr_pairs`` pairs."""
     p = leg_report.na.drop(subset=["load_factor", "rev_per_pax"])
     return p.agg(
-        F.when(F.count(F.lit(1)) > params.min_corr_pairs, sround(F.corr("load_factor", "rev_per_pax"))).alias("rev_lf_corr")
+        F.when(F.count(F.lit(1)) > params.min_corr_pairs, F.corr("load_factor", "rev_per_pax")).alias("rev_lf_corr")
     )
 
 
@@ -304,11 +299,11 @@ def cancellation_timing(booking: DataFrame, params: KpiParams = DEFAULT) -> Data
     a, f = F.col("days_after_booking_to_cancel"), F.col("days_before_flight_to_cancel")
     flag = F.coalesce(f <= params.last_minute_days, F.lit(False))
     return b.agg(
-        sround(F.percentile(a, F.lit(0.5))).alias(TIMING_STATS[0]),
-        sround(F.percentile(a, F.lit(0.9))).alias(TIMING_STATS[1]),
-        sround(F.percentile(f, F.lit(0.5))).alias(TIMING_STATS[2]),
-        sround(F.percentile(f, F.lit(0.9))).alias(TIMING_STATS[3]),
-        sround(F.avg(flag.cast("double"))).alias("last_minute_share"),
+        F.percentile(a, F.lit(0.5)).alias(TIMING_STATS[0]),
+        F.percentile(a, F.lit(0.9)).alias(TIMING_STATS[1]),
+        F.percentile(f, F.lit(0.5)).alias(TIMING_STATS[2]),
+        F.percentile(f, F.lit(0.9)).alias(TIMING_STATS[3]),
+        F.avg(flag.cast("double")).alias("last_minute_share"),
         F.count(F.lit(1)).alias("n_cancel"),
     )
 
@@ -345,4 +340,4 @@ def ancillary_share_top(base: DataFrame, k: int) -> DataFrame:
 
 def network_avg_ancillary_share(base: DataFrame) -> DataFrame:
     """R-17: unweighted mean of the per-segment ancillary share."""
-    return ancillary_share_by_segment(base).agg(ravg("aras").alias("network_avg_ancillary_share"))
+    return ancillary_share_by_segment(base).agg(F.avg("aras").alias("network_avg_ancillary_share"))

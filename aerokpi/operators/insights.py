@@ -132,15 +132,20 @@ def insights(spark: SparkSession, booking: DataFrame, passenger: DataFrame, base
     rows.append(_row(top, "B", c("flight_dow"), c("cancel_rate"), None,
                      render(T["B"], {"dow": c("flight_dow"), "rate": c("cancel_rate")})))
 
-    # C, D: cancellation timing (only when something was cancelled)
-    # one aggregation over the cancelled bookings feeds rules C, D and K
+    # C, D, K: cancellation timing (only when something was cancelled): one
+    # aggregation over the bookings, whose row is fanned out into three lines
     timing = explore.cancellation_timing(booking, params).where(c("n_cancel") > 0)
-    for rule, med, p90 in (
+
+    def line(rule: str, value: str, value2: str | None, text: F.Column) -> F.Column:
+        return F.struct(F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("subject"), c(value).alias("value"),
+                        (c(value2) if value2 else F.lit(None).cast("double")).alias("value2"), text.alias("text"))
+
+    lines = [line(rule, med, p90, render(T[rule], {"med": c(med), "p90": c(p90)})) for rule, med, p90 in (
         ("C", "median_days_after_booking", "p90_days_after_booking"),
         ("D", "median_days_before_flight", "p90_days_before_flight"),
-    ):
-        t = timing.where(c(med).isNotNull() & c(p90).isNotNull())
-        rows.append(_row(t, rule, None, c(med), c(p90), render(T[rule], {"med": c(med), "p90": c(p90)})))
+    )] + [line("K", "last_minute_share", None, render(T["K"], {"share": c("last_minute_share")}))]
+    rows.append(timing.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
+                .where(c("value").isNotNull() & ((c("rule") == "K") | c("value2").isNotNull())))
 
     # E: channel with the highest cancellation rate among channels with enough bookings
     ch = (
@@ -174,6 +179,7 @@ def insights(spark: SparkSession, booking: DataFrame, passenger: DataFrame, base
         explore.directional_imbalance(leg_report)
         .orderBy(F.abs("lf_diff_vs_reverse").desc_nulls_last(), c("origin").asc_nulls_last(), c("destination").asc_nulls_last())
         .limit(1)
+        .where(c("lf_diff_vs_reverse").isNotNull())  # no line for a network without a reverse direction
     )
     rows.append(_row(imb, "I", F.concat(c("origin"), F.lit("→"), c("destination")), c("lf_diff_vs_reverse"), None,
                      render(T["I"], {"origin": c("origin"), "destination": c("destination"), "diff": c("lf_diff_vs_reverse")})))
@@ -185,14 +191,11 @@ def insights(spark: SparkSession, booking: DataFrame, passenger: DataFrame, base
         c("origin").alias("low_o"), c("destination").alias("low_d"), c("anc_share").alias("low_v"))
     hi = top_seg.orderBy(c("anc_share").desc_nulls_last(), *ties).limit(1).select(
         c("origin").alias("high_o"), c("destination").alias("high_d"), c("anc_share").alias("high_v"))
-    j = _side_by_side(lo, hi)
+    j = _side_by_side(lo, hi).where(c("low_v").isNotNull() & c("high_v").isNotNull())
     jc = {k: c(k) for k in ("low_o", "low_d", "low_v", "high_o", "high_d", "high_v")}
     rows.append(_row(j, "J", F.concat(c("low_o"), F.lit("→"), c("low_d"), F.lit(" / "), c("high_o"), F.lit("→"), c("high_d")),
                      c("low_v"), c("high_v"), render(T["J"], jc)))
 
-    # K: last-minute share of cancellations
-    rows.append(_row(timing, "K", None, c("last_minute_share"), None, render(T["K"], {"share": c("last_minute_share")})))
-
     # L: fixed KPI-pack line
     one = spark.range(1)
     rows.append(_row(one, "L", None, None, None, F.lit(T["L"])))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerokpi.functions import ratio
-from aerokpi.operators.explore import calendar, on_calendar, ravg
+from aerokpi.operators.explore import calendar, on_calendar
 from aerokpi.operators.marts import realized_by_flight
 from aerokpi.params import DEFAULT, KpiParams
 
@@ -26,7 +26,7 @@ def _calf(leg_report: DataFrame, base: DataFrame) -> DataFrame:
     r = realized_by_flight(base)
     j = leg_report.join(r, ["flightnumber", "flight_date"], "left")
     calf = F.when(F.col("availablecapacity") > 0, ratio("realized_pax", "availablecapacity"))
-    return j.where(F.col("dow").isNotNull()).groupBy("dow").agg(ravg(calf).alias("calf"))
+    return j.where(F.col("dow").isNotNull()).groupBy("dow").agg(F.avg(calf).alias("calf"))
 
 
 def _pacs(leg_report: DataFrame, params: KpiParams) -> DataFrame:
@@ -43,7 +43,7 @@ def _pacs(leg_report: DataFrame, params: KpiParams) -> DataFrame:
     rev = F.when(F.coalesce(feeder, F.lit(False)), F.col("revenue") + credit).otherwise(F.col("revenue"))
     cap = F.col("availablecapacity")
     pacs = F.when(cap > 0, ratio(rev - cap * F.lit(float(params.dow_variable_cost_per_seat_leg)), cap))
-    return j.groupBy("dow").agg(ravg(pacs).alias("pacs"))
+    return j.groupBy("dow").agg(F.avg(pacs).alias("pacs"))
 
 
 def fwlf_by_dow(spark: SparkSession, leg_report: DataFrame) -> DataFrame:

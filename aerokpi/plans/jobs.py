@@ -6,7 +6,7 @@ action per dataset); nothing is collected to the driver. Large outputs
 handful-of-rows tables are coalesced to one file for readability.
 
 CLI:
-    python -m aerokpi.plans.jobs {ingest,kpis,dq,report,all} --sf-dir DIR --out DIR [--format csv|parquet]
+    python -m aerokpi.plans.jobs {ingest,catalog,kpis,dq,report,all} --sf-dir DIR --out DIR [--format csv|parquet]
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerokpi.operators import dq, explore, kpis, marts, weekday
+from aerokpi.operators import clean, dq, explore, kpis, marts, weekday
 from aerokpi.operators.insights import insights
 from aerokpi.params import DQ_CHECKS
+from aerokpi.plans.registry import DATASETS
 from aerokpi.sources.readers import write_table
 from aerokpi.sources.warehouse import Warehouse
 
@@ -32,21 +33,32 @@ def ingest(w: Warehouse, out: str, fmt: str = "parquet") -> None:
         _write(getattr(w, name)(), f"{out}/raw/{name}", fmt)
 
 
-def publish_catalog(spark: SparkSession, w: Warehouse, database: str | None = None) -> None:
+def relations(w: Warehouse) -> dict[str, dict[str, DataFrame]]:
+    """Every named relation by layer: raw entities, marts, KPI and exploration views."""
+    mart = {"leg": w.leg(), "leg_revpp": marts.leg_revpp(w.leg()), "segment": marts.segment(w.leg()), "leg_report": w.leg_report()}
+    kpi = ("fwlf_overall", "fwlf_by_segment", "pacs_leg", "leg_yield_index", "yalf_overall", "aras_overall", "srm_proxy", "calf_overall",
+           "lf_by_time", "anc_share_segment", "cancel_rate_segment", "low_lf_legs", "high_lf_legs", "high_yield_legs", "low_yield_legs",
+           "segment_kpis", "lf_segment_dow_long")
+    return {"raw": {n: getattr(w, n)() for n in ("booking", "passenger", "flight")}, "mart": mart,
+            "kpi": {n: DATASETS[n](w) for n in kpi}}
+
+
+def publish_catalog(spark: SparkSession, w: Warehouse, database: str | None = None) -> list[str]:
     """SNK-2 / SNK-3: namespaces and named relations.
 
-    Entities and the leg mart become temp views (lazy named relations);
-    with ``database`` set (a configured catalog), the entities are also
-    saved as tables of that database.
-    """
-    for name in ("booking", "passenger", "flight"):
-        getattr(w, name)().createOrReplaceTempView(f"raw_{name}")
-    w.leg().createOrReplaceTempView("mart_leg")
-    w.leg_report().createOrReplaceTempView("mart_leg_report")
-    if database:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-        for name in ("booking", "passenger", "flight"):
-            getattr(w, name)().write.mode("overwrite").saveAsTable(f"{database}.{name}")
+    Every relation becomes a temp view ``<layer>_<name>`` (lazy). With ``database`` set (a
+    configured catalog), the layers are databases ``<database>_raw``, ``_mart`` and ``_kpi`` and
+    the relations are saved as their tables. Returns the published names."""
+    names = []
+    for layer, tables in relations(w).items():
+        if database:
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}_{layer}")
+        for name, df in tables.items():
+            df.createOrReplaceTempView(f"{layer}_{name}")
+            names.append(f"{layer}_{name}")
+            if database:
+                df.write.mode("overwrite").saveAsTable(f"{database}_{layer}.{name}")
+    return names
 
 
 def export_kpis(w: Warehouse, out: str, fmt: str = "csv") -> None:
@@ -54,7 +66,7 @@ def export_kpis(w: Warehouse, out: str, fmt: str = "csv") -> None:
     p = w.params
     leg = w.leg()
     _write(kpis.fwlf_overall(leg), f"{out}/fwlf_overall", fmt, small=True)
-    _write(kpis.fwlf_by_segment(leg), f"{out}/fwlf_by_segment", fmt, small=True)
+    _write(kpis.fwlf_by_segment(leg), f"{out}/fwlf_by_segment", fmt)
     _write(kpis.pacs_leg(leg, p), f"{out}/pacs_leg", fmt)
     stable = lambda df: w.stable("leg_ranked", df)
     _write(kpis.yalf_overall(leg, p, stable), f"{out}/yalf_overall", fmt, small=True)
@@ -96,22 +108,25 @@ def export_report(w: Warehouse, out: str, fmt: str = "csv") -> None:
         "rev_lf_correlation": explore.rev_lf_correlation(lr, p),
         "kpi_summary_by_dow": weekday.kpi_summary_by_dow(s, lr, base, p),
     }
-    for name, df in small.items():
-        _write(df, f"{out}/tables/{name}", fmt, small=True)
+    bounded = {"cancellation_by_dow", "lf_by_dow", "lf_by_time_of_day", "lf_by_segment_by_dow_wide", "rev_lf_correlation", "kpi_summary_by_dow"}
+    for name, df in small.items():  # one file only where the number of rows is fixed
+        _write(df, f"{out}/tables/{name}", fmt, small=name in bounded)
     _write(lr, f"{out}/tables/leg_table", fmt)
+    _write(clean.booking_clean(b), f"{out}/tables/booking_clean", fmt)
     lines = insights(s, b, w.passenger(), base, lr, p).select(F.concat(F.lit("- "), "text").alias("value"))
     lines.coalesce(1).write.mode("overwrite").text(f"{out}/insights")  # <= 12 rows
 
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="aerokpi.plans.jobs")
-    ap.add_argument("job", choices=["ingest", "kpis", "dq", "report", "all"])
+    ap.add_argument("job", choices=["ingest", "catalog", "kpis", "dq", "report", "all"])
     ap.add_argument("--sf-dir", help="test-data directory (TPC-style tables through the adapter)")
     ap.add_argument("--booking", help="Booking sheet (CSV with header or Parquet)")
     ap.add_argument("--passenger", help="Passenger sheet")
     ap.add_argument("--flight", help="Flight sheet")
     ap.add_argument("--input-format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--out", required=True)
+    ap.add_argument("--database", help="prefix of the raw, mart and kpi databases of a configured catalog")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"aerokpi-{a.job}").getOrCreate()
@@ -123,6 +138,8 @@ def main(argv: list[str] | None = None) -> None:
         ap.error("give --sf-dir or --booking/--passenger/--flight")
     if a.job in ("ingest", "all"):
         ingest(w, a.out, "parquet")
+    if a.job in ("catalog", "all"):
+        publish_catalog(spark, w, a.database)
     if a.job in ("kpis", "all"):
         export_kpis(w, f"{a.out}/kpis", a.format)
     if a.job in ("dq", "all"):

@@ -109,7 +109,6 @@ ZERO_ANC = f"COALESCE({PRE}, 0) + COALESCE({AT}, 0)"
 RAW_COLS = ("bookingid_pnr, reservation_date, cancellation_date, flight_date, origin, destination, routing, "
             f"flightnumber, CAST({T} AS DOUBLE) AS {T}, CAST({PRE} AS DOUBLE) AS {PRE}, "
             f"CAST({AT} AS DOUBLE) AS {AT}, passengercount")
-R6 = 6  # rounding of averages, as on the Spark side
 
 
 def values(rows, cols) -> str:
@@ -194,17 +193,17 @@ SELECT dow, CASE WHEN SUM(availablecapacity) > 0 THEN CAST(SUM(pax) AS DOUBLE) /
 FROM leg_report WHERE dow IS NOT NULL GROUP BY 1""")
 
 rel("calf_dow", ("leg_report", "realized"), f"""
-SELECT l.dow, (floor((floor((avg(CASE WHEN l.availablecapacity > 0 THEN CAST(r.realized_pax AS DOUBLE) / l.availablecapacity END)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS calf
+SELECT l.dow, R6(avg(CASE WHEN l.availablecapacity > 0 THEN CAST(r.realized_pax AS DOUBLE) / l.availablecapacity END)) AS calf
 FROM leg_report l LEFT JOIN realized r ON l.flightnumber = r.flightnumber AND l.flight_date = r.flight_date
 WHERE l.dow IS NOT NULL GROUP BY 1""")
 
 fo, fd = P.feeder_segment
 oo, od = P.onward_segment
 rel("pacs_dow", ("leg_report",), f"""
-SELECT l.dow, (floor((floor((avg(CASE WHEN l.availablecapacity > 0 THEN
+SELECT l.dow, R6(avg(CASE WHEN l.availablecapacity > 0 THEN
    ((CASE WHEN l.origin = '{fo}' AND l.destination = '{fd}'
           THEN l.revenue + {P.dow_connection_value_pct}::DOUBLE * COALESCE(o.onward_rev, 0.0) ELSE l.revenue END)
-    - l.availablecapacity * {P.dow_variable_cost_per_seat_leg}::DOUBLE) / CAST(l.availablecapacity AS DOUBLE) END)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS pacs
+    - l.availablecapacity * {P.dow_variable_cost_per_seat_leg}::DOUBLE) / CAST(l.availablecapacity AS DOUBLE) END)) AS pacs
 FROM leg_report l
 LEFT JOIN (SELECT dow, avg(revenue) AS onward_rev FROM leg_report
            WHERE origin = '{oo}' AND destination = '{od}' AND dow IS NOT NULL GROUP BY 1) o USING (dow)
@@ -220,7 +219,7 @@ SELECT bookingid_norm, arg_min(booking_channel_norm, ordinal) FILTER (WHERE book
 FROM passenger_clean WHERE bookingid_norm IS NOT NULL GROUP BY 1""")
 
 rel("lf_long", ("leg_report",), f"""
-SELECT origin, destination, dow, (floor((floor((avg(load_factor)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS load_factor, origin || '→' || destination AS segment
+SELECT origin, destination, dow, R6(avg(load_factor)) AS load_factor, origin || '→' || destination AS segment
 FROM leg_report WHERE dow IS NOT NULL GROUP BY 1, 2, 3""")
 
 rel("dq_booking", ("booking",), f"""
@@ -266,9 +265,22 @@ def sql(final: str, *deps: str, skip: tuple[str, ...] = ()) -> str:
     for d in deps:
         visit(d)
     if not order:
-        return final.strip()
+        return published(final.strip())
     ctes = ",\n".join(f"{n} AS ({REL[n][1].strip()}\n)" for n in order)
-    return f"WITH {ctes}\n{final.strip()}"
+    return published(f"WITH {ctes}\n{final.strip()}")
+
+
+def published(statement: str, rounded: bool = True) -> str:
+    """``R6(x)`` in a statement: x rounded as published, or x itself."""
+    while (i := statement.find("R6(")) >= 0:
+        depth, j = 1, i + 3
+        while depth:
+            depth += {"(": 1, ")": -1}.get(statement[j], 0)
+            j += 1
+        x = statement[i + 3 : j - 1]
+        new = f"(round_even(round_even(({x}) * 1e10, 0) / 1e10 * 1e6, 0) / 1e6)" if rounded else f"({x})"
+        statement = statement[:i] + new + statement[j:]
+    return statement
 
 
 # ---------------------------------------------------------------------------
@@ -373,13 +385,13 @@ ORDER BY c.dow_ord""", "calendar", "fwlf_dow", "calf_dow")
 q("ancillary_share_top10", f"""
 SELECT * FROM aseg ORDER BY revenue DESC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST
 LIMIT {P.top_segments_aras}""", "aseg")
-q("network_avg_ancillary_share", f"SELECT (floor((floor((avg(aras)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS network_avg_ancillary_share FROM aseg", "aseg")
+q("network_avg_ancillary_share", f"SELECT R6(avg(aras)) AS network_avg_ancillary_share FROM aseg", "aseg")
 
 # ---- exploration, SQL convention
-q("lf_by_time", f"SELECT timeofday, (floor((floor((avg(leg_lf)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS avg_lf FROM leg GROUP BY 1", "leg")
+q("lf_by_time", f"SELECT timeofday, R6(avg(leg_lf)) AS avg_lf FROM leg GROUP BY 1", "leg")
 q("lf_by_time_ordered", f"""
 SELECT t.timeofday, s.avg_lf FROM tod_spine t
-LEFT JOIN (SELECT timeofday, (floor((floor((avg(leg_lf)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS avg_lf FROM leg GROUP BY 1) s USING (timeofday)
+LEFT JOIN (SELECT timeofday, R6(avg(leg_lf)) AS avg_lf FROM leg GROUP BY 1) s USING (timeofday)
 ORDER BY t.tod_ord""", "tod_spine", "leg")
 q("anc_share_segment", """
 SELECT a.origin, a.destination,
@@ -388,7 +400,7 @@ FROM leg_anc a JOIN leg l ON a.flightnumber = l.flightnumber AND a.flight_date =
 GROUP BY 1, 2""", "leg_anc", "leg")
 q("cancel_rate_segment", f"""
 SELECT origin, destination,
-  (floor((floor((avg(CASE WHEN pax + cancels > 0 THEN CAST(cancels AS DOUBLE) / (pax + cancels) END)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS cancel_rate
+  R6(avg(CASE WHEN pax + cancels > 0 THEN CAST(cancels AS DOUBLE) / (pax + cancels) END)) AS cancel_rate
 FROM leg GROUP BY 1, 2""", "leg")
 k = P.top_outliers
 q("low_lf_legs", f"""
@@ -429,38 +441,41 @@ FROM (SELECT bookingid_norm, COUNT(*) AS n, COUNT(cancellation_date) AS c FROM b
 JOIN pnr_channel p USING (bookingid_norm)
 WHERE p.primary_channel IS NOT NULL GROUP BY 1""", "booking_clean", "pnr_channel")
 q("lf_by_dow", on_calendar(f"""
-SELECT dayname(flight_date) AS dow, (floor((floor((avg(load)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS avg_load_factor
+SELECT dayname(flight_date) AS dow, R6(avg(load)) AS avg_load_factor
 FROM (SELECT flight_date, avg(load_factor) AS load FROM leg_report WHERE flight_date IS NOT NULL GROUP BY 1) d
 GROUP BY 1""", "s.avg_load_factor") + " ORDER BY c.dow_ord", "calendar", "leg_report")
 q("lf_by_time_of_day", f"""
-SELECT timeofday, (floor((floor((avg(load_factor)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS avg_load_factor FROM leg_report
+SELECT timeofday, R6(avg(load_factor)) AS avg_load_factor FROM leg_report
 WHERE timeofday IS NOT NULL GROUP BY 1""", "leg_report")
 q("lf_segment_dow_long", "SELECT * FROM lf_long", "lf_long")
-q("lf_segment_dow_wide", """
-PIVOT (SELECT dow, segment, load_factor FROM lf_long WHERE load_factor IS NOT NULL AND segment IS NOT NULL)
-ON segment USING first(load_factor) GROUP BY dow""", "lf_long")
+# one filtered aggregate per segment (a PIVOT cannot be stored as a view); the
+# adapter's O&D codes are the names of the five regions
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+q("lf_segment_dow_wide", "SELECT dow, " + ", ".join(
+    f"max(load_factor) FILTER (WHERE segment = '{o}→{d}') AS \"{o}→{d}\"" for o in _REGIONS for d in _REGIONS)
+  + " FROM lf_long WHERE load_factor IS NOT NULL AND segment IS NOT NULL GROUP BY dow", "lf_long")
 q("segment_kpis", "SELECT * FROM segment_kpis", "segment_kpis")
 q("anc_share_top_segments", f"""
 SELECT *, origin || '→' || destination AS od FROM segment_kpis
 ORDER BY revenue DESC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST LIMIT {P.top_segments_chart}""",
   "segment_kpis")
 q("directional_imbalance", f"""
-SELECT s.origin, s.destination, (floor((floor((s.load_factor) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS load_factor,
-  (floor((floor((r.load_factor) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS load_factor_rev, (floor((floor((s.load_factor - r.load_factor) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS lf_diff_vs_reverse
+SELECT s.origin, s.destination, R6(s.load_factor) AS load_factor,
+  R6(r.load_factor) AS load_factor_rev, R6(s.load_factor - r.load_factor) AS lf_diff_vs_reverse
 FROM (SELECT origin, destination, avg(load_factor) AS load_factor FROM leg_report GROUP BY 1, 2) s
 LEFT JOIN (SELECT origin, destination, avg(load_factor) AS load_factor FROM leg_report GROUP BY 1, 2) r
   ON s.origin = r.destination AND s.destination = r.origin""", "leg_report")
 q("rev_lf_correlation", f"""
-SELECT CASE WHEN COUNT(*) > {P.min_corr_pairs} THEN (floor((floor((corr(load_factor, rev_per_pax)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) END AS rev_lf_corr
+SELECT CASE WHEN COUNT(*) > {P.min_corr_pairs} THEN R6(corr(load_factor, rev_per_pax)) END AS rev_lf_corr
 FROM leg_report WHERE load_factor IS NOT NULL AND rev_per_pax IS NOT NULL""", "leg_report")
 q("cancel_timing_stats", f"""
-SELECT (floor((floor((CAST(quantile_cont(days_after_booking_to_cancel, 0.5) AS DOUBLE)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS median_days_after_booking,
-  (floor((floor((CAST(quantile_cont(days_after_booking_to_cancel, 0.9) AS DOUBLE)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS p90_days_after_booking,
-  (floor((floor((CAST(quantile_cont(days_before_flight_to_cancel, 0.5) AS DOUBLE)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS median_days_before_flight,
-  (floor((floor((CAST(quantile_cont(days_before_flight_to_cancel, 0.9) AS DOUBLE)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6) AS p90_days_before_flight
+SELECT R6(CAST(quantile_cont(days_after_booking_to_cancel, 0.5) AS DOUBLE)) AS median_days_after_booking,
+  R6(CAST(quantile_cont(days_after_booking_to_cancel, 0.9) AS DOUBLE)) AS p90_days_after_booking,
+  R6(CAST(quantile_cont(days_before_flight_to_cancel, 0.5) AS DOUBLE)) AS median_days_before_flight,
+  R6(CAST(quantile_cont(days_before_flight_to_cancel, 0.9) AS DOUBLE)) AS p90_days_before_flight
 FROM booking_clean WHERE is_cancelled""", "booking_clean")
 q("last_minute_share", f"""
-SELECT (floor((floor((avg(CASE WHEN COALESCE(days_before_flight_to_cancel <= {P.last_minute_days}, false) THEN 1.0 ELSE 0.0 END)) * 1e10 + 0.5) / 1e10) * 1e6 + 0.5) / 1e6)
+SELECT R6(avg(CASE WHEN COALESCE(days_before_flight_to_cancel <= {P.last_minute_days}, false) THEN 1.0 ELSE 0.0 END))
   AS last_minute_share
 FROM booking_clean WHERE is_cancelled""", "booking_clean")
 
@@ -512,11 +527,11 @@ q("dq_summary", f'SELECT "check", "count" FROM ({_union}) u ORDER BY "count" DES
 from aerokpi.operators.insights import TEMPLATES, template_parts  # noqa: E402
 
 def _table(name: str) -> str:
-    """Name of a relation holding the oracle result of query ``name``."""
+    """Name of a relation holding the unrounded oracle result of query ``name``."""
     rn = f"t_{name}"
     if rn not in REL:
         final, deps = PARTS[name]
-        REL[rn] = (deps, final)
+        REL[rn] = (deps, published(final, rounded=False))
     return rn
 
 
@@ -548,8 +563,8 @@ _TT = TEMPLATES
 
 
 def _rule(rule, frm, subject="NULL", value="NULL", value2="NULL", text="NULL"):
-    return (f"SELECT '{rule}' AS rule, CAST({subject} AS VARCHAR) AS subject, CAST({value} AS DOUBLE) AS value, "
-            f"CAST({value2} AS DOUBLE) AS value2, {text} AS text FROM {frm}")
+    return (f"SELECT '{rule}' AS rule, CAST({subject} AS VARCHAR) AS subject, R6(CAST({value} AS DOUBLE)) AS value, "
+            f"R6(CAST({value2} AS DOUBLE)) AS value2, {text} AS text FROM {frm}")
 
 
 _cdow = f"(SELECT *, list_position({_WD}, flight_dow) AS ord FROM {_I['cancellation_by_dow']})"
@@ -591,7 +606,7 @@ _rules.append(_rule(
     f"ELSE {render_sql(_TT['H_high'], {'corr': 'rev_lf_corr'})} END"))
 _rules.append(_rule(
     "I", f"(SELECT * FROM {_I['directional_imbalance']} ORDER BY abs(lf_diff_vs_reverse) DESC NULLS LAST, "
-         f"origin ASC NULLS LAST, destination ASC NULLS LAST LIMIT 1) i",
+         f"origin ASC NULLS LAST, destination ASC NULLS LAST LIMIT 1) i WHERE lf_diff_vs_reverse IS NOT NULL",
     "origin || '→' || destination", "lf_diff_vs_reverse", "NULL",
     render_sql(_TT["I"], {"origin": "origin", "destination": "destination", "diff": "lf_diff_vs_reverse"})))
 _ties = "revenue DESC NULLS LAST, origin ASC NULLS LAST, destination ASC NULLS LAST"
@@ -600,7 +615,7 @@ _rules.append(_rule(
     "J", f"(SELECT * FROM (SELECT origin AS low_o, destination AS low_d, anc_share AS low_v FROM {_tops} "
          f"ORDER BY anc_share ASC NULLS LAST, {_ties} LIMIT 1) lo, "
          f"(SELECT origin AS high_o, destination AS high_d, anc_share AS high_v FROM {_tops} "
-         f"ORDER BY anc_share DESC NULLS LAST, {_ties} LIMIT 1) hi) j",
+         f"ORDER BY anc_share DESC NULLS LAST, {_ties} LIMIT 1) hi) j WHERE low_v IS NOT NULL AND high_v IS NOT NULL",
     "low_o || '→' || low_d || ' / ' || high_o || '→' || high_d", "low_v", "high_v",
     render_sql(_TT["J"], {k: k for k in ("low_o", "low_d", "low_v", "high_o", "high_d", "high_v")})))
 _rules.append(_rule("K", f"(SELECT * FROM {_I['last_minute_share']}, {_ncancel} n WHERE n_cancel > 0) k",

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from aerokpi.functions import booking_id_norm, segment_label
 from aerokpi.operators import clean, dq, explore, kpis, marts, weekday
 from aerokpi.params import DQ_CHECKS
-from aerokpi.sources import adapter
-from aerokpi.sources.schema import normalize_columns
 from aerokpi.sources.warehouse import Warehouse
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,15 +24,35 @@ QUERIES: dict[str, QueryFn] = {}
 DATASETS: dict[str, Callable[[Warehouse], DataFrame]] = {}
 
 
+# averages that are published rounded; the operators return them in full
+ROUNDED = {
+    "lf_by_time": ["avg_lf"], "lf_by_time_ordered": ["avg_lf"], "cancel_rate_segment": ["cancel_rate"],
+    "lf_by_dow": ["avg_load_factor"], "lf_by_time_of_day": ["avg_load_factor"], "lf_segment_dow_long": ["load_factor"],
+    "directional_imbalance": ["load_factor", "load_factor_rev", "lf_diff_vs_reverse"], "rev_lf_correlation": ["rev_lf_corr"],
+    "cancel_timing_stats": list(explore.TIMING_STATS), "last_minute_share": ["last_minute_share"],
+    "network_avg_ancillary_share": ["network_avg_ancillary_share"], "calf_realized_by_dow": ["calf"],
+    "pacs_feeder_by_dow": ["pacs"], "kpi_summary_by_dow": ["pacs_per_seat", "calf"], "fwlf_calf_by_dow": ["calf"],
+    "insights": ["value", "value2"],
+}
+
+
+def as_published(name: str, df: DataFrame) -> DataFrame:
+    cols = [c for c in df.columns if c != "dow"] if name == "lf_segment_dow_wide" else ROUNDED.get(name, [])
+    return df.select(*[explore.published(F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns]) if cols else df
+
+
 def query(name: str):
     def deco(fn: Callable[[Warehouse], DataFrame]):
+        def dataset(w: Warehouse) -> DataFrame:
+            return as_published(name, fn(w))
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Warehouse.for_testdata(spark, sf_dir))
+            return dataset(Warehouse.for_testdata(spark, sf_dir))
 
-        run.__name__ = name
-        run.__doc__ = fn.__doc__
+        run.__name__ = dataset.__name__ = name
+        run.__doc__ = dataset.__doc__ = fn.__doc__
         QUERIES[name] = run
-        DATASETS[name] = fn
+        DATASETS[name] = dataset
         return fn
 
     return deco
@@ -62,9 +80,7 @@ def _normalize_columns(w: Warehouse) -> DataFrame:
     """PRJ-1: the booking sheet with its display headers normalised."""
     if w.sf_dir is None:  # a warehouse over exported sheets: its typed entity
         return w.booking()
-    # the sheet is rebuilt from the source tables (not the written entity)
-    sheet = adapter.booking_sheet(w.spark, w.sf_dir)
-    return normalize_columns(sheet)
+    return w.booking_sheet()
 
 
 @query("booking_id_norm")

@@ -17,6 +17,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # small files still spread over the cores; large ones get 128 MB splits
+        .config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

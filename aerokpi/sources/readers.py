@@ -21,13 +21,22 @@ def read_entity(spark: SparkSession, path: str, entity: str, fmt: str = "parquet
         raw = spark.read.format(fmt).load(path)
     df = normalize_columns(raw)
     if entity == "passenger" and "ordinal" not in df.columns:
-        # "first channel" needs the source row order: ids increase with the
-        # split index and the row position inside it, i.e. with file order.
-        df = df.withColumn("ordinal", F.monotonically_increasing_id())
+        # "first channel" needs the source row order: by file name, then by the
+        # block that a row was read from, then by its place in the block
+        at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        df = in_order(normalize_columns(raw.withColumn("_at", at)), "_at")
     return conform(df, entity)
 
 
 
+def in_order(df: DataFrame, at: str) -> DataFrame:
+    """``df`` with ``ordinal``, the rank of its rows by column ``at``, which is dropped. Rows
+    are range-partitioned and numbered within ranges; ranges follow each other, and
+    only their order matters, so no task sees all rows."""
+    ranged = df.repartitionByRange(F.col(at)).sortWithinPartitions(at)
+    return ranged.withColumn("ordinal", F.monotonically_increasing_id()).drop(at)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = True) -> None:
     """Publish a dataset (replace). CSV gets a header row, Parquet is the default."""
     w = df.write.mode("overwrite")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,22 +64,43 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[normalize_name(c) for c in df.columns])
 
 
-def _coerce(col, have: T.DataType, want) :
+# Accepted date formats of text cells, tried in this order after ISO 8601: month before
+# day where both read as a month, as common spreadsheet exports do.
+DATE_FORMATS = (
+    "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss",
+    "d.M.yyyy", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy",
+)
+
+
+def _finite(x: Column) -> Column:
+    """NaN and infinities are missing values."""
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
+def _coerce(col: Column, have: T.DataType, want) -> Column:
     if want == DATE_LIKE:
         if isinstance(have, (T.DateType, T.TimestampNTZType)):
             return col
         if isinstance(have, T.TimestampType):
             return col.cast("timestamp_ntz")
-        return F.try_to_timestamp(col.cast("string")).cast("timestamp_ntz")
-    if have == want:
-        return col
-    if isinstance(have, T.StringType) and isinstance(want, (T.DecimalType, T.LongType, T.IntegerType)):
-        # lenient numeric parse: "x" -> null; "12.0" -> 12
-        parsed = col.try_cast("double")
-        if isinstance(want, T.DecimalType):
-            return col.try_cast(want)
-        return F.floor(parsed).try_cast(want)
-    return col.try_cast(want)
+        text = F.trim(col.cast("string"))
+        return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).cast("timestamp_ntz")
+    if isinstance(want, T.DoubleType):
+        return _finite(col.try_cast("double"))
+    if isinstance(want, (T.LongType, T.IntegerType)) and not isinstance(have, T.IntegralType):
+        # "12.0" is 12; "x", "NaN" and a fraction are missing, never cut
+        number = _finite(col.try_cast("double"))
+        return F.when(number == F.rint(number), number).try_cast(want)
+    return col if have == want else col.try_cast(want)
+
+
+def unparsed_cells(df: DataFrame, entity: str) -> DataFrame:
+    """(column, unparsed): cells of a sheet that hold something but become null, by column."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    present = [(n, w) for n, w in ENTITIES[entity] if n in types]
+    counts = df.agg(*[
+        F.count_if((F.trim(F.col(n).cast("string")) != "") & _coerce(F.col(n), types[n], w).isNull()).alias(n) for n, w in present])
+    return counts.unpivot([], [n for n, _ in present], "column", "unparsed")
 
 
 def conform(df: DataFrame, entity: str) -> DataFrame:

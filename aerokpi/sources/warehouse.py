@@ -12,7 +12,6 @@ re-reads files instead of re-running the joins.
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 import threading
 import uuid
@@ -26,25 +25,34 @@ _INSTANCES: dict[tuple[int, str, str], "Warehouse"] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only when none is configured (tests,
-    local runs) a private one under /tmp is created and set."""
+    """The shared folder in ``spark.checkpoint.dir``. Only a local session without that
+    setting gets a folder of its own; a cluster without one is an error, because
+    executors can't share a local folder."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    conf = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="aerokpi-ckpt-")
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
-
-
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    if os.path.isdir(sf_dir):
-        for name in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, name))
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="aerokpi-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Names, sizes and times of all files below the paths, as Spark's file system lists
+    them: changed input is another warehouse, whatever store it lies in."""
+    h = hashlib.sha1()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        found = []
+        files = fs.listFiles(p, True) if fs.exists(p) else None
+        while files is not None and files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+        h.update("\n".join([path, *sorted(found)]).encode())
     return h.hexdigest()[:16]
 
 
@@ -63,6 +71,7 @@ class Warehouse:
         self.params = params
         self._done: dict[str, DataFrame] = {}
         self.sf_dir: str | None = None
+        self._lock = threading.RLock()
 
     @classmethod
     def for_testdata(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
@@ -71,13 +80,14 @@ class Warehouse:
 
         # one warehouse per session object and input; each writes into its own
         # folder, so two sessions never overwrite each other's tables
-        key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+        fingerprint = _fingerprint(spark, sf_dir)
+        key = (id(spark), spark.sparkContext.applicationId, fingerprint)
         with _LOCK:
             wh = _INSTANCES.get(key)
             if wh is None or wh.spark is not spark:
-                root = f"{checkpoint_root(spark)}/aerokpi-warehouse/{_fingerprint(sf_dir)}-{uuid.uuid4().hex[:8]}"
+                root = f"{checkpoint_root(spark)}/aerokpi-warehouse/{fingerprint}-{uuid.uuid4().hex[:8]}"
                 builders = {
-                    "booking": lambda w: conform(normalize_columns(adapter.booking_sheet(spark, sf_dir)), "booking"),
+                    "booking_sheet": lambda w: normalize_columns(adapter.booking_sheet(spark, sf_dir)),
                     "passenger": lambda w: conform(normalize_columns(adapter.passenger_sheet(spark, sf_dir)), "passenger"),
                     "flight": lambda w: conform(normalize_columns(adapter.flight_sheet(w.booking())), "flight"),
                 }
@@ -95,9 +105,7 @@ class Warehouse:
         from aerokpi.sources.readers import read_entity
 
         paths = {"booking": booking, "passenger": passenger, "flight": flight}
-        key = "|".join(f"{k}={os.path.abspath(v)}" for k, v in sorted(paths.items()))
-        root = (f"{checkpoint_root(spark)}/aerokpi-warehouse/"
-                f"{hashlib.sha1(key.encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}")
+        root = f"{checkpoint_root(spark)}/aerokpi-warehouse/{_fingerprint(spark, *paths.values())}-{uuid.uuid4().hex[:8]}"
         builders = {k: (lambda w, k=k: read_entity(spark, paths[k], k, fmt)) for k in paths}
         return cls(spark, builders, root, params or DEFAULT)
 
@@ -109,7 +117,7 @@ class Warehouse:
         return cls(spark, builders, root, params)
 
     def _materialize(self, name: str, build) -> DataFrame:
-        with _LOCK:
+        with self._lock:
             if name not in self._done:
                 df = build()
                 if self.root is None:
@@ -131,8 +139,16 @@ class Warehouse:
     def _entity(self, name: str) -> DataFrame:
         return self._materialize(name, lambda: self._builders[name](self))
 
+    def booking_sheet(self) -> DataFrame:
+        """The booking sheet with normalised headers (test tables only)."""
+        return self._entity("booking_sheet")
+
     def booking(self) -> DataFrame:
-        return self._entity("booking")
+        if "booking" in self._builders:
+            return self._entity("booking")
+        from aerokpi.sources.schema import conform
+
+        return conform(self.booking_sheet(), "booking")  # a projection of the written sheet
 
     def passenger(self) -> DataFrame:
         return self._entity("passenger")

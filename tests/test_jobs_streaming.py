@@ -36,6 +36,17 @@ def test_report_export_writes_insights(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{out}/tables/cancellation_by_dow").count() == 7
 
 
+@pytest.mark.skipif(not os.path.isdir(SF0001), reason="test data not present")
+def test_every_layer_has_named_relations(spark, tmp_path):
+    w = Warehouse.for_testdata(spark, SF0001)
+    names = jobs.publish_catalog(spark, w)
+    assert {"raw_booking", "mart_leg", "mart_segment", "kpi_fwlf_by_segment", "kpi_yalf_overall", "kpi_anc_share_segment"} <= set(names)
+    assert spark.sql("select count(*) as n from mart_leg").first().n == w.leg().count()
+    assert all(spark.table(n).columns for n in names)
+    jobs.export_report(w, str(tmp_path / "r"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "r/tables/booking_clean")).count() == w.booking().count()
+
+
 def _rows(spark):
     return booking(spark, [
         dict(bookingid_pnr="PNR-1", passengercount=-1),

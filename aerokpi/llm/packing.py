@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from aerokpi.llm.units import UnitCache, bare_units, chunks
+from aerokpi.llm.units import UnitCache, bare_units, chunks, folded
 
 #: Longest piece that shares a window with others; longer rests are cut into such pieces.
 MAX_PIECE = 512
@@ -85,12 +86,17 @@ def tokenizer_cache(path: str) -> UnitCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        plain = re.compile("[a-z]+").fullmatch  # one word that is its own normal form
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
+        model = tokenizer.model
+
         def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tokenizer.encode_batch([u.decode() for u in units], add_special_tokens=False)]
+            texts = [u.decode() for u in units]
+            others = iter(tokenizer.encode_batch([t for t in texts if not plain(t)], add_special_tokens=False))
+            found = [[token.id for token in model.tokenize(t)] if plain(t) else next(others).ids for t in texts]
             lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             return np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum())), lengths
 
@@ -102,8 +108,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, s
                    text_col: str = "text", max_piece: int = MAX_PIECE, block: int = BLOCK) -> DataFrame:
     """One row per piece of a document: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The tokenizer must drop white space (so the words between white space are encoded
-    independently); `separator` ends every document. Whole windows of a document are
+    The tokenizer must lower-case text, drop white space and never join letters and ASCII
+    marks, so words are encoded independently; `separator` ends every document. Whole windows of a document are
     sequences of their own; the rest, cut into pieces of at most `max_piece`, is packed
     `block` pieces at a time by Karmarkar-Karp differencing. Packing follows each task's
     rows, so nothing is shuffled and a task holds one block of pieces and one chunk of text;
@@ -141,7 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, s
         for rows in batches:
             ids_of = rows.column(0).to_pylist()
             for a, b, data, offsets in chunks(rows.column(1)):
-                units, unit_rows = bare_units(data, offsets)
+                units, unit_rows = bare_units(folded(data), offsets)
                 ids, at = cache.ids(units, unit_rows, b - a)
                 out: list[tuple] = []
                 for i in range(b - a):

@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from aerokpi.llm.hashing import IS_SPACE, buffers, by_bytes, word_spans
+from aerokpi.llm.hashing import IS_SPACE, LOWER, buffers, by_bytes, word_spans
 
 #: Bytes of text handled at once, unless one text is larger.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -25,9 +25,44 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII marks other than the apostrophe, with which contractions begin.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[b for b in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+
+def may_hold_special(data: np.ndarray) -> bool:
+    """Whether a special token such as <|endoftext|> may occur, within which nothing is cut."""
+    return b"<|" in data.tobytes()
+
+
+def inner_cuts(data: np.ndarray) -> np.ndarray:
+    """Bytes before which a word is cut as well: between an ASCII letter and an ASCII mark. The
+    tokenizers' patterns never join the two, so this only makes units recur more often."""
+    if len(data) < 2 or may_hold_special(data):
+        return np.empty(0, dtype=np.int64)
+    letter, mark = _LETTER[data], _MARK[data]
+    return np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased, for tokenizers that do so: not where a special token may
+    occur, nor before a byte beyond ASCII, which may belong to a combining mark."""
+    if len(data) < 2 or may_hold_special(data):
+        return data
+    plain = np.append(data[1:] < 128, True)
+    return np.where(plain, LOWER[data], data)
+
+
 def bare_units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The words between ASCII white space, and their rows."""
+    """The words between ASCII white space, cut at `inner_cuts`, and their rows."""
     starts, ends, rows = word_spans(data, offsets)
+    cuts = inner_cuts(data)
+    cuts = cuts[~np.isin(cuts, offsets)]
+    if len(cuts):
+        starts, ends = np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
+        rows = np.searchsorted(offsets, starts, "right") - 1
     at = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
     text = data[~IS_SPACE[data]] if len(data) else data
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(text))]), rows
@@ -52,7 +87,7 @@ def spaced_units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nd
     if len(odd):
         keep = ~np.isin(rows, odd)
         ends = ends[keep]
-    cuts = np.unique(np.concatenate((ends, offsets)))  # every row's end closes its last unit
+    cuts = np.unique(np.concatenate((ends, offsets, inner_cuts(data))))  # every row's end closes its last unit
     at = cuts.astype(np.int32)
     rows = np.searchsorted(offsets, cuts[:-1], "right") - 1
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]), rows
@@ -61,7 +96,7 @@ def spaced_units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nd
 class UnitCache:
     """Ids of distinct units, encoded once; emptied when it holds `limit` units."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self._clear()
 

@@ -37,6 +37,18 @@ def test_passages_in_different_contexts(docs_of):
     check(docs_of, rows, parts=20)
 
 
+def test_hot_anchors_only_split_the_work(docs_of, monkeypatch):
+    monkeypatch.setattr(sd, "SAMPLE", 1)
+    monkeypatch.setattr(sd, "HOT_LEAST", 3)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = text(260)
+    rows = [(i, text(rng.randrange(150)) + common[rng.randrange(90) : 170 + rng.randrange(90)] + text(rng.randrange(150))) for i in range(50)]
+    plain = docs_of(rows).selectExpr("doc_id as doc", "text")
+    assert len(sd.hot_anchors(plain, 100)) > 0
+    check(docs_of, rows)
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 33, 64, 90])
 def test_periodic_texts(docs_of, period):
     rng = random.Random(period)

@@ -29,7 +29,8 @@ def _calf(leg_report: DataFrame, base: DataFrame) -> DataFrame:
     return j.where(F.col("dow").isNotNull()).groupBy("dow").agg(F.avg(calf).alias("calf"))
 
 
-def _pacs(leg_report: DataFrame, params: KpiParams) -> DataFrame:
+def _credited(leg_report: DataFrame, params: KpiParams) -> tuple[DataFrame, F.Column]:
+    """The legs with the onward mean of their weekday, and the PACS of a leg."""
     fo, fd = params.feeder_segment
     oo, od = params.onward_segment
     onward = (
@@ -37,13 +38,24 @@ def _pacs(leg_report: DataFrame, params: KpiParams) -> DataFrame:
         .groupBy("dow")
         .agg(F.avg("revenue").alias("onward_rev"))
     )
-    j = leg_report.where(F.col("dow").isNotNull()).join(F.broadcast(onward), "dow", "left")
+    legs = leg_report.where(F.col("dow").isNotNull()).join(F.broadcast(onward), "dow", "left")
     feeder = (F.col("origin") == fo) & (F.col("destination") == fd)
     credit = F.lit(float(params.dow_connection_value_pct)) * F.coalesce(F.col("onward_rev"), F.lit(0.0))
     rev = F.when(F.coalesce(feeder, F.lit(False)), F.col("revenue") + credit).otherwise(F.col("revenue"))
     cap = F.col("availablecapacity")
-    pacs = F.when(cap > 0, ratio(rev - cap * F.lit(float(params.dow_variable_cost_per_seat_leg)), cap))
-    return j.groupBy("dow").agg(F.avg(pacs).alias("pacs"))
+    return legs, F.when(cap > 0, ratio(rev - cap * F.lit(float(params.dow_variable_cost_per_seat_leg)), cap))
+
+
+def _pacs(leg_report: DataFrame, params: KpiParams) -> DataFrame:
+    legs, pacs = _credited(leg_report, params)
+    return legs.groupBy("dow").agg(F.avg(pacs).alias("pacs"))
+
+
+def _fwlf_pacs(leg_report: DataFrame, params: KpiParams) -> DataFrame:
+    """FWLF and PACS of each weekday in one aggregation over the legs."""
+    legs, pacs = _credited(leg_report, params)
+    s = legs.groupBy("dow").agg(F.sum("pax").alias("p"), F.sum("availablecapacity").alias("c"), F.avg(pacs).alias("pacs"))
+    return s.select("dow", F.when(F.col("c") > 0, ratio("p", "c")).alias("fwlf"), "pacs")
 
 
 def fwlf_by_dow(spark: SparkSession, leg_report: DataFrame) -> DataFrame:
@@ -79,7 +91,7 @@ def _on_calendar_many(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
 def kpi_summary_by_dow(spark: SparkSession, leg_report: DataFrame, base: DataFrame,
                        params: KpiParams = DEFAULT) -> DataFrame:
     """R-18: weekday table of FWLF, weekday PACS and realized CALF."""
-    out = _on_calendar_many(spark, [_fwlf(leg_report), _pacs(leg_report, params), _calf(leg_report, base)])
+    out = _on_calendar_many(spark, [_fwlf_pacs(leg_report, params), _calf(leg_report, base)])
     return out.select("dow", "fwlf", F.col("pacs").alias("pacs_per_seat"), "calf")
 
 

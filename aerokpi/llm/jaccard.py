@@ -80,6 +80,16 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(work, schema)
 
 
+def counted_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles that the rows' sets send to the first filter, their sets' keys, and which
+    of them count for their own set (partners of small sets send all, but count the sample)."""
+    h, r = distinct_shingles(data, offsets, width)
+    n, key, _ = set_keys(h, r, len(offsets) - 1)
+    low, size = sampled(h), n[r]
+    use = low | (size <= SMALL * 5 // 4)
+    return h[use], key[r[use]], (low | (size <= SMALL))[use]
+
+
 def shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """(key, shared): for each set, at least the number of its counted shingles that another set has.
 
@@ -89,13 +99,9 @@ def shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for a, b, data, offsets in chunks(rows.column(0), 16 << 20):
-                h, r = distinct_shingles(data, offsets, width)
-                n, key, _ = set_keys(h, r, b - a)
-                low, size = sampled(h), n[r]
-                use = low | (size <= SMALL * 5 // 4)  # partners of small sets send all as well
-                counts = (low | (size <= SMALL))[use]
-                h, k = h[use], key[r[use]]
+            for a, b, _, _ in chunks(rows.column(0), 16 << 20):
+                parts = [counted_shingles(data, offsets, width) for _, _, data, offsets in chunks(rows.column(0).slice(a, b - a), 1 << 20)]
+                h, k, counts = map(np.concatenate, zip(*parts))
                 order = np.lexsort((k, h))
                 h, k, counts = h[order], k[order], counts[order]
                 first = np.ones(len(h), dtype=bool)  # equal sets count once
@@ -206,9 +212,12 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("key").alias("x"), F.col("items").alias("x_items"))
     right = sets.select(F.col("key").alias("p"), F.col("items").alias("p_items"))
     while not active.isEmpty():
-        size = F.count("*").over(Window.partitionBy("region", "label")) if pivots > 1 else F.lit(0)
+        sized = active.withColumn("size", F.lit(0))
+        if pivots > 1:  # later, sets outside a region's main component come first
+            sizes = written(active.groupBy(F.col("region").alias("r"), F.col("label").alias("l")).agg(F.count("*").alias("size")), "sizes")
+            sized = active.join(sizes, (F.col("region") == F.col("r")) & (F.col("label") == F.col("l"))).drop("r", "l")
         rank = F.row_number().over(Window.partitionBy("region").orderBy("size", F.desc("centre"), "x"))
-        elected = written(active.withColumn("size", size).withColumn("rank", rank).where(F.col("rank") <= pivots).select(
+        elected = written(sized.withColumn("rank", rank).where(F.col("rank") <= pivots).select(
             "region", F.col("x").alias("p"), F.col("n").alias("m"), F.col("label").alias("p_label"), F.col("d").alias("p_d"), "rank"), "elected")
         near = active.join(elected, "region").where(
             (F.col("x") != F.col("p")) & (F.col("label") != F.col("p_label"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerokpi.llm.common import discard, written
-from aerokpi.llm.hashing import BYTE_VALUES, mix, prefix_sums, span_hashes, window_hashes
+from aerokpi.llm.hashing import BYTE_VALUES, by_bytes, mix, prefix_sums, span_hashes, window_hashes
+from aerokpi.llm.heavy import frequent_keys
 from aerokpi.llm.units import chunks
 
 LENGTH = 100
@@ -21,10 +22,16 @@ ANCHOR = 32
 #: Blocks (the symbols of the transforms) that a string of LENGTH bytes consists of.
 BLOCKS = 4
 #: Text of one bucket's shards and anchors of one bucket, for sizing the number of buckets.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 512 << 10
 BUCKET_ANCHORS = 400_000
 #: Shards that a bucket's pieces are dealt into.
 SHARDS = 8
+#: One text in so many is looked through for anchors that very many texts share, counters
+#: kept for them, and sampled occurrences that make an anchor such a one. Which anchors are
+#: found only decides how the work is split, never the result.
+SAMPLE = 64
+HOT_CAPACITY = 4096
+HOT_LEAST = 16
 PIECE = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("count", "<u2")])
 RANGE = "doc long, row long, start long, stop long"
 
@@ -42,12 +49,13 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+def pieces(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int, hot: np.ndarray | None = None) -> np.ndarray:
     """The runs of strings of `length` bytes that choose the same anchor, as PIECE records.
 
     A string's anchor is its leftmost ANCHOR-byte window of least hash, so equal strings
     choose anchors of equal hash at the same place within them. `content` is the hash of all
-    bytes of a run's strings and of where their anchor lies."""
+    bytes of a run's strings and of where their anchor lies. The strings of a hot anchor
+    are pieces of their own, each under its own hash instead of the anchor's."""
     width = length - ANCHOR + 1
     if len(data) < length:
         return np.empty(0, dtype=PIECE)
@@ -71,12 +79,28 @@ def pieces(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int)
     out["content"] = mix(span_hashes(sums, begin, begin + count + length - 1) + (anchor[first] - begin).astype(np.uint64))
     out["doc"], out["row"] = docs[rows], row_marks(data, offsets)[rows]
     out["start"], out["count"] = begin - offsets[rows], count
-    return out
+    split = np.isin(out["anchor"], hot) if hot is not None and len(hot) else np.zeros(len(out), dtype=bool)
+    if not split.any():
+        return out
+    each = np.repeat(out[split], count[split])
+    ends = np.cumsum(count[split])
+    place = np.arange(len(each)) - np.repeat(ends - count[split], count[split])
+    at = np.repeat(begin[split], count[split]) + place
+    left, right = span_hashes(sums, at, at + length // 2), span_hashes(sums, at + length // 2, at + length)
+    each["anchor"], each["content"] = mix(left ^ (right * np.uint64(3))), mix(left * np.uint64(5) + right)
+    each["start"] += place.astype(np.uint32)
+    each["count"] = 1
+    return np.concatenate((out[~split], each))
 
 
 def row_marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """32 bits of each text's hash: tells rows apart that share an id."""
-    return (span_hashes(prefix_sums(BYTE_VALUES[data]), offsets[:-1], offsets[1:]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out = np.empty(len(offsets) - 1, dtype=np.uint32)
+    for a, b in by_bytes(offsets, 1 << 20):
+        at = offsets[a : b + 1] - offsets[a]
+        sums = prefix_sums(BYTE_VALUES[data[offsets[a] : offsets[b]]])
+        out[a:b] = span_hashes(sums, at[:-1], at[1:]) & np.uint64(0xFFFFFFFF)
+    return out
 
 
 def earliest(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +228,24 @@ def repeated(shards: list[Shard], length: int) -> list[np.ndarray]:
     return [records["doc"][piece[first]], records["row"][piece[first]].astype(np.int64), begin + within[first], begin + within[last] + length]
 
 
-def anchored(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
+    """Anchors that many of the sampled texts share; at most HOT_CAPACITY + 1."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for _, b, data, offsets in chunks(rows.column(0), 1 << 20):
+                found = pieces(data, offsets, np.arange(len(offsets) - 1), length)
+                _, once = np.unique(mix(found["anchor"] + mix(found["doc"].astype(np.uint64))), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found["anchor"][once].view(np.int64))], names=["anchor"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0).select("text")
+    found = written(some.mapInArrow(work, "anchor long"), "sampled")
+    often = frequent_keys(found, "anchor", found.count(), HOT_CAPACITY).where(F.col("at_least") >= HOT_LEAST).collect()
+    discard(docs.sparkSession, found)
+    return np.sort(np.array([r["anchor"] for r in often], dtype=np.int64).view(np.uint64))
+
+
+def anchored(docs: DataFrame, length: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """Every task's pieces by bucket, the first of equal ones; ranges that a later equal piece
     covers have bucket -1."""
 
@@ -214,7 +255,7 @@ def anchored(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             for a, b, data, offsets in chunks(rows.column(1), 16 << 20):
                 found = []
                 for c, d, some, offs in chunks(rows.column(1).slice(a, b - a), 1 << 20):
-                    found.append(pieces(some, offs, ids[a + c : a + d], length))
+                    found.append(pieces(some, offs, ids[a + c : a + d], length, hot))
                 first, later = earliest(np.concatenate(found))
                 out = list(to_buckets(first, None, buckets))
                 if len(later):
@@ -294,7 +335,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, -(-int(total) // (BUCKET_ANCHORS * (length - ANCHOR + 2) // 2)))
-    blobs = written(anchored(docs, length, buckets), "anchors")
+    blobs = written(anchored(docs, length, buckets, hot_anchors(docs, length)), "anchors")
     sorted_ = written(sorted_out(blobs, length), "sorted")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +360,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered by a string of `length` bytes (a multiple of BLOCKS) that also starts earlier: in
     a smaller id, or earlier in the same document. Strings are judged on the input.
 
-    Equal strings choose equal anchors, so anchors split the work. Runs of strings around an
+    Equal strings choose equal anchors, so anchors split the work; the strings of anchors that
+    very many texts share are looked up one by one, by their own hash, so that no task
+    holds all that surrounds a common passage. Runs of strings around an
     anchor that recur as a whole are settled by their hash; where an anchor has several
     contexts, the pieces' Burrows-Wheeler transforms are built by shard and merged, and
     intervals of suffixes with a common prefix of `length` bytes are the repeated strings.

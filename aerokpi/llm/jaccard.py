@@ -168,14 +168,16 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def regions_of(sets: DataFrame, percent: int) -> DataFrame:
-    """(region, x, n, centre) of the first partition.
+    """(region, x, n, common, centre) of the first partition.
 
     Its pivots are the single shingles: a set lies at distance 1 - 1/n of the pivots it
     contains and at distance 1 of all others, and belongs to the rarest of them (ties by
     hash). A linked set can lack `missing_at_most` of its shingles, so a set is replicated
     into the regions of that many further pivots, in the same order: the first pivot that two
     linked sets have in common is among them. Pivots that one set has alone need no region;
-    regions with the same members are one. `centre` is the mean frequency of a set's
+    regions with the same members are one. `common` is the number of a set's shingles that
+    any other set has: no overlap exceeds it, so a set that could not reach the similarity
+    with the smallest set of its region is left out. `centre` is the mean frequency of a set's
     shingles, largest for the set the others were copied from."""
     items = sets.select(F.col("key").alias("x"), "n", F.explode("items").alias("s"))
     often = written(items.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often")
@@ -183,11 +185,14 @@ def regions_of(sets: DataFrame, percent: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"), F.sum("df").alias("total"))
     room = missing_at_most(F.col("n"), percent) + 1 - (F.col("n") - F.size("common"))
     entries = written(ordered.where(room > 0).select(
-        "x", "n", (F.col("total") / F.col("n")).alias("centre"), F.explode(F.slice("common", 1, room.cast("int"))).alias("c")
-    ).select("x", "n", "centre", F.col("c.s").alias("s")), "entries")
-    groups = entries.groupBy("s").agg(F.count("*").alias("members"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("content")).where("members > 1")
-    single = written(groups.groupBy("members", "content").agg(F.min("s").alias("s")).select("s"), "regions")
-    members = written(entries.join(single, "s").select(F.col("s").alias("region"), "x", "n", "centre"), "members")
+        "x", "n", F.size("common").cast("long").alias("k"), (F.col("total") / F.col("n")).alias("centre"),
+        F.explode(F.slice("common", 1, room.cast("int"))).alias("c")).select("x", "n", F.col("k").alias("common"), "centre", F.col("c.s").alias("s")), "entries")
+    groups = entries.groupBy("s").agg(F.count("*").alias("members"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("content"),
+                                      F.min("n").alias("least")).where("members > 1")
+    single = written(groups.groupBy("members", "content").agg(F.min("s").alias("s"), F.min("least").alias("least")).select("s", "least"), "regions")
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    members = written(entries.join(single, "s").where(linked(F.least("common", partner), F.col("n"), partner, percent))
+                      .select(F.col("s").alias("region"), "x", "n", "common", "centre"), "members")
     discard(sets.sparkSession, often, entries, single)
     return members
 
@@ -218,10 +223,10 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
             sized = active.join(sizes, (F.col("region") == F.col("r")) & (F.col("label") == F.col("l"))).drop("r", "l")
         rank = F.row_number().over(Window.partitionBy("region").orderBy("size", F.desc("centre"), "x"))
         elected = written(sized.withColumn("rank", rank).where(F.col("rank") <= pivots).select(
-            "region", F.col("x").alias("p"), F.col("n").alias("m"), F.col("label").alias("p_label"), F.col("d").alias("p_d"), "rank"), "elected")
+            "region", F.col("x").alias("p"), F.col("n").alias("m"), F.col("common").alias("p_common"), F.col("label").alias("p_label"), F.col("d").alias("p_d"), "rank"), "elected")
         near = active.join(elected, "region").where(
             (F.col("x") != F.col("p")) & (F.col("label") != F.col("p_label"))
-            & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+            & linked(F.least("n", "m", "common", "p_common"), F.col("n"), F.col("m"), percent)
             & F.coalesce(F.abs(F.col("d") - F.col("p_d")) <= radius + 1e-9, F.lit(True)))
         pairs = near.select("x", "p", "n", "m").distinct()
         measured = written(pairs.join(left, "x").join(right, "p").select(

@@ -175,9 +175,10 @@ def regions_of(sets: DataFrame, percent: int) -> DataFrame:
     hash). A linked set can lack `missing_at_most` of its shingles, so a set is replicated
     into the regions of that many further pivots, in the same order: the first pivot that two
     linked sets have in common is among them. Pivots that one set has alone need no region;
-    regions with the same members are one. `common` is the number of a set's shingles that
-    any other set has: no overlap exceeds it, so a set that could not reach the similarity
-    with the smallest set of its region is left out. `centre` is the mean frequency of a set's
+    regions with the same members are one, under their first pivot. `common` is the number of
+    a set's shingles from that pivot on that any other set has: two sets whose first common
+    pivot it is overlap in no more, so a set that could not reach the similarity with the
+    smallest set of its region is left out. `centre` is the mean frequency of a set's
     shingles, largest for the set the others were copied from."""
     items = sets.select(F.col("key").alias("x"), "n", F.explode("items").alias("s"))
     often = written(items.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often")
@@ -186,10 +187,12 @@ def regions_of(sets: DataFrame, percent: int) -> DataFrame:
     room = missing_at_most(F.col("n"), percent) + 1 - (F.col("n") - F.size("common"))
     entries = written(ordered.where(room > 0).select(
         "x", "n", F.size("common").cast("long").alias("k"), (F.col("total") / F.col("n")).alias("centre"),
-        F.explode(F.slice("common", 1, room.cast("int"))).alias("c")).select("x", "n", F.col("k").alias("common"), "centre", F.col("c.s").alias("s")), "entries")
+        F.posexplode(F.slice("common", 1, room.cast("int"))).alias("place", "c")).select(
+        "x", "n", (F.col("k") - F.col("place")).alias("common"), "centre", F.col("c.df").alias("df"), F.col("c.s").alias("s")), "entries")
     groups = entries.groupBy("s").agg(F.count("*").alias("members"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("content"),
-                                      F.min("n").alias("least")).where("members > 1")
-    single = written(groups.groupBy("members", "content").agg(F.min("s").alias("s"), F.min("least").alias("least")).select("s", "least"), "regions")
+                                      F.min("n").alias("least"), F.min("df").alias("df")).where("members > 1")
+    single = written(groups.groupBy("members", "content").agg(F.min(F.struct("df", "s")).alias("pivot"), F.min("least").alias("least"))
+                     .select("pivot.s", "least"), "regions")
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     members = written(entries.join(single, "s").where(linked(F.least("common", partner), F.col("n"), partner, percent))
                       .select(F.col("s").alias("region"), "x", "n", "common", "centre"), "members")
@@ -276,7 +279,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = written(classes.join(shared, "key", "left").where(
         F.coalesce("shared", F.lit(0)) >= F.col("n_sampled") - missing_at_most(F.col("n"), percent))
         .select(F.col("key").alias("k"), F.col("key2").alias("k2"), F.col("rep")), "able")
-    texts = plain.join(able, plain["id"].eqNullSafe(able["rep"])).select("text")
+    # able grows with the documents: merged at every size, never broadcast
+    texts = plain.join(able.hint("merge"), plain["id"].eqNullSafe(able["rep"])).select("text")
     sets = sets_of(texts, width).join(able, (F.col("key") == able["k"]) & (F.col("key2") == able["k2"]), "left_semi")
     sets = written(sets.dropDuplicates(["key"]), "sets")
     links = links_of(sets, percent)

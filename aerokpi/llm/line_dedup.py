@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerokpi.llm.common import discard, written
@@ -27,7 +27,7 @@ def part_keys(line: Column, n: Column, is_long: bool) -> Column:
     edge = lambda j: F.floor(full * j / PARTS).cast("int")
     return F.array(*[
         F.struct(F.xxhash64(full, F.lit(j), F.left(line, edge(j)), F.right(line, full - edge(j + 1))).alias("key"),
-                 F.lit(j).alias("part"), F.lit(is_long).alias("is_long")) for j in range(PARTS)])
+                 F.lit(j).cast("tinyint").alias("part"), F.lit(is_long).alias("is_long")) for j in range(PARTS)])
 
 
 def variants(line: Column, n: Column, part: Column, is_long: Column, key: Column) -> Column:
@@ -70,16 +70,16 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     instances = written(lines.select("at", "h", "h2"), "lines")
     classes = written(lines.groupBy("h", "h2").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
 
-    keyed = classes.select("h", "h2", "first", "n", F.explode("keys").alias("k")).select("h", "h2", "first", "n", "k.*")
-    several = F.count("*").over(_by("key"))
-    able = keyed.withColumn("several", several).where("several > 1").drop("several")
-    asked = able.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(
-        "h", "h2", "first", "n", "key", "part", "is_long")).alias("asked"))
-    texts = F.split("text", "\n", -1)
-    fetched = plain.select("doc", "text").join(asked.withColumnRenamed("doc", "of"), F.col("doc").eqNullSafe(F.col("of"))) \
-        .withColumn("lines", texts).select("lines", F.explode("asked").alias("a")) \
-        .select("a.*", F.get("lines", F.col("a.first.line_no")).alias("line")) \
-        .where((F.xxhash64("line") == F.col("h")) & (F.xxhash64(F.lit(1), "line") == F.col("h2")))
+    # only what finds the lines again is shuffled by key and to the documents
+    keyed = classes.select("h", F.col("first.doc.no").alias("no"), F.col("first.doc.id").alias("id"), F.col("first.line_no").alias("line_no"),
+                           F.explode("keys").alias("k")).select("h", "no", "id", "line_no", "k.*")
+    able = keyed.withColumn("several", F.count("*").over(Window.partitionBy("key"))).where("several > 1").drop("several")
+    asked = able.groupBy("no", "id").agg(F.collect_list(F.struct("h", "line_no", "key", "part", "is_long")).alias("asked"))
+    fetched = plain.select("doc", "text").join(asked, F.col("doc").eqNullSafe(F.struct("no", "id"))) \
+        .withColumn("lines", F.split("text", "\n", -1)).select("doc", "lines", F.explode("asked").alias("a")) \
+        .select(F.struct("doc", F.col("a.line_no").alias("line_no")).alias("first"), "a.h", "a.key", "a.part", "a.is_long",
+                F.get("lines", F.col("a.line_no")).alias("line")) \
+        .where(F.xxhash64("line") == F.col("h")).withColumn("h2", F.xxhash64(F.lit(1), "line")).withColumn("n", F.length("line"))
     able_lines = written(fetched, "able")
     emitted = able_lines.select("h", "h2", "first", F.explode(variants(
         F.col("line"), F.col("n"), F.col("part"), F.col("is_long"), F.col("key"))).alias("v")).select("h", "h2", "first", "v.*")
@@ -102,12 +102,6 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("keep.line_no").cast("long").alias("keep_line"), (F.col("at") == F.col("keep")).alias("kept"))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` whose texts lack the lines that `line_decisions` does not keep; all columns stay."""
     gone = line_decisions(docs, id_col, text_col, min_chars).where(~F.col("kept")).groupBy(F.col(id_col).alias("gone_id")) \

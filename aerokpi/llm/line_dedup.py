@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerokpi.llm.common import discard, written
 
-#: Shorter lines take no part: they are neither dropped nor do they drop others.
+#: Shorter lines take no part in one-edit matching, and in none unless `equal_from` admits them.
 MIN_CHARS = 20
 #: Parts of a line. One edit lies in one part, so near lines agree in all the others.
 PARTS = 2
@@ -46,9 +46,12 @@ def variants(line: Column, n: Column, part: Column, is_long: Column, key: Column
     return F.when(is_long, deletions).otherwise(F.array(F.struct(F.xxhash64(key, F.lit(0), inner).alias("variant"), F.lit("short").alias("role"))))
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line of at least `min_chars` characters: id, line_no (from 0), keep_id and
-    keep_line (the earliest line that is equal or within one edit, maybe itself), kept.
+def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
+                   equal_from: int | None = None) -> DataFrame:
+    """One row per line of at least `equal_from` characters (default `min_chars`): id, line_no
+    (from 0), keep_id and keep_line (the earliest line that is equal or within one edit,
+    maybe itself), kept. Lines under `min_chars` are matched with equal lines only;
+    `equal_from` 1 takes every line that isn't empty.
 
     Lines lie between line feeds; earlier means a smaller id, then a smaller number. A line
     is kept unless an earlier line of the input is equal to it or one insertion, deletion or
@@ -64,9 +67,10 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id")).alias("doc"), F.col(text_col).alias("text"))
     n = F.length("line")
-    lines = lines_of(plain, min_chars).select(
+    keys = F.concat(part_keys(F.col("line"), n, True), part_keys(F.col("line"), n, False))
+    lines = lines_of(plain, min_chars if equal_from is None else min(equal_from, min_chars)).select(
         F.struct("doc", "line_no").alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), n.alias("n"),
-        F.concat(part_keys(F.col("line"), n, True), part_keys(F.col("line"), n, False)).alias("keys"))
+        F.when(n >= min_chars, keys).alias("keys"))
     instances = written(lines.select("at", "h", "h2"), "lines")
     classes = written(lines.groupBy("h", "h2").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
 
@@ -102,9 +106,10 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("keep.line_no").cast("long").alias("keep_line"), (F.col("at") == F.col("keep")).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
+                        equal_from: int | None = None) -> DataFrame:
     """`docs` whose texts lack the lines that `line_decisions` does not keep; all columns stay."""
-    gone = line_decisions(docs, id_col, text_col, min_chars).where(~F.col("kept")).groupBy(F.col(id_col).alias("gone_id")) \
+    gone = line_decisions(docs, id_col, text_col, min_chars, equal_from).where(~F.col("kept")).groupBy(F.col(id_col).alias("gone_id")) \
         .agg(F.collect_set("line_no").alias("gone"))
     left = F.array_join(F.filter(F.split(f"row.{text_col}", "\n", -1), lambda _, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n")
     text = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(left)

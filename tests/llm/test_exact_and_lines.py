@@ -75,3 +75,17 @@ def test_drop_repeated_lines(docs_of):
     out = line_dedup.drop_repeated_lines(docs_of([(1, f"{a}\nshort\n{b}"), (2, f"short\n{a}!\n{b}\nnew"), (3, None)]))
     assert out.columns == ["doc_id", "text", "key", "row"]
     assert {r.doc_id: r.text for r in out.collect()} == {1: f"{a}\nshort\n{b}", 2: "short\nnew", 3: None}
+
+
+def test_short_lines_are_matched_when_equal(docs_of, awkward):
+    flat = near_lines() + ["short", "shorx", "x", "nineteen characters", "nineteen characterss"]
+    rows = awkward + [(1000 - i, "\n".join(flat[i * 3 : i * 3 + 3] + ["short", ""])) for i in range(len(flat) // 3)]
+    taken = sorted(((brute.order(i), n), i, line) for i, text in rows for n, line in enumerate((text or "").split("\n")) if line)
+    earliest = {}
+    for at, i, line in taken:
+        earliest.setdefault(line, (i, at[1]))
+    want = {(i, at[1]): earliest[line] for at, i, line in taken} | brute.lines(rows, line_dedup.MIN_CHARS)
+    got = {(r.doc_id, r.line_no): (r.keep_id, r.keep_line) for r in line_dedup.line_decisions(docs_of(rows), equal_from=1).collect()}
+    assert got == want
+    out = line_dedup.drop_repeated_lines(docs_of([(1, "a\nshort\n\n"), (2, "short\nshorx\n\na")]), equal_from=1)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a\nshort\n\n", 2: "shorx\n"}

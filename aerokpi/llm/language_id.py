@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,9 @@ from pyspark.sql import types as T
 
 from aerokpi.llm.units import bare_units, chunks
 
-#: Labelled documents that a model is fitted on (a hashed sample of about this many beyond it).
+#: Labelled documents that a model is fitted on (a hashed sample of about this many beyond it,
+#: drawn per language).
 MAX_TRAINING_DOCS = 20_000
-#: Words and n-grams of each length that a model keeps, the most frequent ones.
-MAX_WORDS = 50_000
-MAX_GRAMS = 20_000
 LONGEST_GRAM = 4
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Distinct units scored per worker before the memory is emptied.
@@ -39,35 +38,42 @@ def grams_of(word: str, n: int) -> list[str]:
 class WordFirstModel:
     """Log frequencies per language of words and of n-grams of each length."""
 
-    def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]):
-        """tables[0]: words; tables[n]: n-grams."""
+    def __init__(self, languages: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
+        """tables[0]: words; tables[n]: n-grams; each as places of the items and rows of scores."""
         self.languages, self.tables = languages, tables
 
     @staticmethod
-    def from_counts(rows: list[tuple[int, str, str, int]]) -> "WordFirstModel":
+    def from_counts(rows: Iterable[tuple[int, str, str, int]]) -> "WordFirstModel":
         """rows: (0 for words or n, item, language, count)."""
-        languages = sorted({r[2] for r in rows})
-        at = {x: i for i, x in enumerate(languages)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
+        places: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
+        cells = [(array("q"), array("q"), array("d")) for _ in places]
+        at: dict[str, int] = {}
         for n, item, language, count in rows:
-            counts[n].setdefault(item, np.zeros(len(languages)))[at[language]] += count
+            place = places[n].setdefault(item, len(places[n]))
+            for column, x in zip(cells[n], (place, at.setdefault(language, len(at)), count)):
+                column.append(x)
+        languages = sorted(at)
+        order = np.array([at[x] for x in languages], dtype=np.int64)
         tables = []
-        for found in counts:
-            total = sum(found.values(), np.zeros(len(languages)))
-            tables.append({k: np.log((v + 0.5) / (total + 0.5 * (len(found) + 1))) for k, v in found.items()})
+        for found, (place, of, count) in zip(places, cells):
+            counts = np.zeros((len(found), len(languages)))
+            np.add.at(counts, (np.frombuffer(place, np.int64), np.frombuffer(of, np.int64)), np.frombuffer(count))
+            counts = counts[:, order]
+            tables.append((found, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(found) + 1)))))
         return WordFirstModel(languages, tables)
 
     def word_scores(self, word: str) -> np.ndarray | None:
         """Log frequency of a known word; else the mean over its known n-grams of the largest
         n that has any; None for a word of unknown characters only."""
-        known = self.tables[0].get(word)
+        places, scores = self.tables[0]
+        known = places.get(word)
         if known is not None:
-            return known
+            return scores[known]
         for n in range(LONGEST_GRAM, 0, -1):
-            table = self.tables[n]
-            found = [table[g] for g in grams_of(word, n) if g in table]
+            places, scores = self.tables[n]
+            found = [places[g] for g in grams_of(word, n) if g in places]
             if found:
-                return np.sum(found, axis=0) / len(found)
+                return scores[found].sum(axis=0) / len(found)
         return None
 
 
@@ -130,23 +136,27 @@ def counted(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 def fit(docs: DataFrame, lang_col: str, text_col: str, key: Column, max_docs: int = MAX_TRAINING_DOCS) -> WordFirstModel:
     """A model of the labelled documents: all, or a sample of about `max_docs` by the hash of
-    `key`. It holds at most MAX_WORDS words and MAX_GRAMS n-grams of each length, so the
-    driver gathers a bounded table whatever the input."""
+    `key`, which takes equally many of each language as far as there are and at least one.
+    The model knows every word and n-gram of the learned documents; the driver gathers
+    their vocabulary, which only the sample bounds."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.count()
-    if n > max_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
-    counts = counted(labelled, lang_col, text_col).persist()
-    try:
-        rows: list[tuple] = []
-        for kind in range(LONGEST_GRAM + 1):
-            some = counts.where(F.col("kind") == kind)
-            top = some.groupBy("item").agg(F.sum("n").alias("total")).where(F.col("total") > 1) \
-                .orderBy(F.desc("total"), "item").limit(MAX_GRAMS if kind else MAX_WORDS)
-            rows += some.join(F.broadcast(top), "item", "left_semi").select("kind", "item", "lang", "n").collect()
-    finally:
-        counts.unpersist()
-    return WordFirstModel.from_counts([tuple(r) for r in rows])
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    sizes = {r[0]: (r.n, r.least) for r in labelled.groupBy(lang_col).agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()}
+    if sum(n for n, _ in sizes.values()) > max_docs:
+        quota = quotas({x: n for x, (n, _) in sizes.items()}, max_docs)
+        last = [(x, max(int((1 << 30) * quota[x] / n) - 1, least)) for x, (n, least) in sizes.items()]
+        table = docs.sparkSession.createDataFrame(last, "learned_lang string, last_place long")
+        labelled = labelled.join(F.broadcast(table), F.col(lang_col).cast("string") == F.col("learned_lang")).where(place <= F.col("last_place"))
+    rows = counted(labelled, lang_col, text_col).toLocalIterator()
+    return WordFirstModel.from_counts(rows)
+
+
+def quotas(sizes: dict[str, int], total: int) -> dict[str, float]:
+    """Shares of `total` that are equal but for languages with fewer documents, which give all."""
+    out: dict[str, float] = {}
+    for i, (x, n) in enumerate(sorted(sizes.items(), key=lambda s: (s[1], s[0]))):
+        out[x] = min(n, (total - sum(out.values())) / (len(sizes) - i))
+    return out
 
 
 def predict(docs: DataFrame, model: WordFirstModel, keep: list[str], text_col: str) -> DataFrame:

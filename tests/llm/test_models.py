@@ -106,6 +106,22 @@ def test_language_backs_off_to_shorter_grams():
     assert model.word_scores("日本") is None
 
 
+def test_language_model_knows_every_word_of_every_language(docs_of):
+    rows = [(i, f"common word{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)] + [(1000, "seldom nur einmal")]
+    docs = docs_of(rows).withColumn("lang", F.when(F.col("doc_id") == 1000, "rare").otherwise("big"))
+    whole = language_id.fit(docs, "lang", "text", F.col("doc_id"))
+    assert set(whole.tables[0][0]) == {w for _, t in rows for w in t.split()}
+    assert "inma" in whole.tables[4][0] and len(whole.tables[0][0]) == len(whole.tables[0][1])
+    for key in range(4):
+        part = language_id.fit(docs, "lang", "text", F.col("doc_id") + key, max_docs=20)
+        assert part.languages == ["big", "rare"] and 3 < len(part.tables[0][0]) < 60
+
+
+def test_language_quotas():
+    assert language_id.quotas({"a": 1000, "b": 3, "c": 500}, 203) == {"a": 100, "b": 3, "c": 100}
+    assert language_id.quotas({"a": 9, "b": 2}, 6) == {"a": 4, "b": 2}
+
+
 def test_language_edge_cases(spark, docs_of, awkward):
     docs = docs_of(awkward).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").when(F.col("doc_id") % 3 == 0, "yy"))
     out = {(r.doc_id, r.lang_pred) for r in language_id.identify(docs).collect()}

@@ -23,6 +23,10 @@ SAMPLE = 0.4
 SMALL = 64
 #: Shingles of one bucket of the first filter.
 BUCKET_SHINGLES = 500_000
+#: Ranks up to which Spark limits a window before its shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+WINDOW_LIMIT = 1000
+#: Parts of a region from which more pivots than that are elected.
+REGION_PARTS = 64
 
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +208,17 @@ def linked(inter: Column, n: Column, m: Column, percent: int) -> Column:
     return inter * 100 >= (n + m - inter) * percent
 
 
+def first_of_regions(members: DataFrame, pivots: int) -> DataFrame:
+    """Each region's first `pivots` members with their `rank`: of the smallest label (`size`),
+    the most central, the smallest key. Up to WINDOW_LIMIT Spark cuts the ranks in every task
+    before the shuffle; beyond, parts of a region are cut before the region is ranked."""
+    order = ["size", F.desc("centre"), "x"]
+    if pivots > WINDOW_LIMIT:
+        part = F.row_number().over(Window.partitionBy("region", F.pmod(F.xxhash64("x"), F.lit(REGION_PARTS))).orderBy(*order))
+        members = members.withColumn("rank", part).where(F.col("rank") <= pivots).drop("rank")
+    return members.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(*order))).where(F.col("rank") <= pivots)
+
+
 def links_of(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between sets that leave no two linked sets in different components.
 
@@ -224,8 +239,7 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
         if pivots > 1:  # later, sets outside a region's main component come first
             sizes = written(active.groupBy(F.col("region").alias("r"), F.col("label").alias("l")).agg(F.count("*").alias("size")), "sizes")
             sized = active.join(sizes, (F.col("region") == F.col("r")) & (F.col("label") == F.col("l"))).drop("r", "l")
-        rank = F.row_number().over(Window.partitionBy("region").orderBy("size", F.desc("centre"), "x"))
-        elected = written(sized.withColumn("rank", rank).where(F.col("rank") <= pivots).select(
+        elected = written(first_of_regions(sized, pivots).select(
             "region", F.col("x").alias("p"), F.col("n").alias("m"), F.col("common").alias("p_common"), F.col("label").alias("p_label"), F.col("d").alias("p_d"), "rank"), "elected")
         near = active.join(elected, "region").where(
             (F.col("x") != F.col("p")) & (F.col("label") != F.col("p_label"))

@@ -55,6 +55,27 @@ def test_sizes_around_the_first_filter(docs_of):
     check(docs_of, list(enumerate(rows)))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_ranks_a_whole_region(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(int(i % 9 == 0), i, rng.randrange(3), rng.randrange(40) / 8) for i in range(6000)]
+    path = str(tmp_path / "members")
+    spark.createDataFrame(rows, "region long, x long, size int, centre double").write.parquet(path)
+    members = spark.read.parquet(path)
+    for pivots in (1, 256, 1024):
+        out = jaccard.first_of_regions(members, pivots)
+        want = set()
+        for region in (0, 1):
+            best = sorted((size, -centre, x) for r, x, size, centre in rows if r == region)[:pivots]
+            want |= {(region, x, i + 1) for i, (_, _, x) in enumerate(best)}
+        assert {(r.region, r.x, r["rank"]) for r in out.collect()} == want
+        below = plan_of(out).split("hashpartitioning(region", 1)[1]  # what is cut before regions are gathered
+        assert f"{pivots}, Partial" in below if pivots <= jaccard.WINDOW_LIMIT else f"<= {pivots}" in below
+
+
 def test_empty_table_and_columns(docs_of):
     assert jaccard.near_copies(docs_of([])).count() == 0
     kept = jaccard.drop_near_copies(docs_of([(2, "a b c d e f g"), (1, "A b c  d e f g"), (3, "z")]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerokpi.llm.common import discard, written
@@ -46,6 +46,11 @@ def variants(line: Column, n: Column, part: Column, is_long: Column, key: Column
     return F.when(is_long, deletions).otherwise(F.array(F.struct(F.xxhash64(key, F.lit(0), inner).alias("variant"), F.lit("short").alias("role"))))
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The keys of several rows, counted where the rows lie before they are shuffled."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+
+
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                    equal_from: int | None = None) -> DataFrame:
     """One row per line of at least `equal_from` characters (default `min_chars`): id, line_no
@@ -77,7 +82,8 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # only what finds the lines again is shuffled by key and to the documents
     keyed = classes.select("h", F.col("first.doc.no").alias("no"), F.col("first.doc.id").alias("id"), F.col("first.line_no").alias("line_no"),
                            F.explode("keys").alias("k")).select("h", "no", "id", "line_no", "k.*")
-    able = keyed.withColumn("several", F.count("*").over(Window.partitionBy("key"))).where("several > 1").drop("several")
+    shared = written(shared_keys(keyed), "shared-keys")
+    able = keyed.join(shared, "key", "left_semi")
     asked = able.groupBy("no", "id").agg(F.collect_list(F.struct("h", "line_no", "key", "part", "is_long")).alias("asked"))
     fetched = plain.select("doc", "text").join(asked, F.col("doc").eqNullSafe(F.struct("no", "id"))) \
         .withColumn("lines", F.split("text", "\n", -1)).select("doc", "lines", F.explode("asked").alias("a")) \
@@ -100,7 +106,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .where(F.levenshtein("line", "p_line", 1) >= 0).groupBy("h", "h2").agg(F.min("p_first").alias("near"))
     kept = written(classes.select("h", "h2", "first").join(near, ["h", "h2"], "left").select(
         F.col("h").alias("c_h"), F.col("h2").alias("c_h2"), F.coalesce(F.least("near", "first"), "first").alias("keep")), "kept")
-    discard(spark, classes, able_lines, variants_, earliest)
+    discard(spark, classes, shared, able_lines, variants_, earliest)
     return instances.join(kept, (F.col("h") == F.col("c_h")) & (F.col("h2") == F.col("c_h2"))).select(
         F.col("at.doc.id").alias(id_col), F.col("at.line_no").cast("long").alias("line_no"), F.col("keep.doc.id").alias("keep_id"),
         F.col("keep.line_no").cast("long").alias("keep_line"), (F.col("at") == F.col("keep")).alias("kept"))

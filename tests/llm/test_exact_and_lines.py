@@ -89,3 +89,11 @@ def test_short_lines_are_matched_when_equal(docs_of, awkward):
     assert got == want
     out = line_dedup.drop_repeated_lines(docs_of([(1, "a\nshort\n\n"), (2, "short\nshorx\n\na")]), equal_from=1)
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a\nshort\n\n", 2: "shorx\n"}
+
+
+def test_shared_keys_are_counted_before_the_shuffle(spark):
+    keyed = spark.createDataFrame([(k, i) for i, k in enumerate([7] * 50 + [1, 2, 3, 3, -4])], "key long, h long").repartition(5)
+    shared = line_dedup.shared_keys(keyed)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "Window" not in plan
+    assert sorted(r.key for r in shared.collect()) == [3, 7]

@@ -158,3 +158,66 @@ k AS (SELECT line, min(near) AS keep FROM x GROUP BY line)
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, keep.d AS keep_id, CAST(keep.l AS BIGINT) AS keep_line, place = keep AS kept
 FROM m JOIN k USING (line)
 """
+
+
+@register
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, checked again after tampering."""
+    from aerokpi.llm.merkle import folded, leaf_digest, manifest, siblings
+
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+                      leaf_digest(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields]))
+    found = manifest(read_table(spark, sf_dir, "documents"), "doc_id", "lang", fields, {"tampered": tampered})
+    return found.withColumn("folded_root", folded(F.col("path"), F.coalesce("tampered", "leaf"))).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: CRC-32 of a list of byte values, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b: list_reduce(
+    list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang")) + " || {n_chars} || " + _field("text") + ")"
+
+ORACLE["op11_merkle"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF.format(n_chars=_field("n_chars"))} AS leaf, {_LEAF.format(n_chars=_field("(n_chars + 1)"))} AS changed,
+         [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')] AS digits
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, leaf, CASE WHEN {_CRC32.format(bytes="digits")} % 7 = 0 THEN changed ELSE leaf END AS shown,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM d),
+tree AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, n FROM l
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+forest AS (
+  SELECT 0 AS level, pos, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM forest WHERE n > 1 GROUP BY level, pos // 2),
+path AS (
+  SELECT doc_id, lang, leaf, pos AS start, 0 AS level, pos, n, '' AS proof, shown AS f FROM l
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.leaf, p.start, p.level + 1, p.pos // 2, (p.n + 1) // 2, p.proof || coalesce(t.h, ''),
+         sha256(CASE WHEN p.pos % 2 = 1 THEN t.h ELSE '' END || p.f || CASE WHEN p.pos % 2 = 0 THEN coalesce(t.h, '') ELSE '' END)
+  FROM path p LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM p.lang AND t.level = p.level AND t.pos = xor(p.pos, 1)
+  WHERE p.n > 1),
+upper AS (
+  SELECT p.doc_id, p.leaf, p.start, p.lang, s.h AS subroot, 0 AS level, s.pos, s.n, p.proof, p.f
+  FROM path p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.start, p.lang, p.subroot, p.level + 1, p.pos // 2, (p.n + 1) // 2, p.proof || coalesce(t.h, ''),
+         sha256(CASE WHEN p.pos % 2 = 1 THEN t.h ELSE '' END || p.f || CASE WHEN p.pos % 2 = 0 THEN coalesce(t.h, '') ELSE '' END)
+  FROM upper p LEFT JOIN forest t ON t.level = p.level AND t.pos = xor(p.pos, 1)
+  WHERE p.n > 1)
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified
+FROM upper JOIN (SELECT h FROM forest WHERE n = 1) AS r ON upper.n = 1
+"""

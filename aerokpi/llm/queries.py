@@ -221,3 +221,49 @@ upper AS (
 SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified
 FROM upper JOIN (SELECT h FROM forest WHERE n = 1) AS r ON upper.n = 1
 """
+
+
+@register
+def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark texts."""
+    from aerokpi.llm.target_sampling import resample_to_target
+
+    return resample_to_target(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"""SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM {table}"""
+
+# gains are summed feature by feature, without bit planes
+ORACLE["op12_target_sampling"] = f"""
+WITH w AS ({_WORDS.format(key="doc_id", table="documents")}),
+b AS ({_WORDS.format(key="item_id", table="benchmark")}),
+x AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM w UNION SELECT word FROM b)),
+k AS (SELECT word, {_CRC32.format(bytes="[CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) FOR i IN range(1, len(h) // 2 + 1)]")} % 10000 AS bucket FROM x),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM w)::DOUBLE AS big_s, (SELECT count(*) FROM b)::DOUBLE AS big_t),
+g AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000) / ((s + 1)::DOUBLE * (big_t + 10000)))) AS gain
+  FROM s LEFT JOIN t USING (bucket) CROSS JOIN n),
+d AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM w JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+e AS (
+  SELECT o.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || o.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents AS o LEFT JOIN d ON o.doc_id = d.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM e WHERE n_features >= 20)
+SELECT e.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank
+FROM e LEFT JOIN r ON e.doc_id = r.doc_id
+"""
+
+
+@register
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprints of all documents and their edited texts, and the near copies found by their bands."""
+    from aerokpi.llm.fingerprints import fingerprints, near_copies_by_bands
+
+    docs = read_table(spark, sf_dir, "documents")
+    return near_copies_by_bands(docs, fingerprints(docs)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")

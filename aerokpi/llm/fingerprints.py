@@ -176,7 +176,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = Window.orderBy("head_part")  # one number a range
     after = heads.select("head_part").select(F.col("head_part").alias("open_part"), F.coalesce(
         F.lead("head_part").over(order), F.min("head_part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_part"))
-    opened = made.where("open_text IS NOT NULL").join(after, F.col("part") == F.col("open_part")).join(heads, F.col("next_part") == F.col("head_part"))
+    opened = made.where("open_text IS NOT NULL").drop("head_text").join(after, F.col("part") == F.col("open_part")).join(heads, F.col("next_part") == F.col("head_part"))
     left = [c for c in rest if c not in ("edited_sha256", "edited_fingerprint", "near_edited", "near_next")]
     closed_schema = T.StructType([made.schema[c] for c in left] + T.StructType.fromDDL(_COMPARED).fields)
 

@@ -24,6 +24,9 @@ BANDS = 25
 ROWS = 5
 #: Hexadecimal digits of one place: 16 bits of the least hash.
 DIGITS = 4
+#: Bits of the bitmap that thins out texts before they are shuffled for verification: 16 MB in
+#: the driver and in every worker, at every size of the input.
+FILTER_BITS = 1 << 27
 #: Bytes of text handled at once, unless one text is larger: the arrays stay in the cache.
 CHUNK_BYTES = 1 << 19
 
@@ -198,10 +201,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def sets_of(texts: DataFrame, width: int) -> DataFrame:
-    """(key, key2, n, items) of the column `text`."""
+def marked_bits(positions: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits, eight a byte, with those at the column `at` set."""
+    n = F.col("at") + 1  # Spark counts from 1
+    parts = positions.groupBy(F.bitmap_bucket_number(n).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits")).collect()
+    size = FILTER_BITS // 8 // 4096
+    out = np.zeros((size, 4096), dtype=np.uint8)
+    for row in parts:
+        out[row["part"] - 1] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out.reshape(-1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sets_of(docs: DataFrame, able: DataFrame, width: int) -> DataFrame:
+    """(key, key2, n, items), written, of the classes `able` (k, k2, rep), read from the text
+    of each class's representative in `docs` (id, text).
+
+    A bitmap of FILTER_BITS bits, whatever the number of classes, tells tasks which texts
+    may be wanted, so that the others aren't shuffled; the join with `able` then decides."""
+    spark = docs.sparkSession
+    mask = FILTER_BITS - 1
+    place = F.col("k").bitwiseXOR(F.xxhash64("rep")).bitwiseAND(F.lit(mask))
+    bits = spark.sparkContext.broadcast(marked_bits(able.select(place.alias("at"))))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = buffers(batch.column(1))
+            for a, b in by_bytes(offsets, CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                key, key2, _ = set_keys(*shingles(part.column(1), width), b - a)
+                at = (key ^ part.column(0).to_numpy().view(np.uint64)) & np.uint64(mask)
+                found = (bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                some = pa.array(found == 1)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)).filter(some), pa.array(key2.view(np.int64)).filter(some),
+                                                  part.column(0).filter(some), part.column(1).filter(some)], names=["key", "key2", "owner", "text"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = buffers(batch.column(0))
             for a, b in by_bytes(offsets, CHUNK_BYTES):
@@ -212,7 +246,11 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
                     [pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(n, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], names=["key", "key2", "n", "items"])
 
-    return texts.select("text").mapInArrow(work, "key long, key2 long, n long, items array<long>")
+    some = docs.select(F.xxhash64("id").alias("owner"), "text").mapInArrow(wanted, "key long, key2 long, owner long, text string")
+    owners = able.select(F.col("k").alias("key"), F.col("k2").alias("key2"), F.xxhash64("rep").alias("owner"))
+    keys = ["key", "key2", "owner"]
+    texts = some.join(owners, keys, "left_semi").dropDuplicates(keys).select("text")
+    return written(texts.mapInArrow(sets, "key long, key2 long, n long, items array<long>"), "sets")
 
 
 def band_members(classes: DataFrame) -> DataFrame:
@@ -220,11 +258,11 @@ def band_members(classes: DataFrame) -> DataFrame:
     members are one."""
     size = DIGITS * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * size + 1, size)) for b in range(BANDS)])
-    entries = written(classes.select(F.col("key").alias("x"), "n", F.explode(bands).alias("band")), "bands")
+    entries = classes.select(F.col("key").alias("x"), "n", F.explode(bands).alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("members"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("content")).where("members > 1")
     single = written(shared.groupBy("members", "content").agg(F.min("band").alias("band")).select("band"), "shared_bands")
     members = written(entries.join(single, "band").select("band", "x", "n"), "band_members")
-    discard(classes.sparkSession, entries, single)
+    discard(classes.sparkSession, single)
     return members
 
 
@@ -285,10 +323,7 @@ def near_copies_by_bands(docs: DataFrame, prints: DataFrame, id_col: str = "doc_
     members = band_members(classes)
     able = written(classes.join(members.select(F.col("x").alias("key")).distinct(), "key", "left_semi").select(
         F.col("key").alias("k"), F.col("key2").alias("k2"), "rep"), "able")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(able, texts["id"].eqNullSafe(able["rep"]), "left_semi")
-    sets = sets_of(texts, width).join(able, (F.col("key") == able["k"]) & (F.col("key2") == able["k2"]), "left_semi")
-    sets = written(sets.dropDuplicates(["key"]), "sets")
+    sets = sets_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), able, width)
     links = verified_links(members, sets, percent)
     if links is None:
         return prints.withColumn("near_id", F.col(id_col))

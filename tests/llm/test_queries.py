@@ -21,16 +21,16 @@ def plain(x):
 
 
 
-def test_all_eleven_are_registered():
+def test_all_are_registered():
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
     assert set(ORACLE) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE[name]).df()
     key = lambda rows: sorted(rows, key=lambda r: tuple(str(x) for x in r))
@@ -49,6 +49,17 @@ def test_jaccard_query(spark):
     assert got == sorted(brute.near(documents(spark)))
 
 
+def test_fingerprint_query(spark):
+    import hashlib
+
+    rows = documents(spark)
+    edited, near = brute.edited(rows), {i: c for i, _, c in brute.near(rows)}
+    got = QUERIES["op13_fingerprints"](spark, SF).collect()
+    assert {(r.doc_id, r.n_chars, r.edited_sha256, r.near_id) for r in got} == {
+        (i, len(t), hashlib.sha256(edited[i].encode()).hexdigest(), near[i]) for i, t in rows}
+    assert len({r.fingerprint for r in got}) == len({brute.shingles(t) for _, t in rows})
+
+
 def test_suffix_query(spark):
     import hashlib
 

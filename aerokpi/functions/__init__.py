@@ -5,10 +5,6 @@ from aerokpi.functions.columns import (  # noqa: F401
     canon_code,
     channel_norm,
     device_norm,
-    money_total,
-    money_units,
-    units_sum,
-    units_to_money,
     ratio,
     routing_key,
     segment_label,
@@ -16,3 +12,13 @@ from aerokpi.functions.columns import (  # noqa: F401
     weekday_name,
     whole_days,
 )
+from aerokpi.functions.money import (  # noqa: F401
+    amount_value,
+    is_amount,
+    money,
+    money_resum,
+    money_resum_times,
+    money_sum,
+    money_total,
+    sum_value,
+)

@@ -7,12 +7,10 @@ every parse is a ``try_`` variant.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerokpi.params import CHANNEL_SYNONYMS, MONEY_UNITS, SEGMENT_ARROW, WEEKDAYS
+from aerokpi.params import CHANNEL_SYNONYMS, SEGMENT_ARROW, WEEKDAYS
 
 
 def _c(x) -> Column:
@@ -86,43 +84,6 @@ def whole_days(end, start, dates: bool = False) -> Column:
     return F.floor(secs / F.lit(86400)).cast("bigint")
 
 
-
 def ratio(num, den) -> Column:
     """num / den as DOUBLE, null when den is null or zero (never raises)."""
     return F.try_divide(_c(num).cast("double"), F.nullif(_c(den).cast("double"), F.lit(0.0)))
-
-
-
-
-def money_units(x) -> Column:
-    """Exact BIGINT count of 1e-4 units of a money amount (null stays null).
-
-    Amounts have four decimals at most; one that lies off this scale is an error, never
-    rounded. ``rint`` is exact: x * 1e4 is within an ulp of an integer for amounts on it.
-    """
-    scaled = _c(x) * F.lit(float(MONEY_UNITS))
-    units = F.rint(scaled)
-    off = F.abs(scaled - units) > F.greatest(F.lit(1e-3), F.abs(units) * F.lit(4e-16))
-    message = F.concat(F.lit("amount with more than four decimals: "), _c(x).cast("string"))
-    return F.when(off, F.raise_error(message).cast("bigint")).otherwise(units.cast("bigint"))
-
-
-def units_to_money(u) -> Column:
-    """BIGINT / DECIMAL units -> DOUBLE amount, correctly rounded."""
-    return _c(u).cast("double") / F.lit(float(MONEY_UNITS))
-
-
-def money_total(*cols, nulls_as_zero: bool = True) -> Column:
-    """Row-wise exact sum of money columns, as units.
-
-    ``nulls_as_zero=False`` propagates a null part to a null total.
-    """
-    us = [money_units(c) for c in cols]
-    if nulls_as_zero:
-        us = [F.coalesce(u, F.lit(0)) for u in us]
-    return reduce(lambda a, b: a + b, us)
-
-
-def units_sum(u) -> Column:
-    """Overflow-safe SUM of unit counts across many rows (DECIMAL(38,0))."""
-    return F.sum(_c(u).cast("decimal(38,0)"))

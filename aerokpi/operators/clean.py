@@ -11,8 +11,8 @@ from aerokpi.functions import (
     canon_code,
     channel_norm,
     device_norm,
+    amount_value,
     money_total,
-    units_to_money,
     weekday_name,
     whole_days,
 )
@@ -30,14 +30,14 @@ def booking_clean(booking: DataFrame) -> DataFrame:
     return booking.select(
         *[canon_code(c).alias(c) if c in ("origin", "destination") else F.col(c) for c in booking.columns],
         booking_id_norm("bookingid_pnr").alias("bookingid_norm"),
-        units_to_money(money_total(*REVENUE_COLS)).alias("total_revenue"),
+        amount_value(money_total(*REVENUE_COLS)).alias("total_revenue"),
         F.concat(canon_code("origin"), F.lit(ROUTING_DASH), canon_code("destination")).alias("routing_canonical"),
         F.col("cancellation_date").isNotNull().alias("is_cancelled"),
         weekday_name("flight_date").alias("flight_dow"),
         whole_days("cancellation_date", "reservation_date", dates).alias("days_after_booking_to_cancel"),
         whole_days("flight_date", "cancellation_date", dates).alias("days_before_flight_to_cancel"),
         whole_days("flight_date", "reservation_date", dates).alias("lead_time_days"),
-        units_to_money(money_total(*ANCILLARY_COLS)).alias("ancillary_total"),
+        amount_value(money_total(*ANCILLARY_COLS)).alias("ancillary_total"),
     )
 
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerokpi.functions import booking_id_norm, canon_code, money_total, routing_key, units_to_money
+from aerokpi.functions import booking_id_norm, canon_code, money_total, routing_key, amount_value
 from aerokpi.params import DEFAULT, DQ_CHECKS, ROUTING_DASH, SEGMENT_ARROW, KpiParams
 from aerokpi.sources.schema import REVENUE_COLS
 
@@ -45,7 +45,7 @@ def dq_booking(booking: DataFrame) -> DataFrame:
         *booking.columns,
         booking_id_norm("bookingid_pnr").alias("bookingid_norm"),
         F.concat(canon_code("origin"), F.lit(ROUTING_DASH), canon_code("destination")).alias("routing_canonical"),
-        units_to_money(money_total(*REVENUE_COLS)).alias("total_revenue"),
+        amount_value(money_total(*REVENUE_COLS)).alias("total_revenue"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerokpi.functions import (
-    booking_id_norm, canon_code, money_units, ratio, segment_label, units_sum, units_to_money, weekday_name,
+    booking_id_norm, canon_code, money, money_resum, money_resum_times, money_sum, ratio, segment_label, sum_value, weekday_name,
 )
 from aerokpi.operators.clean import booking_clean, pnr_channel
 from aerokpi.operators.marts import leg_anc, leg_revpp
@@ -84,10 +84,10 @@ def anc_share_segment(base: DataFrame, leg: DataFrame) -> DataFrame:
     # flight on many O&Ds is never expanded into all pairs of them
     a = leg_anc(base)
     flights = leg.groupBy("flightnumber", "flight_date").agg(
-        F.count(F.lit(1)).alias("n_legs"), units_sum(money_units("total_revenue")).alias("revenue_u"))
+        F.count(F.lit(1)).alias("n_legs"), money_sum(money("total_revenue")).alias("revenue_u"))
     j = a.join(flights, ["flightnumber", "flight_date"])
     return j.groupBy("origin", "destination").agg(
-        ratio(units_to_money(units_sum(F.col("anc_rev_u") * F.col("n_legs"))), units_to_money(units_sum("revenue_u"))).alias("anc_share")
+        ratio(sum_value(money_resum_times("anc_rev_u", "n_legs")), sum_value(money_resum("revenue_u"))).alias("anc_share")
     )
 
 
@@ -232,8 +232,8 @@ def segment_kpis(base: DataFrame) -> DataFrame:
         F.sum("n_ids").cast("bigint").alias("bookings"),
         F.sum("cancels").cast("bigint").alias("cancels"),
         F.coalesce(F.sum("pax_sum"), F.lit(0)).cast("bigint").alias("pax"),
-        units_to_money(units_sum("revenue_all_u")).alias("revenue"),
-        units_to_money(units_sum("anc_all_u")).alias("num"),
+        sum_value(money_resum("revenue_all_u")).alias("revenue"),
+        sum_value(money_resum("anc_all_u")).alias("num"),
     )
     return s.select(
         "origin", "destination", "bookings", "cancels", "pax", "revenue",
@@ -322,8 +322,8 @@ def last_minute_share(booking: DataFrame, params: KpiParams = DEFAULT) -> DataFr
 def ancillary_share_by_segment(base: DataFrame) -> DataFrame:
     """R-17: ancillary / revenue per canonical O&D (report convention)."""
     s = base.groupBy(canon_code("origin").alias("origin"), canon_code("destination").alias("destination")).agg(
-        units_to_money(units_sum("revenue_all_u")).alias("revenue"),
-        units_to_money(units_sum("anc_all_u")).alias("ancillary"),
+        sum_value(money_resum("revenue_all_u")).alias("revenue"),
+        sum_value(money_resum("anc_all_u")).alias("ancillary"),
     )
     return s.withColumn("aras", F.when(F.col("revenue") > 0, ratio("ancillary", "revenue"))).withColumn(
         "od", segment_label()

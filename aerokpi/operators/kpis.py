@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerokpi.functions import ratio, units_sum, units_to_money
+from aerokpi.functions import money_resum, ratio, sum_value
 from aerokpi.operators.marts import leg_anc, leg_yield_index
 from aerokpi.params import DEFAULT, KpiParams
 
@@ -69,9 +69,9 @@ def aras_overall(base: DataFrame, leg: DataFrame) -> DataFrame:
     """K-9: ancillary revenue / seats over the join of ancillary per
     (flight number, date) with legs on those two keys only (a flight number
     serving several O&Ds on one date fans out, as in the definition)."""
-    anc = leg_anc(base).groupBy("flightnumber", "flight_date").agg(F.sum("anc_rev_u").alias("ancillary_u"))
+    anc = leg_anc(base).groupBy("flightnumber", "flight_date").agg(money_resum("anc_rev_u").alias("ancillary_u"))
     j = anc.join(leg.select("flightnumber", "flight_date", "seats"), ["flightnumber", "flight_date"], "inner")
-    return j.agg(ratio(units_to_money(units_sum("ancillary_u")), F.sum("seats")).alias("aras"))
+    return j.agg(ratio(sum_value(money_resum("ancillary_u")), F.sum("seats")).alias("aras"))
 
 
 def srm_proxy(leg: DataFrame) -> DataFrame:

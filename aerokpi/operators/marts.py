@@ -9,7 +9,7 @@ need, in both null conventions:
   and an all-null sum stays null;
 * report convention: null parts count as zero, an all-null sum is zero.
 
-All money sums are exact BIGINT counts of 1e-4 units (``*_u`` columns), so
+All money sums are exact (``*_u`` columns, `functions.money`), so
 re-aggregating the base at a coarser grain (date-truncated keys, canonical
 O&D codes, flight + date) gives the same numbers as aggregating the
 bookings directly, and the hot aggregation stays on primitive longs. Partial aggregation
@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerokpi.functions import booking_id_norm, canon_code, money_total, money_units, ratio, units_sum, units_to_money, weekday_name
+from aerokpi.functions import (
+    booking_id_norm, canon_code, money, money_resum, money_sum, money_total, ratio, sum_value, weekday_name,
+)
 from aerokpi.params import DEFAULT, KpiParams
 from aerokpi.sources.schema import ANCILLARY_COLS, REVENUE_COLS
 
@@ -35,10 +37,10 @@ def leg_base(booking: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.count(booking_id_norm("bookingid_pnr")).alias("n_ids"),
         F.count("cancellation_date").alias("cancels"),
-        F.sum(money_total(*REVENUE_COLS, nulls_as_zero=False)).alias("revenue_sql_u"),
-        F.sum(money_total(*REVENUE_COLS)).alias("revenue_all_u"),
-        F.sum(money_total(*ANCILLARY_COLS, nulls_as_zero=False)).alias("anc_sql_u"),
-        F.sum(money_total(*ANCILLARY_COLS)).alias("anc_all_u"),
+        money_sum(money_total(*REVENUE_COLS, nulls_as_zero=False)).alias("revenue_sql_u"),
+        money_sum(money_total(*REVENUE_COLS)).alias("revenue_all_u"),
+        money_sum(money_total(*ANCILLARY_COLS, nulls_as_zero=False)).alias("anc_sql_u"),
+        money_sum(money_total(*ANCILLARY_COLS)).alias("anc_all_u"),
     )
 
 
@@ -52,7 +54,7 @@ def leg_sql_grain(base: DataFrame) -> DataFrame:
         return base  # already at that grain: no re-aggregation, no shuffle
     return base.groupBy(
         "flightnumber", F.to_date("flight_date").alias("flight_date"), "origin", "destination"
-    ).agg(*[F.sum(c).alias(c) for c in base.columns if c not in LEG_KEYS])
+    ).agg(*[(money_resum(c) if c.endswith("_u") else F.sum(c)).alias(c) for c in base.columns if c not in LEG_KEYS])
 
 
 def leg(base: DataFrame, flight: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def leg(base: DataFrame, flight: DataFrame) -> DataFrame:
     a = leg_sql_grain(base).select(
         *LEG_KEYS,
         F.col("pax_sum").alias("pax"),
-        units_to_money("revenue_sql_u").alias("total_revenue"),
+        sum_value("revenue_sql_u").alias("total_revenue"),
         F.col("cancels"),
     )
     f = flight.select(
@@ -81,7 +83,7 @@ def segment(leg_df: DataFrame) -> DataFrame:
     return leg_df.groupBy("origin", "destination").agg(
         F.sum("pax").alias("pax"),
         F.sum("seats").cast("bigint").alias("seats"),
-        units_to_money(units_sum(money_units("total_revenue"))).alias("total_revenue"),
+        sum_value(money_sum(money("total_revenue"))).alias("total_revenue"),
     )
 
 
@@ -178,7 +180,7 @@ def leg_report(base: DataFrame, flight: DataFrame) -> DataFrame:
         canon_code("origin").alias("origin"), canon_code("destination").alias("destination"),
     ).agg(
         F.coalesce(F.sum("pax_sum"), F.lit(0)).cast("bigint").alias("pax"),
-        units_to_money(F.sum("revenue_all_u")).alias("revenue"),
+        sum_value(money_resum("revenue_all_u")).alias("revenue"),
         F.sum("cancels").cast("bigint").alias("cancels"),
     )
     f = flight.select(

@@ -57,11 +57,10 @@ DQ_CHECKS = (
 SEGMENT_ARROW = "→"
 ROUTING_DASH = "-"
 
-# Money: amounts carry at most four decimals. They are stored as DOUBLE
-# (the nearest double of the exact amount) and summed exactly as BIGINT
-# units of 1e-4, so a sum never depends on the order in which partitions
-# are combined. Sums over more than one leg use DECIMAL(38,0) units so
-# they cannot overflow.
+# Money: the common scale of amounts is four decimals. Amounts are stored as DOUBLE (the
+# nearest double); those on the common scale are summed as counts of 1e-4, others as
+# the binary numbers they are (functions/money.py), so no sum depends on the order in
+# which partitions are combined.
 MONEY_UNITS = 10000
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aerokpi.functions.money import is_amount
+
 _MONEY = T.DoubleType()
 
 # Date-like columns accept DATE or TIMESTAMP_NTZ as delivered; strings are
@@ -73,8 +75,8 @@ DATE_FORMATS = (
 
 
 def _finite(x: Column) -> Column:
-    """NaN and infinities are missing values."""
-    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+    """NaN, infinities and numbers beyond any amount (2**160) are missing values."""
+    return F.when(is_amount(x), x)
 
 
 def _coerce(col: Column, have: T.DataType, want) -> Column:

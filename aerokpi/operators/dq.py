@@ -161,3 +161,34 @@ def dq_summary(booking: DataFrame, passenger: DataFrame, dq_leg_df: DataFrame,
     ])
     order = F.array_position(F.array(*[F.lit(n) for n in DQ_CHECKS]), F.col("check"))
     return long.orderBy(F.col("count").desc(), order)
+
+
+def duplicate_keys(booking: DataFrame) -> DataFrame:
+    """The (PNR, flight, date, O, D) that occur more than once, under names of their own."""
+    dups = dq_booking(booking).groupBy(*DUP_KEYS).count().where(F.col("count") > 1)
+    return dups.select(*[F.col(k).alias(f"dup_{k}") for k in DUP_KEYS], F.lit(True).alias("is_duplicate"))
+
+
+def _exploded(df: DataFrame, flags: dict[str, F.Column]) -> DataFrame:
+    """The rows of ``df`` that fail a check, once per check, with ``check``."""
+    names = F.array_compact(F.array(*[F.when(flag, F.lit(n)) for n, flag in flags.items()]))
+    return df.withColumn("check", F.explode(names))
+
+
+def offenders(booking: DataFrame, duplicates: DataFrame, passenger: DataFrame, dq_leg_df: DataFrame,
+              params: KpiParams = DEFAULT) -> DataFrame:
+    """Offending rows of all fifteen checks in long form: ``check``, ``entity`` and the columns
+    of bookings, passengers and legs (null where the entity lacks them).
+
+    Bookings, passengers and legs are read once each: a row's failed checks are gathered in
+    an array and exploded. ``duplicates`` is a written table of ``duplicate_keys``."""
+    b = dq_booking(booking)
+    cond = reduce(lambda x, y: x & y, [b[k].eqNullSafe(duplicates[f"dup_{k}"]) for k in DUP_KEYS])
+    b = b.join(duplicates, cond, "left").drop(*[f"dup_{k}" for k in DUP_KEYS])
+    rows = _exploded(b, {**booking_flags(b), "duplicate_legs_within_pnr": F.col("is_duplicate")}).drop("is_duplicate")
+    per = passenger_per_pnr(passenger).drop("n")
+    several = {n: F.col(f"several_{n}") for n in PASSENGER_CHECKS}
+    people = _exploded(_passenger_ids(passenger).join(per, "bookingid_norm"), several).drop(*[f"several_{n}" for n in PASSENGER_CHECKS])
+    legs = _exploded(dq_leg_df, leg_flags(dq_leg_df, params))
+    parts = [x.withColumn("entity", F.lit(e)) for x, e in ((rows, "booking"), (people, "passenger"), (legs, "leg"))]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)

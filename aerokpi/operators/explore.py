@@ -210,18 +210,36 @@ def lf_segment_dow_long(leg_report: DataFrame) -> DataFrame:
     )
 
 
-def lf_segment_dow_wide(leg_report: DataFrame) -> DataFrame:
-    """R-10 (wide): one row per weekday that has a value, one column per
-    segment that has a value, in label order. The segments (O&D pairs, a small
-    list) are read from the aggregated table first, so none is left out whatever
-    their number; rows are in calendar order."""
-    # a null label (null O&D code) cannot name a column: left out, as a null
-    # group key is in a pivot
+def _weekday_order() -> F.Column:
+    return F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("dow"))
+
+
+def _labelled(leg_report: DataFrame) -> DataFrame:
+    """(dow, segment, load_factor) where there is a value and a label; a null label (null O&D
+    code) can name neither a column nor a key and is left out, as by a pivot."""
     long = lf_segment_dow_long(leg_report).where(F.col("load_factor").isNotNull() & F.col("segment").isNotNull())
-    segments = [r["segment"] for r in long.select("segment").distinct().orderBy("segment").collect()]
-    position = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("dow"))
-    wide = long.groupBy("dow").agg(*[F.max(F.when(F.col("segment") == x, F.col("load_factor"))).alias(x) for x in segments])
-    return wide.orderBy(position)
+    return long.groupBy("dow", "segment").agg(F.max("load_factor").alias("load_factor"))
+
+
+def lf_segment_dow_map(leg_report: DataFrame) -> DataFrame:
+    """R-10 (wide, any segments): one row per weekday that has a value, in calendar order,
+    with ``load_factors``, a MAP from segment to mean LF in label order. One aggregate, a
+    schema that doesn't depend on the data, empty for a sheet without load factors."""
+    entries = F.sort_array(F.collect_list(F.struct("segment", "load_factor")))
+    return _labelled(leg_report).groupBy("dow").agg(F.map_from_entries(entries).alias("load_factors")).orderBy(_weekday_order())
+
+
+def lf_segment_dow_wide(leg_report: DataFrame, segments=None) -> DataFrame:
+    """R-10 (wide): one row per weekday that has a value, in calendar order, one column per
+    segment that the caller names; without names, ``lf_segment_dow_map``. The plan never
+    depends on the data: no segments are gathered, and a named segment that isn't flown is
+    a column of nulls."""
+    if segments is None:
+        return lf_segment_dow_map(leg_report)
+    cells = _labelled(leg_report)
+    named = [F.max(F.when(F.col("segment") == x, F.col("load_factor"))).alias(x) for x in segments]
+    wide = cells.groupBy("dow").agg(*named) if named else cells.select("dow").distinct()
+    return wide.orderBy(_weekday_order())
 
 
 def segment_kpis(base: DataFrame) -> DataFrame:

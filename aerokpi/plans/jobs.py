@@ -6,7 +6,7 @@ action per dataset); nothing is collected to the driver. Large outputs
 handful-of-rows tables are coalesced to one file for readability.
 
 CLI:
-    python -m aerokpi.plans.jobs {ingest,catalog,kpis,dq,report,all} --sf-dir DIR --out DIR [--format csv|parquet]
+    python -m aerokpi.plans.jobs {ingest,catalog,kpis,dq,report,all} --sf-dir DIR --out DIR [--format csv|parquet] [--params FILE]
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from aerokpi.operators import clean, dq, explore, kpis, marts, weekday
 from aerokpi.operators.insights import insights
-from aerokpi.params import DQ_CHECKS
+from aerokpi.params import DQ_CHECKS, TESTDATA
 from aerokpi.plans.registry import DATASETS
+from aerokpi.sources.parameters import read_params
+from aerokpi.sources.publish import publish_folder, publish_table
 from aerokpi.sources.readers import write_table
 from aerokpi.sources.warehouse import Warehouse
 
@@ -48,7 +50,7 @@ def publish_catalog(spark: SparkSession, w: Warehouse, database: str | None = No
 
     Every relation becomes a temp view ``<layer>_<name>`` (lazy). With ``database`` set (a
     configured catalog), the layers are databases ``<database>_raw``, ``_mart`` and ``_kpi`` and
-    the relations are saved as their tables. Returns the published names."""
+    the relations are published as their tables (`publish_table`). Returns the published names."""
     names = []
     for layer, tables in relations(w).items():
         if database:
@@ -57,7 +59,7 @@ def publish_catalog(spark: SparkSession, w: Warehouse, database: str | None = No
             df.createOrReplaceTempView(f"{layer}_{name}")
             names.append(f"{layer}_{name}")
             if database:
-                df.write.mode("overwrite").saveAsTable(f"{database}_{layer}.{name}")
+                publish_table(df, f"{database}_{layer}.{name}")
     return names
 
 
@@ -75,8 +77,11 @@ def export_kpis(w: Warehouse, out: str, fmt: str = "csv") -> None:
 
 
 def export_dq(w: Warehouse, out: str, fmt: str = "csv") -> None:
-    """SNK-5: the summary plus one offender dataset per check."""
+    """SNK-5: the summary, one offender dataset per check, and all offenders in long form
+    (``offenders``, Parquet, a partition per check)."""
     dq_leg = marts.dq_leg(w.leg_base(), w.flight())
+    duplicates = w.stable("duplicate_keys", dq.duplicate_keys(w.booking()))
+    publish_folder(dq.offenders(w.booking(), duplicates, w.passenger(), dq_leg, w.params), f"{out}/offenders", "parquet", ("check",))
     _write(dq.dq_summary(w.booking(), w.passenger(), dq_leg, w.params), f"{out}/dq_summary", fmt, small=True)
     for name in DQ_CHECKS:
         if name in dq.BOOKING_CHECKS:
@@ -94,6 +99,7 @@ def export_report(w: Warehouse, out: str, fmt: str = "csv") -> None:
     """SNK-6 / SNK-7: report tables, the weekday KPI table and the insight text."""
     s, p = w.spark, w.params
     lr, base, b = w.leg_report(), w.leg_base(), w.booking()
+    wide = explore.lf_segment_dow_wide(lr, p.wide_segments)
     small = {
         "cancellation_by_dow": explore.cancellation_by_dow(s, base),
         "cancellation_days_after_booking": explore.cancel_days_hist(b, "days_after_booking_to_cancel"),
@@ -102,7 +108,7 @@ def export_report(w: Warehouse, out: str, fmt: str = "csv") -> None:
         "lf_by_dow": explore.lf_by_dow(s, lr),
         "lf_by_time_of_day": explore.lf_by_time_of_day(lr),
         "lf_by_segment_by_dow_long": explore.lf_segment_dow_long(lr),
-        "lf_by_segment_by_dow_wide": explore.lf_segment_dow_wide(lr),
+        "lf_by_segment_by_dow_wide": wide if p.wide_segments is not None or fmt != "csv" else wide.withColumn("load_factors", F.to_json("load_factors")),
         "segment_kpis": explore.segment_kpis(base).orderBy(F.col("revenue").desc()),
         "directional_imbalance": explore.directional_imbalance(lr).orderBy(F.col("lf_diff_vs_reverse").desc()),
         "rev_lf_correlation": explore.rev_lf_correlation(lr, p),
@@ -114,7 +120,7 @@ def export_report(w: Warehouse, out: str, fmt: str = "csv") -> None:
     _write(lr, f"{out}/tables/leg_table", fmt)
     _write(clean.booking_clean(b), f"{out}/tables/booking_clean", fmt)
     lines = insights(s, b, w.passenger(), base, lr, p).select(F.concat(F.lit("- "), "text").alias("value"))
-    lines.coalesce(1).write.mode("overwrite").text(f"{out}/insights")  # <= 12 rows
+    publish_folder(lines.coalesce(1), f"{out}/insights", "text")  # <= 12 rows
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -128,12 +134,16 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--database", help="prefix of the raw, mart and kpi databases of a configured catalog")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
+    ap.add_argument("--params", help="JSON or YAML file of KPI parameters that replace the defaults")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"aerokpi-{a.job}").getOrCreate()
     if a.booking:
-        w = Warehouse.from_sheets(spark, a.booking, a.passenger, a.flight, a.input_format)
+        params = read_params(spark, a.params) if a.params else None
+        w = Warehouse.from_sheets(spark, a.booking, a.passenger, a.flight, a.input_format, params)
     elif a.sf_dir:
         w = Warehouse.for_testdata(spark, a.sf_dir)
+        if a.params:
+            w = w.with_params(read_params(spark, a.params, TESTDATA))
     else:
         ap.error("give --sf-dir or --booking/--passenger/--flight")
     if a.job in ("ingest", "all"):

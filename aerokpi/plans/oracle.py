@@ -9,7 +9,7 @@ listed once, in dependency order.
 
 from __future__ import annotations
 
-from aerokpi.params import CHANNEL_SYNONYMS, DQ_CHECKS, TESTDATA, TIMES_OF_DAY, WEEKDAYS
+from aerokpi.params import CHANNEL_SYNONYMS, DQ_CHECKS, TEST_AIRPORTS, TESTDATA, TIMES_OF_DAY, WEEKDAYS
 
 P = TESTDATA
 
@@ -450,9 +450,8 @@ WHERE timeofday IS NOT NULL GROUP BY 1""", "leg_report")
 q("lf_segment_dow_long", "SELECT * FROM lf_long", "lf_long")
 # one filtered aggregate per segment (a PIVOT cannot be stored as a view); the
 # adapter's O&D codes are the names of the five regions
-_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 q("lf_segment_dow_wide", "SELECT dow, " + ", ".join(
-    f"max(load_factor) FILTER (WHERE segment = '{o}→{d}') AS \"{o}→{d}\"" for o in _REGIONS for d in _REGIONS)
+    f"max(load_factor) FILTER (WHERE segment = '{o}→{d}') AS \"{o}→{d}\"" for o in TEST_AIRPORTS for d in TEST_AIRPORTS)
   + " FROM lf_long WHERE load_factor IS NOT NULL AND segment IS NOT NULL GROUP BY dow", "lf_long")
 q("segment_kpis", "SELECT * FROM segment_kpis", "segment_kpis")
 q("anc_share_top_segments", f"""

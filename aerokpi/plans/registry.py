@@ -37,6 +37,8 @@ ROUNDED = {
 
 
 def as_published(name: str, df: DataFrame) -> DataFrame:
+    if "load_factors" in df.columns:
+        return df.withColumn("load_factors", F.transform_values("load_factors", lambda _, x: explore.published(x)))
     cols = [c for c in df.columns if c != "dow"] if name == "lf_segment_dow_wide" else ROUNDED.get(name, [])
     return df.select(*[explore.published(F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns]) if cols else df
 
@@ -320,7 +322,7 @@ def _lf_segment_dow_long(w: Warehouse) -> DataFrame:
 
 @query("lf_segment_dow_wide")
 def _lf_segment_dow_wide(w: Warehouse) -> DataFrame:
-    return explore.lf_segment_dow_wide(w.leg_report())
+    return explore.lf_segment_dow_wide(w.leg_report(), w.params.wide_segments)
 
 
 @query("segment_kpis")

@@ -116,6 +116,12 @@ class Warehouse:
         builders = {"booking": lambda w: booking, "passenger": lambda w: passenger, "flight": lambda w: flight}
         return cls(spark, builders, root, params)
 
+    def with_params(self, params: KpiParams) -> "Warehouse":
+        """The same entities and marts under other parameters (none of them depends on any)."""
+        other = Warehouse(self.spark, self._builders, self.root and f"{self.root}-{uuid.uuid4().hex[:8]}", params)
+        other.sf_dir, other._done, other._lock = self.sf_dir, dict(self._done), threading.RLock()
+        return other
+
     def _materialize(self, name: str, build) -> DataFrame:
         with self._lock:
             if name not in self._done:

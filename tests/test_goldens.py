@@ -92,7 +92,9 @@ def test_load_factor_tables(spark, leg_report):
 
 
 def test_wide_table_in_calendar_order(leg_report):
-    wide = explore.lf_segment_dow_wide(leg_report)
+    names = [c for c in golden("lf_by_segment_by_dow_wide")[0] if c != "dow"]
+    wide = explore.lf_segment_dow_wide(leg_report, names)
+    assert wide.columns == ["dow", *names]
     same(wide, "lf_by_segment_by_dow_wide", ["dow"])
     order = [WEEKDAYS.index(r.dow) for r in wide.collect()]
     assert order == sorted(order)

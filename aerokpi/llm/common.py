@@ -50,9 +50,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of whole texts that are in flight between Spark and a Python worker at once.
+BATCH_ROWS = "4000"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't have it on their path
-    (a session started elsewhere); a cluster job that ships the package itself skips this."""
+    (a session started elsewhere; a cluster job that ships the package itself needs no
+    copy), and lower Arrow's rows a batch from Spark's default, unless the session set them."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _SHIPPED:

@@ -9,8 +9,10 @@ from aerokpi.llm.common import discard, written
 
 #: Shorter lines take no part in one-edit matching, and in none unless `equal_from` admits them.
 MIN_CHARS = 20
-#: Parts of a line. One edit lies in one part, so near lines agree in all the others.
+#: Parts of a line, or as many as make parts of up to PART_CHARS characters. One edit lies in
+#: one part, so near lines agree in all the others; only that part is varied.
 PARTS = 2
+PART_CHARS = 512
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -19,15 +21,25 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
         .where(F.length("line") >= min_chars)
 
 
+def edge_of(full: Column, j: Column) -> Column:
+    """Where part j of a line of `full` characters begins."""
+    parts = F.greatest(F.lit(PARTS), F.ceil(full / PART_CHARS).cast("int"))
+    return F.floor(full * j.cast("long") / parts).cast("int")
+
+
 def part_keys(line: Column, n: Column, is_long: bool) -> Column:
     """For each part, the hash of everything around it; of a line as the longer (or equally
     long) one of a pair, or as the one that is a character shorter. The parts are those of
     the longer line, so both lines of a near pair have a key in common."""
     full = n if is_long else n + 1
-    edge = lambda j: F.floor(full * j / PARTS).cast("int")
-    return F.array(*[
-        F.struct(F.xxhash64(full, F.lit(j), F.left(line, edge(j)), F.right(line, full - edge(j + 1))).alias("key"),
-                 F.lit(j).cast("tinyint").alias("part"), F.lit(is_long).alias("is_long")) for j in range(PARTS)])
+
+    def around(j: Column) -> Column:
+        return F.struct(F.xxhash64(full, j, F.left(line, edge_of(full, j)), F.right(line, full - edge_of(full, j + 1))).alias("key"),
+                        j.alias("part"), F.lit(is_long).alias("is_long"))
+
+    few = F.array(*[around(F.lit(j)) for j in range(PARTS)])
+    many = F.transform(F.sequence(F.lit(0), F.ceil(full / PART_CHARS).cast("int") - 1), around)
+    return F.when(full <= PARTS * PART_CHARS, few).otherwise(many)
 
 
 def variants(line: Column, n: Column, part: Column, is_long: Column, key: Column) -> Column:
@@ -36,16 +48,32 @@ def variants(line: Column, n: Column, part: Column, is_long: Column, key: Column
     place) and once without (an insertion joins a deletion to the shorter line); for the
     shorter line, the line itself."""
     full = F.when(is_long, n).otherwise(n + 1)
-    start, end = F.floor(full * part / PARTS).cast("int"), F.floor(full * (part + 1) / PARTS).cast("int")
+    start, end = edge_of(full, part), edge_of(full, part + 1)
     inner = F.substring(line, start + 1, F.when(is_long, end - start).otherwise(end - start - 1))
     without = lambda i: F.concat(F.left(inner, i - 1), F.substring(inner, i + 1, F.length(inner)))
     places = F.sequence(F.lit(1), end - start)
     deletions = F.concat(
         F.transform(places, lambda i: F.struct(F.xxhash64(key, i, without(i)).alias("variant"), F.lit("same").alias("role"))),
-        F.array_distinct(F.transform(places, lambda i: F.struct(F.xxhash64(key, F.lit(0), without(i)).alias("variant"), F.lit("long").alias("role")))))
+        F.transform(F.array_distinct(F.transform(places, lambda i: F.xxhash64(key, F.lit(0), without(i)))),  # distinct over plain longs
+                    lambda h: F.struct(h.alias("variant"), F.lit("long").alias("role"))))
     return F.when(is_long, deletions).otherwise(F.array(F.struct(F.xxhash64(key, F.lit(0), inner).alias("variant"), F.lit("short").alias("role"))))
 
 
+def within_one_edit(a: Column, b: Column) -> Column:
+    """Whether two lines are equal or one edit apart. `levenshtein` takes time in the square of
+    the length even when bounded; of long lines the common prefix is found by bisection, and
+    what follows the first difference is compared."""
+    n, m = F.length(a), F.length(b)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(30))])
+    prefix = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= F.least(n, m)) & (F.left(a, p + s) == F.left(b, p + s)), p + s).otherwise(p))
+
+    def tails_agree(p: Column) -> Column:
+        return F.right(a, n - p - F.when(n >= m, 1).otherwise(0)) == F.right(b, m - p - F.when(m >= n, 1).otherwise(0))
+
+    apart = F.transform(F.array(prefix), tails_agree)[0] & (F.abs(n - m) <= 1)
+    return F.when(F.greatest(n, m) <= PARTS * PART_CHARS, F.levenshtein(a, b, 1) >= 0).otherwise(apart)
+
+
 def shared_keys(keyed: DataFrame) -> DataFrame:
     """The keys of several rows, counted where the rows lie before they are shuffled."""
     return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -103,7 +131,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = able_lines.select("h", "h2", "line").dropDuplicates(["h", "h2"])
     near = pairs.join(text, ["h", "h2"]).join(
         text.select(F.col("h").alias("p_h"), F.col("h2").alias("p_h2"), F.col("line").alias("p_line")), ["p_h", "p_h2"]) \
-        .where(F.levenshtein("line", "p_line", 1) >= 0).groupBy("h", "h2").agg(F.min("p_first").alias("near"))
+        .where(within_one_edit(F.col("line"), F.col("p_line"))).groupBy("h", "h2").agg(F.min("p_first").alias("near"))
     kept = written(classes.select("h", "h2", "first").join(near, ["h", "h2"], "left").select(
         F.col("h").alias("c_h"), F.col("h2").alias("c_h2"), F.coalesce(F.least("near", "first"), "first").alias("keep")), "kept")
     discard(spark, classes, shared, able_lines, variants_, earliest)

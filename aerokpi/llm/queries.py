@@ -134,25 +134,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision on every line of 20 characters or more: the earliest line within one edit."""
+    """Decision on every line that isn't empty: the earliest equal line or, from 20 characters on, within one edit."""
     from aerokpi.llm.line_dedup import line_decisions
 
-    return line_decisions(read_table(spark, sf_dir, "documents"))
+    return line_decisions(read_table(spark, sf_dir, "documents"), equal_from=1)
 
 
 # all deletions of all lines, without the operator's parts
 ORACLE["op4_line_dedup"] = """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM s),
-m AS (SELECT doc_id, line_no, line, {'d': doc_id, 'l': line_no} AS place FROM l WHERE length(line) >= 20),
+m AS (SELECT doc_id, line_no, line, {'d': doc_id, 'l': line_no} AS place FROM l WHERE length(line) >= 1),
 c AS (SELECT line, length(line) AS n, min(place) AS first FROM m GROUP BY line),
-p AS (SELECT line, n, first, unnest(range(1, n + 1)) AS i FROM c),
+p AS (SELECT line, n, first, unnest(range(1, n + 1)) AS i FROM c WHERE n >= 20),
 v AS (SELECT line, n, first, i, hash(left(line, i - 1) || substr(line, i + 1)) AS h FROM p),
 g AS (SELECT n, i, h, min(first) AS near FROM v GROUP BY n, i, h HAVING count(*) > 1),
 x AS (
   SELECT v.line, g.near FROM v JOIN g ON v.n = g.n AND v.i = g.i AND v.h = g.h
-  UNION ALL SELECT v.line, c.first FROM v JOIN c ON c.n = v.n - 1 AND hash(c.line) = v.h
-  UNION ALL SELECT c.line, v.first FROM v JOIN c ON c.n = v.n - 1 AND hash(c.line) = v.h
+  UNION ALL SELECT v.line, c.first FROM v JOIN c ON c.n >= 20 AND c.n = v.n - 1 AND hash(c.line) = v.h
+  UNION ALL SELECT c.line, v.first FROM v JOIN c ON c.n >= 20 AND c.n = v.n - 1 AND hash(c.line) = v.h
   UNION ALL SELECT line, first FROM c),
 k AS (SELECT line, min(near) AS keep FROM x GROUP BY line)
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, keep.d AS keep_id, CAST(keep.l AS BIGINT) AS keep_line, place = keep AS kept

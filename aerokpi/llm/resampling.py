@@ -69,9 +69,10 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
     return out
 
 
-def log_weights(docs: DataFrame, keep: list[str], text_col: str, ratios: np.ndarray) -> DataFrame:
+def log_weights(docs: DataFrame, keep: list[str], text_col: str, ratios: np.ndarray, within: str | None = None) -> DataFrame:
     """The columns `keep` with log_weight (the mean log ratio of a document's n-grams, at
-    the reference length) and n_words."""
+    the reference length) and n_words. The text is a column, or a field of the kept struct
+    `within`, so that it goes to Python once."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("log_weight", T.DoubleType()), T.StructField("n_words", T.LongType())])
 
@@ -80,13 +81,14 @@ def log_weights(docs: DataFrame, keep: list[str], text_col: str, ratios: np.ndar
 
         arrow, table = to_arrow_schema(schema), shared.value
         for rows in batches:
-            for a, b, data, offsets in chunks(rows.column(len(keep))):
+            texts = rows.column(len(keep)) if within is None else rows.column(keep.index(within)).field(text_col)
+            for a, b, data, offsets in chunks(texts):
                 bucket, row = features(data, offsets, len(table))
                 weight = np.bincount(row, table[bucket], b - a) / np.maximum(1, np.bincount(row, minlength=b - a)) * REFERENCE_LENGTH
                 n = np.bincount(row[bucket < len(table) // 2], minlength=b - a)
                 yield pa.RecordBatch.from_arrays([rows.column(i).slice(a, b - a) for i in range(len(keep))] + [pa.array(weight), pa.array(n)], schema=arrow)
 
-    return docs.select(*keep, text_col).mapInArrow(work, schema)
+    return docs.select(*keep, *([text_col] if within is None else [])).mapInArrow(work, schema)
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -166,5 +168,5 @@ def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     _, ratios, least = weigh(docs, labels, id_col, text_col, label_col, seed, buckets)
     if least is None:
         return docs.limit(0)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return with_keys(log_weights(whole, ["row", "id"], "text", ratios), seed).where(F.col("rank_key") >= least).select("row.*")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    return with_keys(log_weights(whole, ["row", "id"], text_col, ratios, "row"), seed).where(F.col("rank_key") >= least).select("row.*")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerokpi.llm.common import discard, written
-from aerokpi.llm.hashing import BYTE_VALUES, by_bytes, mix, prefix_sums, span_hashes, window_hashes
+from aerokpi.llm.hashing import BYTE_VALUES, mix, prefix_sums, span_hashes, window_hashes
 from aerokpi.llm.heavy import frequent_keys
 from aerokpi.llm.units import chunks
 
@@ -22,7 +22,7 @@ ANCHOR = 32
 #: Blocks (the symbols of the transforms) that a string of LENGTH bytes consists of.
 BLOCKS = 4
 #: Text of one bucket's shards and anchors of one bucket, for sizing the number of buckets.
-BUCKET_BYTES = 512 << 10
+BUCKET_BYTES = 256 << 10
 BUCKET_ANCHORS = 400_000
 #: Shards that a bucket's pieces are dealt into.
 SHARDS = 8
@@ -32,7 +32,7 @@ SHARDS = 8
 SAMPLE = 64
 HOT_CAPACITY = 4096
 HOT_LEAST = 16
-PIECE = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("count", "<u2")])
+PIECE = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "<u2")])
 RANGE = "doc long, row long, start long, stop long"
 
 
@@ -49,7 +49,7 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int, hot: np.ndarray | None = None) -> np.ndarray:
+def pieces(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, marks: np.ndarray, length: int, hot: np.ndarray | None = None) -> np.ndarray:
     """The runs of strings of `length` bytes that choose the same anchor, as PIECE records.
 
     A string's anchor is its leftmost ANCHOR-byte window of least hash, so equal strings
@@ -77,7 +77,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int,
     out = np.empty(len(first), dtype=PIECE)
     out["anchor"] = hashes[anchor[first]]
     out["content"] = mix(span_hashes(sums, begin, begin + count + length - 1) + (anchor[first] - begin).astype(np.uint64))
-    out["doc"], out["row"] = docs[rows], row_marks(data, offsets)[rows]
+    out["doc"], out["row"] = docs[rows], marks[rows]
     out["start"], out["count"] = begin - offsets[rows], count
     split = np.isin(out["anchor"], hot) if hot is not None and len(hot) else np.zeros(len(out), dtype=bool)
     if not split.any():
@@ -93,16 +93,6 @@ def pieces(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int,
     return np.concatenate((out[~split], each))
 
 
-def row_marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 bits of each text's hash: tells rows apart that share an id."""
-    out = np.empty(len(offsets) - 1, dtype=np.uint32)
-    for a, b in by_bytes(offsets, 1 << 20):
-        at = offsets[a : b + 1] - offsets[a]
-        sums = prefix_sums(BYTE_VALUES[data[offsets[a] : offsets[b]]])
-        out[a:b] = span_hashes(sums, at[:-1], at[1:]) & np.uint64(0xFFFFFFFF)
-    return out
-
-
 def earliest(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of pieces with equal content the earliest, and all that start later than it."""
     order = np.lexsort((found["start"], found["doc"], found["content"], found["anchor"]))
@@ -117,7 +107,7 @@ def earliest(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def ranges(found: np.ndarray, length: int) -> list[np.ndarray]:
     """Columns of RANGE: the bytes that all strings of the pieces cover."""
     start = found["start"].astype(np.int64)
-    return [found["doc"], found["row"].astype(np.int64), start, start + found["count"] + length - 1]
+    return [found["doc"], found["row"], start, start + found["count"] + length - 1]
 
 
 def to_buckets(records: np.ndarray, payload: list[bytes] | None, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -225,7 +215,7 @@ def repeated(shards: list[Shard], length: int) -> list[np.ndarray]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(piece)) - 1 if len(first) else first
     begin = records["start"][piece[first]].astype(np.int64)
-    return [records["doc"][piece[first]], records["row"][piece[first]].astype(np.int64), begin + within[first], begin + within[last] + length]
+    return [records["doc"][piece[first]], records["row"][piece[first]], begin + within[first], begin + within[last] + length]
 
 
 def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
@@ -234,7 +224,8 @@ def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for _, b, data, offsets in chunks(rows.column(0), 1 << 20):
-                found = pieces(data, offsets, np.arange(len(offsets) - 1), length)
+                each = np.arange(len(offsets) - 1)
+                found = pieces(data, offsets, each, each, length)
                 _, once = np.unique(mix(found["anchor"] + mix(found["doc"].astype(np.uint64))), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found["anchor"][once].view(np.int64))], names=["anchor"])
 
@@ -251,11 +242,11 @@ def anchored(docs: DataFrame, length: int, buckets: int, hot: np.ndarray) -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ids = rows.column(0).to_numpy()
-            for a, b, data, offsets in chunks(rows.column(1), 16 << 20):
+            ids, marks = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            for a, b, _, _ in chunks(rows.column(2), 16 << 20):
                 found = []
-                for c, d, some, offs in chunks(rows.column(1).slice(a, b - a), 1 << 20):
-                    found.append(pieces(some, offs, ids[a + c : a + d], length, hot))
+                for c, d, some, offs in chunks(rows.column(2).slice(a, b - a), 1 << 20):
+                    found.append(pieces(some, offs, ids[a + c : a + d], marks[a + c : a + d], length, hot))
                 first, later = earliest(np.concatenate(found))
                 out = list(to_buckets(first, None, buckets))
                 if len(later):
@@ -264,7 +255,7 @@ def anchored(docs: DataFrame, length: int, buckets: int, hot: np.ndarray) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))],
                                                      names=["bucket", "records", "text"])
 
-    return docs.select("doc", "text").mapInArrow(work, "bucket long, records binary, text binary")
+    return docs.select("doc", "mark", "text").mapInArrow(work, "bucket long, records binary, text binary")
 
 
 def sorted_out(blobs: DataFrame, length: int) -> DataFrame:
@@ -285,22 +276,19 @@ def sorted_out(blobs: DataFrame, length: int) -> DataFrame:
 
 def fetched(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> DataFrame:
     """The bytes of the wanted pieces, by bucket."""
-    asked = wanted.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("row", "start", "anchor", "count")).alias("asked"))
+    asked = wanted.groupBy(F.col("doc").alias("of"), F.col("row").alias("of_mark")).agg(F.collect_list(F.struct("start", "anchor", "count")).alias("asked"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for a, b, data, offsets in chunks(rows.column(1), 16 << 20):
-                marks = row_marks(data, offsets)
-                lists = rows.column(2).slice(a, b - a)
+            for a, b, data, offsets in chunks(rows.column(2), 16 << 20):
+                lists = rows.column(3).slice(a, b - a)
                 each = lists.flatten()
                 n = np.diff(lists.offsets.to_numpy())
                 records = np.empty(len(each), dtype=PIECE)
                 of = np.repeat(np.arange(b - a), n)
-                records["doc"] = rows.column(0).slice(a, b - a).to_numpy()[of]
-                for name in ("row", "start", "anchor", "count"):
+                records["doc"], records["row"] = (rows.column(i).slice(a, b - a).to_numpy()[of] for i in (0, 1))
+                for name in ("start", "anchor", "count"):
                     records[name] = each.field(name).to_numpy().astype(PIECE[name], casting="unsafe")
-                mine = records["row"] == marks[of]
-                records, of = records[mine], of[mine]
                 begin = offsets[of] + records["start"]
                 raw = data.tobytes()
                 texts = [raw[s : s + c] for s, c in zip(begin.tolist(), (records["count"].astype(np.int64) + length - 1).tolist())]
@@ -309,7 +297,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))],
                                                      names=["bucket", "records", "text"])
 
-    return docs.join(asked, docs["doc"] == asked["of"]).select("doc", "text", "asked").mapInArrow(
+    return docs.join(asked, (docs["doc"] == asked["of"]) & (docs["mark"] == asked["of_mark"])).select("doc", "mark", "text", "asked").mapInArrow(
         work, "bucket long, records binary, text binary")
 
 
@@ -330,7 +318,7 @@ def id_key(id_column: Column) -> Column:
 
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """RANGE over `docs` (doc, text): bytes covered by a string of `length` bytes that also
+    """RANGE over `docs` (doc, mark, text), where `mark` is a text's hash: bytes covered by a string of `length` bytes that also
     starts earlier. Ranges may overlap."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -367,46 +355,48 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     contexts, the pieces' Burrows-Wheeler transforms are built by shard and merged, and
     intervals of suffixes with a common prefix of `length` bytes are the repeated strings.
 
-    A null text is empty. Ids are integers; a null id comes after all others. Rows that repeat
-    an id and text don't remove each other; an empty table gives an empty result; other
+    A null text is empty. Ids are integers; a null id comes after all others, and null ids
+    count as one id. Rows that share an id are told apart by 64 bits of their text's hash;
+    rows that repeat an id and text don't remove each other; an empty table gives an empty result; other
     columns are ignored.
     """
-    return _cut(docs.select(F.col(id_col).alias("row"), id_key(F.col(id_col)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")),
-                length, False).withColumnRenamed("row", id_col)
+    return _cut(docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("row")), "id", "text", length, False).select(
+        F.col("row.id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """`docs` with the texts that `cut_repeats` leaves; all rows and columns stay. A character
     that lost some of its bytes is left out; a null text stays null."""
-    rows = _cut(docs.select(F.struct(*docs.columns).alias("row"), id_key(F.col(id_col)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")),
-                length, True)
-    text = F.when(F.col(f"row.{text_col}").isNotNull(), F.col("kept"))
+    rows = _cut(docs.select(F.struct(*docs.columns).alias("row")), id_col, text_col, length, True)
+    text = F.when(F.col("had_text"), F.col("kept"))
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns])
 
 
-def _cut(plain: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """For docs (row, doc, text): row, n_bytes, n_removed, n_spans, kept_sha256 and maybe kept."""
-    found = repeated_ranges(plain, length).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("row", "start", "stop")).alias("gone"))
-    fields = [plain.schema["row"]] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+def _cut(rows: DataFrame, id_name: str, text_name: str, length: int, with_text: bool) -> DataFrame:
+    """For the column `row`, a struct with an id and a text: row (its text emptied), had_text,
+    n_bytes, n_removed, n_spans, kept_sha256 and maybe kept. Each text goes to Python once."""
+    text, doc = F.coalesce(F.col("row")[text_name], F.lit("")), id_key(F.col("row")[id_name])
+    plain = rows.select(doc.alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    found = repeated_ranges(plain, length).groupBy(F.col("doc").alias("of"), F.col("row").alias("of_mark")).agg(
+        F.collect_list(F.struct("start", "stop")).alias("gone"))
+    fields = [rows.schema["row"], T.StructField("had_text", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType(fields + [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType())] * with_text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for rows in batches:
-            for a, b, data, offsets in chunks(rows.column(1)):
-                marks = row_marks(data, offsets)
-                lists = rows.column(2).slice(a, b - a)
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(1)):
+                lists = batch.column(2).slice(a, b - a)
                 each = lists.flatten()
                 n = np.diff(lists.offsets.to_numpy()) if len(each) else np.zeros(b - a, dtype=np.int64)
                 n = np.where(np.asarray(lists.is_valid()), n, 0)
                 of = np.repeat(np.arange(b - a), n)
-                row, start, stop = (each.field(c).to_numpy() for c in ("row", "start", "stop"))
-                mine = row == marks[of]
+                start, stop = (each.field(c).to_numpy() for c in ("start", "stop"))
                 change = np.zeros(len(data) + 1, dtype=np.int32)
-                np.add.at(change, offsets[of[mine]] + start[mine], 1)
-                np.add.at(change, offsets[of[mine]] + stop[mine], -1)
+                np.add.at(change, offsets[of] + start, 1)
+                np.add.at(change, offsets[of] + stop, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 left = ~gone
                 edge = gone.copy()
@@ -416,9 +406,11 @@ def _cut(plain: DataFrame, length: int, with_text: bool) -> DataFrame:
                 total = np.concatenate(([0], np.cumsum(gone)))
                 spans = np.concatenate(([0], np.cumsum(edge)))
                 kept = [data[s:e][left[s:e]].tobytes() for s, e in zip(offsets, offsets[1:])]
-                columns = [rows.column(0).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])),
-                           pa.array(np.diff(spans[offsets])), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).is_valid(), pa.array(np.diff(offsets)),
+                           pa.array(np.diff(total[offsets])), pa.array(np.diff(spans[offsets])), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 columns += [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] * with_text
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return plain.join(found, plain["doc"] == found["of"], "left").select("row", "text", "gone").mapInArrow(work, schema)
+    mine = (doc == F.col("of")) & (F.xxhash64(text) == F.col("of_mark"))
+    bare = F.col("row").withField(text_name, F.lit(None).cast("string")).alias("row")
+    return rows.join(found, mine, "left").select(bare, F.col("row")[text_name].alias("text"), "gone").mapInArrow(work, schema)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from aerokpi.llm import exact_dedup, line_dedup
 from aerokpi.llm.heavy import frequent_keys, misra_gries
@@ -91,6 +92,27 @@ def test_short_lines_are_matched_when_equal(docs_of, awkward):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a\nshort\n\n", 2: "shorx\n"}
 
 
+def test_one_edit_between_long_lines(spark):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abé") for _ in range(1500))
+    others = [base, base[1:], base[:-1], base + "z", "z" + base, base[:700] + base[701:], base[:700] + "z" + base[701:], base[:700] + "zz" + base[702:],
+              base[:700] + base[702:], base[:9] + "z" + base[10:700] + base[701:], base[::-1], "a" * 1500, ""]
+    rows = spark.createDataFrame([(i, base, o) for i, o in enumerate(others)], "i int, a string, b string")
+    got = {r.i: (r.x, r.y) for r in rows.select("i", line_dedup.within_one_edit(F.col("a"), F.col("b")).alias("x"), line_dedup.within_one_edit(F.col("b"), F.col("a")).alias("y")).collect()}
+    assert got == {i: (brute.levenshtein_within_one(base, o),) * 2 for i, o in enumerate(others)}
+
+
+def test_very_long_lines_within_one_edit(docs_of):
+    import time
+
+    line = "".join(random.Random(9).choice("abcdefgh ") for _ in range(64_000))
+    rows = [(1, line), (2, line[:40_000] + "#" + line[40_001:]), (3, line[:-1]), (4, line[:100] + "##" + line[102:])]
+    start = time.monotonic()
+    got = {r.doc_id: r.keep_id for r in line_dedup.line_decisions(docs_of(rows)).collect()}
+    print("seconds", time.monotonic() - start)
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_shared_keys_are_counted_before_the_shuffle(spark):
     keyed = spark.createDataFrame([(k, i) for i, k in enumerate([7] * 50 + [1, 2, 3, 3, -4])], "key long, h long").repartition(5)
     shared = line_dedup.shared_keys(keyed)

@@ -11,8 +11,8 @@ from tests.llm import brute
 
 
 def check(docs_of, rows, parts=3):
-    got = sorted((tuple(r) for r in sd.cut_repeats(docs_of(rows, parts)).collect()), key=lambda r: (brute.order(r[0]), r[1]))
-    want = sorted(((i, n, g, s, hashlib.sha256(k).hexdigest()) for i, n, g, s, k in brute.repeats(rows)), key=lambda r: (brute.order(r[0]), r[1]))
+    got = sorted((tuple(r) for r in sd.cut_repeats(docs_of(rows, parts)).collect()), key=lambda r: (brute.order(r[0]), r[1:]))
+    want = sorted(((i, n, g, s, hashlib.sha256(k).hexdigest()) for i, n, g, s, k in brute.repeats(rows)), key=lambda r: (brute.order(r[0]), r[1:]))
     assert got == want
 
 
@@ -37,6 +37,15 @@ def test_passages_in_different_contexts(docs_of):
     check(docs_of, rows, parts=20)
 
 
+def test_rows_without_ids_and_repeated_ids(docs_of):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [text(150) for _ in range(5)]
+    rows = [(rng.choice([None, None, None, 7, 9, i]), text(rng.randrange(60)) + rng.choice(passages) + text(rng.randrange(60))) for i in range(60)]
+    rows += [(7, "x" + passages[0] + "y" + passages[0]), (None, passages[1] * 2)]
+    check(docs_of, rows)
+
+
 def test_hot_anchors_only_split_the_work(docs_of, monkeypatch):
     monkeypatch.setattr(sd, "SAMPLE", 1)
     monkeypatch.setattr(sd, "HOT_LEAST", 3)

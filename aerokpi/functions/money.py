@@ -37,7 +37,7 @@ def _c(x) -> Column:
 
 
 def _big(x) -> Column:
-    return (x if isinstance(x, Column) else F.lit(x)).cast(_EXACT)
+    return (x if isinstance(x, Column) else F.lit(str(x))).cast(_EXACT)
 
 
 def _w(i: int) -> str:
@@ -113,74 +113,39 @@ def money_resum_times(total, n) -> Column:
                     *[F.sum((t[_w(i)] * n).cast(_EXACT)).alias(_w(i)) for i in range(WINDOWS)])
 
 
-def _let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+def _quotient(a: Column, rest: Column, b: int) -> Column:
+    """(a - rest) / b, which is whole and below 10**32."""
+    return ((a - rest) / _big(b)).cast(_EXACT)
 
 
-def _quotient(a: Column, rest: Column, b: Column) -> Column:
-    """(a - rest) / b, which is whole."""
-    return ((a - rest) / b).cast(_EXACT)
-
-
-def _carried(digits: Column) -> Column:
-    """Digits in [0, 2**40), lowest first, and the carry beyond the last, of any digits."""
-    base = _big(1 << WINDOW_BITS)
-    start = F.struct(_big(0).alias("carry"), F.array().cast(f"array<{_EXACT}>").alias("done"))
+def _combined(units: Column, windows: list[Column]) -> Column:
+    """Units and windows as one DOUBLE, rounded once.
+
+    The whole units go to the window of weight 1; the rest of them, a binary fraction cut at
+    2**-100, and all windows are carried upwards to digits of 40 bits. These make a
+    hexadecimal number of any length, and its cast to DOUBLE is the one rounding. A
+    number below 0 leaves a negative carry; its negative doesn't."""
+    base = 1 << WINDOW_BITS
+    whole = -LOWEST // WINDOW_BITS
+    rest = (units % _big(MONEY_UNITS)).cast(_EXACT)
+    odd = MONEY_UNITS // 16  # rest / 10**4 = rest / (16 * odd)
+    scaled = (rest * _big(1 << 96)).cast(_EXACT)
+    digits = [F.coalesce(w, _big(0)) for w in windows]
+    digits[0] = digits[0] + _quotient(scaled, (scaled % _big(odd)).cast(_EXACT), odd) * _big(1 << (-LOWEST - 96 - 4))
+    digits[whole] = digits[whole] + _quotient(units, rest, MONEY_UNITS)
+    plus = F.array(*[d.cast(_EXACT) for d in digits])
+    start = F.struct(_big(0).alias("carry"), F.lit("").alias("hex"))
 
     def step(state: Column, digit: Column) -> Column:
-        return _let((state["carry"] + digit).cast(_EXACT), lambda c: _let(F.pmod(c, base).cast(_EXACT), lambda low: F.struct(
-            _quotient(c, low, base).alias("carry"), F.concat(state["done"], F.array(low)).alias("done"))))
-
-    return F.aggregate(digits, start, step)
-
-
-def _nearest(digits: Column) -> Column:
-    """The DOUBLE nearest to a number of digits not below 0, lowest first, of weight 2**LOWEST.
-
-    The three highest digits that count have 81 bits at least; a last bit tells whether any
-    digit below them is set, so that the one rounding of the cast is that of the number."""
-    base = _big(1 << WINDOW_BITS)
-    start = F.struct(F.lit(0).alias("taken"), _big(0).alias("m"), F.lit(0).alias("more"), F.lit(0).alias("below"))
-    descending = F.concat(F.reverse(digits), F.array(_big(0), _big(0)))
-
-    def step(s: Column, d: Column) -> Column:
-        take = s["taken"] < 3
-        skip = (s["taken"] == 0) & (d == 0)
-        return F.struct(
-            F.when(take & ~skip, s["taken"] + 1).otherwise(s["taken"]).alias("taken"),
-            F.when(take, s["m"] * base + d).otherwise(s["m"]).cast(_EXACT).alias("m"),
-            F.when(~take & (d > 0), 1).otherwise(s["more"]).alias("more"),
-            F.when(take, s["below"]).otherwise(s["below"] + 1).alias("below"))
-
-    lowest = LOWEST - 2 * WINDOW_BITS - 1  # two digits of padding, one bit for what lies below
-    weights = F.array(*[F.lit(2.0 ** (lowest + WINDOW_BITS * k)) for k in range(WINDOWS + 3)])
-    return F.aggregate(descending, start, step, lambda s: (s["m"] * _big(2) + _big(s["more"])).cast("double") * F.element_at(weights, s["below"] + 1))
-
-
-def _divided(units: Column) -> Column:
-    """Units in windows, lowest first, cut below the lowest."""
-    per, base = _big(MONEY_UNITS), _big(1 << WINDOW_BITS)
-    whole = -LOWEST // WINDOW_BITS  # the window of weight 1
-    first = _let((units % per).cast(_EXACT), lambda rest: F.struct(rest.alias("rest"), F.array(_quotient(units, rest, per)).alias("done")))
-
-    def step(s: Column, _: Column) -> Column:
-        return _let((s["rest"] * base).cast(_EXACT), lambda scaled: _let((scaled % per).cast(_EXACT), lambda rest: F.struct(
-            rest.alias("rest"), F.concat(F.array(_quotient(scaled, rest, per)), s["done"]).alias("done"))))
-
-    high = F.array_repeat(_big(0), WINDOWS - whole - 1)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(whole)), first, step, lambda s: F.concat(s["done"], high))
-
-
-def _combined(units: Column, windows: list[Column]) -> Column:
-    """Units and windows as one DOUBLE, rounded once."""
-    given = F.struct(_big(units).alias("u"), F.array(*[F.coalesce(_big(w), _big(0)) for w in windows]).alias("w"))
-    number = lambda c: _nearest(F.concat(c["done"], F.array(c["carry"])))
+        low = F.pmod(state["carry"] + digit, _big(base)).cast(_EXACT)
+        text = F.lpad(F.hex(low.cast("bigint")), WINDOW_BITS // 4, "0")
+        return F.struct(_quotient(state["carry"] + digit, low, base).alias("carry"), F.concat(text, state["hex"]).alias("hex"))
 
-    def signed(digits: Column) -> Column:
-        return _let(_carried(digits), lambda up: F.when(up["carry"] < 0, -_let(_carried(F.transform(digits, lambda d: -d)), number)).otherwise(number(up)))
+    def number(sign: Column) -> Column:
+        return F.aggregate(plus, start, lambda s, d: step(s, d * sign), lambda s: F.when(s["carry"] >= 0, sign * F.concat(
+            F.lit("0x"), F.hex(s["carry"].cast("bigint")), s["hex"], F.lit(f"p{LOWEST}")).cast("double")))
 
-    return _let(given, lambda g: _let(F.zip_with(_divided(g["u"]), g["w"], lambda a, b: (a + b).cast(_EXACT)), signed))
+    return F.array_max(F.transform(F.array(F.lit(1), F.lit(-1)), number))
 
 
 def _value(units: Column, off: Column, windows: list[Column]) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,20 @@ def compared(texts: list[str], prints: np.ndarray, following: list[str], next_pr
 _COMPARED = "edited_sha256 string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The columns id, tie and packed, the text compressed: what the range shuffle moves."""
+    schema = T.StructType([docs.schema["id"], docs.schema["tie"], T.StructField("packed", T.BinaryType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, pack = to_arrow_schema(schema), zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(x.encode()) for x in batch.column(2).to_pylist()], pa.binary())], schema=arrow)
+
+    return docs.select("id", "tie", "text").mapInArrow(work, schema)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document, written: id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, key, key2, n_shingles.
@@ -132,8 +147,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their text. An empty table gives an empty result; other columns are ignored."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    plain = packed(plain)
     by = [F.col("id").asc_nulls_last(), F.col("tie").asc()]
-    ranged = plain.repartitionByRange(*by).sortWithinPartitions(*by).select("id", "text", F.spark_partition_id().alias("part"))
+    ranged = plain.repartitionByRange(*by).sortWithinPartitions(*by).select("id", "packed", F.spark_partition_id().alias("part"))
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", T.IntegerType()), T.StructField("n_chars", T.LongType()),
         T.StructField("fingerprint", T.StringType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()),
@@ -155,10 +171,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 pa.array([t if head and i == 0 else None for i, t in enumerate(texts)], pa.string()),
                 pa.array([t if open_ else None for t in texts], pa.string())], schema=arrow)
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             _, offsets = buffers(batch.column(1))
-            for a, b in by_bytes(offsets, CHUNK_BYTES):
-                ids, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
+            for a, b in by_bytes(offsets, CHUNK_BYTES // 2):
+                ids, texts = batch.column(0).slice(a, b - a).to_pylist(), [unpack(x).decode() for x in batch.column(1).slice(a, b - a).to_pylist()]
                 part, signed = batch.column(2)[a].as_py(), Signed(texts, width)
                 places = [(signed, i) for i in range(len(texts))]
                 head = held is None
@@ -254,15 +271,18 @@ def sets_of(docs: DataFrame, able: DataFrame, width: int) -> DataFrame:
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """(band, x, n): the classes of every band that several of them share; bands of the same
-    members are one."""
+    """(band, x, n, centre): the classes of every band that several of them share; bands of the
+    same members are one. `centre`, the members of all of a class's bands, is largest for
+    the text that the others were copied from."""
     size = DIGITS * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * size + 1, size)) for b in range(BANDS)])
     entries = classes.select(F.col("key").alias("x"), "n", F.explode(bands).alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("members"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("content")).where("members > 1")
-    single = written(shared.groupBy("members", "content").agg(F.min("band").alias("band")).select("band"), "shared_bands")
-    members = written(entries.join(single, "band").select("band", "x", "n"), "band_members")
-    discard(classes.sparkSession, single)
+    single = written(shared.groupBy("members", "content").agg(F.min("band").alias("band")).select("band", "members"), "shared_bands")
+    found = written(entries.join(single, "band").select("band", "x", "n", "members"), "found_bands")
+    centre = found.groupBy("x").agg(F.sum("members").alias("centre"))
+    members = written(found.drop("members").join(centre, "x").select("band", "x", "n", "centre"), "band_members")
+    discard(classes.sparkSession, single, found)
     return members
 
 
@@ -271,7 +291,8 @@ def verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     different components.
 
     In rounds, every band elects pivots (one, then four times as many: the best of each
-    salted part, those outside the band's larger components first) and compares them
+    salted part, those outside the band's larger components first, then the most central,
+    which the bands of a cluster share) and compares them
     exactly with its other members, unless they are connected already or their sizes rule a
     link out. A band ends when all members that were no pivots are connected, so a group of
     copies takes one round and no pairs are formed within it."""
@@ -286,7 +307,7 @@ def verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
         sizes = active.groupBy(F.col("band").alias("b"), F.col("label").alias("l")).agg(F.count("*").alias("size"))
         sized = active.join(sizes, (F.col("band") == F.col("b")) & (F.col("label") == F.col("l")))
         salt = F.pmod(F.xxhash64("x", F.lit(pivots)), F.lit(pivots)).alias("salt")
-        elected = written(sized.groupBy("band", salt).agg(F.min(F.struct("size", F.xxhash64("x").alias("by"), "x", "n", "label")).alias("e")).select(
+        elected = written(sized.groupBy("band", salt).agg(F.min(F.struct("size", (-F.col("centre")).alias("far"), F.xxhash64("x").alias("by"), "x", "n", "label")).alias("e")).select(
             "band", F.col("e.x").alias("p"), F.col("e.n").alias("m"), F.col("e.label").alias("p_label")), "pivots")
         pairs = active.join(elected, "band").where(
             (F.col("x") != F.col("p")) & (F.col("label") != F.col("p_label")) & near(F.least("n", "m"), F.col("n"), F.col("m")))

@@ -139,15 +139,16 @@ def fit(docs: DataFrame, lang_col: str, text_col: str, key: Column, max_docs: in
     `key`, which takes equally many of each language as far as there are and at least one.
     The model knows every word and n-gram of the learned documents; the driver gathers
     their vocabulary, which only the sample bounds."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    sizes = {r[0]: (r.n, r.least) for r in labelled.groupBy(lang_col).agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()}
+    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("place")) \
+        .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    place = F.col("place")
+    sizes = {r[0]: (r.n, r.least) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()}
     if sum(n for n, _ in sizes.values()) > max_docs:
         quota = quotas({x: n for x, (n, _) in sizes.items()}, max_docs)
         last = [(x, max(int((1 << 30) * quota[x] / n) - 1, least)) for x, (n, least) in sizes.items()]
         table = docs.sparkSession.createDataFrame(last, "learned_lang string, last_place long")
-        labelled = labelled.join(F.broadcast(table), F.col(lang_col).cast("string") == F.col("learned_lang")).where(place <= F.col("last_place"))
-    rows = counted(labelled, lang_col, text_col).toLocalIterator()
+        labelled = labelled.join(F.broadcast(table), F.col("lang").cast("string") == F.col("learned_lang")).where(place <= F.col("last_place"))
+    rows = counted(labelled, "lang", "text").toLocalIterator()
     return WordFirstModel.from_counts(rows)
 
 

@@ -117,6 +117,13 @@ def test_language_model_knows_every_word_of_every_language(docs_of):
         assert part.languages == ["big", "rare"] and 3 < len(part.tables[0][0]) < 60
 
 
+def test_language_sample_beside_clashing_columns(docs_of):
+    docs = docs_of([(i, f"wort{i % 7} und satz") for i in range(60)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en"))
+    for name in ("learned_lang", "last_place", "place", "n", "kind", "item"):
+        docs = docs.withColumn(name, F.lit(1))
+    assert language_id.identify(docs, max_docs=20).count() == 60
+
+
 def test_language_quotas():
     assert language_id.quotas({"a": 1000, "b": 3, "c": 500}, 203) == {"a": 100, "b": 3, "c": 100}
     assert language_id.quotas({"a": 9, "b": 2}, 6) == {"a": 4, "b": 2}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -18,8 +19,13 @@ from aerokpi.llm.units import UnitCache, chunks, spaced_units
 
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Verified pairs and encoded words kept per worker before the memory is emptied.
+#: Words of more bytes are merged one by one, with a heap; shorter ones side by side.
+LONG_WORD = 64
+#: Bytes of text encoded at once, unless one text is larger.
+CHUNK = 4 << 20
+#: Encoded words kept per worker before the memory is emptied.
 MEMORY = 300_000
+NO_MERGE = np.iinfo(np.int64).max
 _ENCODERS: dict[str, "SpeculativeBPE"] = {}
 
 
@@ -33,7 +39,11 @@ def byte_alphabet() -> dict[str, int]:
 class SpeculativeBPE:
     """Greedy longest match proposes a word's tokens. The proposal is right when every
     adjacent pair of tokens is compatible, that is, when merging the pair's bytes by rank
-    gives this very pair back; only words with an incompatible pair are merged exactly."""
+    gives this very pair back; only words with an incompatible pair are merged exactly.
+
+    All pairs are tested at once by taking their last merges back: see `stands`. That holds
+    where every token has one merge, of two tokens that came before it (as training gives);
+    any other vocabulary is merged exactly throughout."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -43,26 +53,39 @@ class SpeculativeBPE:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = 1 + max([*vocab.values(), *self.special.values()])
-        self.tokens = [b""] * size
+        self.size, self.tokens = size, [b""] * size
         for text, i in vocab.items():
             self.tokens[i] = bytes(alphabet[c] for c in text)
         self.of_byte = {t[0]: i for i, t in enumerate(self.tokens) if len(t) == 1}
+        self.byte_ids = np.array([self.of_byte.get(b, -1) for b in range(256)], dtype=np.int64)
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        sides = np.array([p for p in self.rank], dtype=np.int64).reshape(-1, 2)
+        made = np.array([t for _, t in self.rank.values()], dtype=np.int64)
+        ranks = np.array([r for r, _ in self.rank.values()], dtype=np.int64)
+        keys = sides[:, 0] * size + sides[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.key_ranks, self.key_tokens = keys[order], ranks[order], made[order]
+        #: Rank of the merge that makes a token (-1: none), and its two sides.
+        self.made_at, self.left, self.right = np.full(size, -1, dtype=np.int64), np.arange(size), np.arange(size)
+        self.made_at[made], self.left[made], self.right[made] = ranks, sides[:, 0], sides[:, 1]
+        self.regular = len(np.unique(made)) == len(made) and bool((self.made_at[sides].max(axis=1, initial=-1) < ranks).all())
+        own = self.stands(sides[:, 0], sides[:, 1], ranks).tolist()
+        whole = set(self.of_byte.values())
+        whole.update(t for (a, b), (_, t), ok in zip(self.rank, self.rank.values(), own) if ok and a in whole and b in whole)
         for text, i in self.special.items():
             self.tokens[i] = text.encode()
         by_length: dict[int, list[int]] = {}
         for i in vocab.values():
-            by_length.setdefault(len(self.tokens[i]), []).append(i)
+            if i in whole:  # the merges of its own bytes end in it
+                by_length.setdefault(len(self.tokens[i]), []).append(i)
         self.by_length = []
         for n, ids in sorted(by_length.items()):
             flat = np.frombuffer(b"".join(self.tokens[i] for i in ids), dtype=np.uint8)
             h = window_hashes(flat, n)[::n]
             order = np.argsort(h)
             self.by_length.append((n, h[order], np.array(ids, dtype=np.int64)[order]))
-        self.size = size
         self.words = regex.compile(PATTERN)
         self.splits = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        self.pairs: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
 
     def merge(self, word: bytes) -> list[int]:
@@ -87,6 +110,41 @@ class SpeculativeBPE:
                 heapq.heappush(queue, (self.rank[p][0], h, p))
         return [i for i in ids if i >= 0]
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """The exact encodings of many words: each round merges every word's leftmost pair of
+        lowest rank; a word without a mergeable pair is done."""
+        out: list[list[int]] = [self.merge(w) if len(w) > LONG_WORD else [] for w in words]
+        live = np.array([i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD], dtype=np.int64)
+        sizes = np.array([len(words[i]) for i in live], dtype=np.int64)
+        ids = self.byte_ids[np.frombuffer(b"".join(words[i] for i in live), dtype=np.uint8)]
+        ranks = np.full(len(ids), NO_MERGE)  # of each token with the next one of its word
+        ranks[:-1] = self.merge_ranks(ids[:-1], ids[1:])
+        ranks[np.cumsum(sizes) - 1] = NO_MERGE
+        while len(live):
+            starts = np.cumsum(sizes) - sizes
+            least = np.minimum.reduceat(ranks, starts)
+            done = least == NO_MERGE
+            if done.any():
+                for k in np.flatnonzero(done).tolist():
+                    out[live[k]] = ids[starts[k] : starts[k] + sizes[k]].tolist()
+                stay = np.repeat(~done, sizes)
+                ids, ranks, live, sizes, least = ids[stay], ranks[stay], live[~done], sizes[~done], least[~done]
+                if not len(live):
+                    break
+            word = np.repeat(np.arange(len(live)), sizes)
+            at = np.flatnonzero(ranks == least[word])
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]
+            ids[at] = self.key_tokens[np.searchsorted(self.keys, ids[at] * self.size + ids[at + 1])]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ids, word, ranks, sizes = ids[keep], word[keep], ranks[keep], sizes - 1
+            at -= np.arange(len(at))  # one token before each was taken away per earlier word
+            for i in (at, at[at > 0] - 1):
+                follows = i + 1 < len(ids)
+                nxt = np.where(follows, i + 1, i)
+                ranks[i] = np.where(follows & (word[nxt] == word[i]), self.merge_ranks(ids[i], ids[nxt]), NO_MERGE)
+        return out
+
     def propose(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest-match tokens of all words at once: (word number, token), by word."""
         end_at = np.repeat(ends, ends - starts)  # words lie end to end
@@ -114,20 +172,33 @@ class SpeculativeBPE:
         order = np.argsort(word, kind="stable")
         return word[order], np.concatenate(tokens)[order]
 
-    def compatible(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each pair (left * size + right; left == size: right alone) stands."""
-        distinct, at = np.unique(keys, return_inverse=True)
-        if len(self.pairs) > MEMORY:
-            self.pairs.clear()
-        verdict = np.empty(len(distinct), dtype=bool)
-        for i, key in enumerate(distinct.tolist()):
-            ok = self.pairs.get(key)
-            if ok is None:
-                left, right = divmod(key, self.size)
-                wanted = [right] if left == self.size else [left, right]
-                ok = self.pairs[key] = self.merge(b"".join(self.tokens[t] for t in wanted)) == wanted
-            verdict[i] = ok
-        return verdict[at]
+    def merge_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair, beyond all ranks if there is none."""
+        if not len(self.keys):
+            return np.full(len(left), NO_MERGE)
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_ranks[at], NO_MERGE)
+
+    def stands(self, left: np.ndarray, right: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Whether no merge of rank under `before` joins the two tokens of each pair, all pairs at once.
+
+        The later-made token of a pair is taken apart, again and again: its side at the border
+        was the other's neighbour until then, so those two must have no merge that came first.
+        Merges go from the left, so on equal ranks the right token was made last, and a border
+        merge of the same rank as the right token's would have come before it."""
+        out = np.ones(len(left), dtype=bool)
+        live = np.arange(len(left))
+        while len(live):
+            broken = self.merge_ranks(left, right) < before
+            out[live[broken]] = False
+            last_left, last_right = self.made_at[left], self.made_at[right]
+            go = np.flatnonzero(~broken & (np.maximum(last_left, last_right) >= 0))
+            live, left, right, last_left, last_right = live[go], left[go], right[go], last_left[go], last_right[go]
+            in_left = last_left > last_right
+            before = np.where(in_left, last_left, last_right + 1)
+            left, right = np.where(in_left, self.right[left], left), np.where(in_left, right, self.left[right])
+        return out
 
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of the words into `known`."""
@@ -136,18 +207,26 @@ class SpeculativeBPE:
         ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
         starts = np.concatenate(([0], ends[:-1]))
         word, token = self.propose(data, starts, ends)
-        first = np.ones(len(word), dtype=bool)
-        first[1:] = word[1:] != word[:-1]
-        left = np.where(first, self.size, np.concatenate(([0], token[:-1])))
-        failed = np.zeros(len(words), dtype=bool)
-        failed[word[~self.compatible(left * self.size + token)]] = True
+        failed = np.full(len(words), not self.regular)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        stands = self.stands(token[inside], token[inside + 1], np.full(len(inside), NO_MERGE))
+        failed[word[inside[~stands]]] = True
         bounds = np.searchsorted(word, np.arange(len(words) + 1))
         tokens = token.tolist()
-        for i, w in enumerate(words):
-            self.known[w] = self.merge(raw[i]) if failed[i] else tokens[bounds[i] : bounds[i + 1]]
+        exact = iter(self.merge_all([raw[i] for i in np.flatnonzero(failed).tolist()]))
+        for w, bad, a, b in zip(words, failed.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            self.known[w] = next(exact) if bad else tokens[a:b]
 
     def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, end to end, and the number of each unit's ids."""
+        """Ids of all units, end to end, and the number of each unit's ids. Its many short lists
+        hold no cycles, so the collector of cycles pauses."""
+        gc.disable()
+        try:
+            return self._encode(units)
+        finally:
+            gc.enable()
+
+    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         split: list[list[str]] = []
         for unit in units:
             text = unit.decode()
@@ -207,7 +286,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         bpe, cache = encoder(vocabulary)
         arrow = to_arrow_schema(schema)
         for rows in batches:
-            for a, b, data, offsets in chunks(rows.column(1)):
+            for a, b, data, offsets in chunks(rows.column(1), CHUNK):
                 units, unit_rows = spaced_units(data, offsets)
                 ids, at = cache.ids(units, unit_rows, b - a)
                 each = [ids[at[i] : at[i + 1]] for i in range(b - a)]

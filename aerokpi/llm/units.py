@@ -87,7 +87,10 @@ def spaced_units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nd
     if len(odd):
         keep = ~np.isin(rows, odd)
         ends = ends[keep]
-    cuts = np.unique(np.concatenate((ends, offsets, inner_cuts(data))))  # every row's end closes its last unit
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    for places in (ends, offsets, inner_cuts(data)):  # every row's end closes its last unit
+        cut[places] = True
+    cuts = np.flatnonzero(cut)
     at = cuts.astype(np.int32)
     rows = np.searchsorted(offsets, cuts[:-1], "right") - 1
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]), rows

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -49,6 +50,33 @@ def test_greedy_proposals_fail_and_are_repaired():
         assert coder.known[w] == tokenizer.encode(w, add_special_tokens=False).ids
 
 
+def test_pairs_and_words_side_by_side_equal_merging_one_by_one():
+    coder, _ = bpe.encoder(BYTE)
+    rng = np.random.default_rng(5)
+    assert coder.regular
+    usual = np.array([i for _, _, ids in coder.by_length for i in ids.tolist()])
+    left, right = rng.choice(usual, 4000), rng.choice(usual[:2000], 4000)
+    left[:200] = right[:200]  # the same token twice
+    got = coder.stands(left, right, np.full(len(left), bpe.NO_MERGE))
+    want = [coder.merge(coder.tokens[a] + coder.tokens[b]) == [a, b] for a, b in zip(left.tolist(), right.tolist())]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    words = [t.encode() for t in odd_texts(800)] + [b"", b"aaaa", b"a" * 63, b"a" * 64, b"a" * 65, b" " * 64]
+    assert coder.merge_all(words) == [coder.merge(w) for w in words]
+    assert coder.merge_all([]) == [] and coder.merge_all([b""]) == [[]]
+
+
+def test_vocabulary_with_two_merges_of_a_token_is_merged_exactly(tmp_path):
+    alphabet = {c: i for i, c in enumerate(bpe.byte_alphabet())}
+    vocab = alphabet | {x: 256 + i for i, x in enumerate(["ab", "bc", "abc"])}
+    merges = [["a", "b"], ["b", "c"], ["ab", "c"], ["a", "bc"]]
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+    coder = bpe.SpeculativeBPE(str(path))
+    assert not coder.regular
+    coder.encode_words(["abc", "bcab", "aabcc"])
+    assert all(coder.known[w] == coder.merge(w.encode()) for w in ("abc", "bcab", "aabcc"))
+
+
 def pieces_are_right(out, texts):
     tokenizer = Tokenizer.from_file(WORD)
     by_doc, sequences = {}, {}

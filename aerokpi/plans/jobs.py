@@ -20,6 +20,7 @@ from aerokpi.operators import clean, dq, explore, kpis, marts, weekday
 from aerokpi.operators.insights import insights
 from aerokpi.params import DQ_CHECKS, TESTDATA
 from aerokpi.plans.registry import DATASETS
+from aerokpi.plans.views import publish_views, view_marts
 from aerokpi.sources.parameters import read_params
 from aerokpi.sources.publish import publish_folder, publish_table
 from aerokpi.sources.readers import write_table
@@ -37,11 +38,10 @@ def ingest(w: Warehouse, out: str, fmt: str = "parquet") -> None:
 
 def relations(w: Warehouse) -> dict[str, dict[str, DataFrame]]:
     """Every named relation by layer: raw entities, marts, KPI and exploration views."""
-    mart = {"leg": w.leg(), "leg_revpp": marts.leg_revpp(w.leg()), "segment": marts.segment(w.leg()), "leg_report": w.leg_report()}
     kpi = ("fwlf_overall", "fwlf_by_segment", "pacs_leg", "leg_yield_index", "yalf_overall", "aras_overall", "srm_proxy", "calf_overall",
            "lf_by_time", "anc_share_segment", "cancel_rate_segment", "low_lf_legs", "high_lf_legs", "high_yield_legs", "low_yield_legs",
            "segment_kpis", "lf_segment_dow_long")
-    return {"raw": {n: getattr(w, n)() for n in ("booking", "passenger", "flight")}, "mart": mart,
+    return {"raw": {n: getattr(w, n)() for n in ("booking", "passenger", "flight")}, "mart": view_marts(w),
             "kpi": {n: DATASETS[n](w) for n in kpi}}
 
 
@@ -49,8 +49,9 @@ def publish_catalog(spark: SparkSession, w: Warehouse, database: str | None = No
     """SNK-2 / SNK-3: namespaces and named relations.
 
     Every relation becomes a temp view ``<layer>_<name>`` (lazy). With ``database`` set (a
-    configured catalog), the layers are databases ``<database>_raw``, ``_mart`` and ``_kpi`` and
-    the relations are published as their tables (`publish_table`). Returns the published names."""
+    configured catalog), the layers are databases ``<database>_raw``, ``_mart`` and ``_kpi``: raw
+    entities and marts are published as tables (`publish_table`), KPIs as persistent views over
+    the marts (`views.publish_views`). Returns the names of the temp views."""
     names = []
     for layer, tables in relations(w).items():
         if database:
@@ -58,8 +59,10 @@ def publish_catalog(spark: SparkSession, w: Warehouse, database: str | None = No
         for name, df in tables.items():
             df.createOrReplaceTempView(f"{layer}_{name}")
             names.append(f"{layer}_{name}")
-            if database:
+            if database and layer != "kpi":
                 publish_table(df, f"{database}_{layer}.{name}")
+    if database:
+        publish_views(spark, database, w.params)
     return names
 
 

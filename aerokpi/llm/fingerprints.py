@@ -25,6 +25,10 @@ BANDS = 25
 ROWS = 5
 #: Hexadecimal digits of one place: 16 bits of the least hash.
 DIGITS = 4
+#: Pivots of a band grow by this factor a round. Members without a link have to be compared with
+#: each other whatever the factor, and copies are mostly connected by the first pivot, so a large
+#: factor costs few comparisons and saves rounds.
+GROWTH = 16
 #: Bits of the bitmap that thins out texts before they are shuffled for verification: 16 MB in
 #: the driver and in every worker, at every size of the input.
 FILTER_BITS = 1 << 27
@@ -290,7 +294,7 @@ def verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """(a, b) links of exact similarity that leave no two linked members of a band in
     different components.
 
-    In rounds, every band elects pivots (one, then four times as many: the best of each
+    In rounds, every band elects pivots (one, then GROWTH times as many: the best of each
     salted part, those outside the band's larger components first, then the most central,
     which the bands of a cluster share) and compares them
     exactly with its other members, unless they are connected already or their sizes rule a
@@ -304,8 +308,10 @@ def verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     links: DataFrame | None = None
     pivots = 1
     while not active.isEmpty():
-        sizes = active.groupBy(F.col("band").alias("b"), F.col("label").alias("l")).agg(F.count("*").alias("size"))
-        sized = active.join(sizes, (F.col("band") == F.col("b")) & (F.col("label") == F.col("l")))
+        sized = active.withColumn("size", F.lit(1))  # at first every member is its own component
+        if pivots > 1:
+            sizes = active.groupBy(F.col("band").alias("b"), F.col("label").alias("l")).agg(F.count("*").alias("size"))
+            sized = active.join(sizes, (F.col("band") == F.col("b")) & (F.col("label") == F.col("l")))
         salt = F.pmod(F.xxhash64("x", F.lit(pivots)), F.lit(pivots)).alias("salt")
         elected = written(sized.groupBy("band", salt).agg(F.min(F.struct("size", (-F.col("centre")).alias("far"), F.xxhash64("x").alias("by"), "x", "n", "label")).alias("e")).select(
             "band", F.col("e.x").alias("p"), F.col("e.n").alias("m"), F.col("e.label").alias("p_label")), "pivots")
@@ -324,7 +330,7 @@ def verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
         undone = rest.groupBy("band").agg((F.min("label") != F.max("label")).alias("undone")).where("undone").select("band")
         following = written(rest.join(undone, "band").select(*active.columns), "active")
         discard(spark, active, elected, rest, labels)
-        active, pivots = following, pivots * 4
+        active, pivots = following, pivots * GROWTH
     discard(spark, active)
     return links
 

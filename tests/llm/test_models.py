@@ -149,7 +149,7 @@ def test_ann_recall_and_exact_scores(spark):
     data = rng.standard_normal((3000, 32)).astype(np.float32)
     data[100:160] = data[100]  # ties
     table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(data)], VECTORS).repartition(4)
-    got = ann.search(table, table.where("vec_id % 20 = 0"), 20, chunk_rows=700, block_queries=64).toPandas()
+    got = ann.search(table, table.where("vec_id % 20 = 0"), 20, chunk_bytes=700 * 32 * 8, block_bytes=64 * 32 * 8).toPandas()
     exact = data.astype(np.float64)
     hits = 0
     for q, rows in got.groupby("query_id"):
@@ -175,13 +175,48 @@ def test_ann_edge_cases(spark):
     got = [tuple(r) for r in ann.search(table, table.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 2.0), (0, 2, 6, 1.0), (0, 3, 6, 1.0), (0, 4, 1, 0.5), (20, 1, 0, 2.0), (20, 2, 6, 2.0), (20, 3, 6, 2.0), (20, 4, 1, 1.0)]
     assert ann.search(table.limit(0), table, 20).count() == 0
+    assert ann.search(table, table.limit(0), 20).count() == 0
+
+
+def test_ann_searches_each_length_among_its_own(spark):
+    from aerokpi.llm.common import ship_package
+
+    ship_package(spark)
+    rng = np.random.default_rng(3)
+    sizes = [2, 3, 70, 130]
+    rows = [(i, rng.standard_normal(sizes[i % 4]).astype(np.float32).tolist(), 0) for i in range(400)]
+    fields = T.StructType([*VECTORS.fields[:2], *[T.StructField(c, T.IntegerType()) for c in ("id", "v", "dim", "chunk", "code", "score")]])
+    table = spark.createDataFrame([(*r[:2], 0, 0, 0, 0, 0, 0) for r in rows], fields)
+    got = ann.search(table, table.where("vec_id % 5 = 0"), 5, chunk_bytes=20_000, block_bytes=9_000).toPandas()
+    assert sorted(got.query_id.unique()) == list(range(0, 400, 5))
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        exact = sorted((-float(np.dot(np.float64(v), np.float64(rows[q][1]))), i) for i, v, _ in rows if i % 4 == q % 4 and i != q)
+        assert all(i % 4 == q % 4 for i in found.vec_id) and len(found) == 5
+        hits += len({i for _, i in exact[:5]} & set(found.vec_id))
+    assert hits >= 0.99 * 400
+    as_doubles = table.withColumn("embedding", table["embedding"].cast("array<double>")).withColumn("vec_id", table["vec_id"].cast("string"))
+    again = ann.search(as_doubles, as_doubles.where("vec_id = '10'"), 5).toPandas()
+    assert set(again.vec_id) == {str(i) for i in got[got.query_id == 10].vec_id}
 
 
 def test_one_bit_bounds_hold():
     rng = np.random.default_rng(5)
     data, queries = rng.standard_normal((500, 48)), rng.standard_normal((20, 48))
     codes, norms, agree = ann.one_bit_codes(data)
-    assert codes.shape == (500, 6)
+    assert codes.shape == (500, 1) and codes.dtype == np.uint64
+    guess, bound = ann.estimates(codes, norms, agree, queries)
+    assert (np.abs(guess - queries @ data.T) > bound).mean() < 0.01
+
+
+@pytest.mark.parametrize("dim", [1, 7, 64, 65, 200])
+def test_products_from_packed_bits_equal_those_of_signs(dim):
+    rng = np.random.default_rng(dim)
+    data, queries = rng.standard_normal((50, dim)), rng.standard_normal((9, dim))
+    codes, norms, agree = ann.one_bit_codes(data)
     guess, bound = ann.estimates(codes, norms, agree, queries)
-    off = np.abs(guess - queries @ data.T) > bound * np.linalg.norm(queries, axis=1)[:, None]
-    assert off.mean() < 0.01
+    signs = np.where(data @ ann.rotation(dim) > 0, 1.0, -1.0)
+    planes, low, step, lost = ann.rounded_queries(queries)
+    plain = (queries @ ann.rotation(dim)) @ signs.T * (norms / agree / np.sqrt(dim))
+    assert planes.shape == (ann.QUERY_BITS, 9, -(-dim // 64)) and (lost <= dim * step / 2 + 1e-9).all()
+    assert (np.abs(guess - plain) <= lost[:, None] * (norms / agree / np.sqrt(dim)) + 1e-9).all()

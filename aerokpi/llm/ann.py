@@ -68,10 +68,13 @@ def estimates(codes: np.ndarray, norms: np.ndarray, agree: np.ndarray, queries:
     The bound is that of the random rotation, ERROR_WIDTH deviations, and all that rounding lost."""
     dim = queries.shape[1]
     planes, low, step, lost = rounded_queries(queries)
-    shared = np.zeros((len(queries), len(codes)), dtype=np.int32)
-    for bit, plane in enumerate(planes):
+    shared = np.zeros((len(queries), len(codes)), dtype=np.uint32)
+    both, bits = np.empty(shared.shape, np.uint64), np.empty(shared.shape, np.uint8)
+    for plane in planes[::-1]:  # the highest first, doubled with every further one
+        shared <<= np.uint32(1)
         for word in range(codes.shape[1]):
-            shared += np.bitwise_count(codes[:, word] & plane[:, word, None]).astype(np.int32) << bit
+            np.bitwise_and(codes[:, word], plane[:, word, None], out=both)
+            shared += np.bitwise_count(both, out=bits)
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
     whole = sum(np.bitwise_count(p).sum(axis=1, dtype=np.int64) << bit for bit, p in enumerate(planes))
     # signs are 2 b - 1, components low + step u: the sum of (2 b - 1) (low + step u)
@@ -102,9 +105,13 @@ def nearest_in_chunk(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
                 continue
             exact = vectors[top] @ block[j]
             least = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
-            reach = np.flatnonzero(estimate + bound[j] >= least)
-            found = np.union1d(top, reach[np.isfinite(estimate[reach])])
+            reach = (estimate + bound[j] >= least) & np.isfinite(estimate)
+            reach[top] = True
+            found = np.flatnonzero(reach)
             score = np.einsum("ij,j->i", vectors[found], block[j])
+            if len(found) > k:  # only these can be among the best, ties included
+                high = score >= np.partition(score, -k)[-k]
+                found, score = found[high], score[high]
             best = np.lexsort((found, -score))[:k]
             yield at + j, found[best], score[best]
 

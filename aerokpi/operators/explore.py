@@ -20,6 +20,7 @@ from aerokpi.functions import (
 )
 from aerokpi.operators.clean import booking_clean, pnr_channel
 from aerokpi.operators.marts import leg_anc, leg_revpp
+from aerokpi.operators.quantiles import quantiles
 from aerokpi.params import DEFAULT, TIMES_OF_DAY, WEEKDAYS, KpiParams
 
 #: Decimals of published averages; the snap removes order-dependent noise at exact ties.
@@ -311,16 +312,14 @@ TIMING_STATS = ("median_days_after_booking", "p90_days_after_booking",
 def cancellation_timing(booking: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
     """One row over the cancelled bookings: exact (linearly interpolated)
     median and P90 of both timings, the last-minute share and the number
-    of cancellations. ``percentile`` keeps a value -> count map of the
-    distinct day values, which is small and merges map-side."""
+    of cancellations. The quantiles are found when the plan is built, by rank
+    search (``quantiles``), so no task holds a map of the distinct values."""
     b = booking_clean(booking).where("is_cancelled")
-    a, f = F.col("days_after_booking_to_cancel"), F.col("days_before_flight_to_cancel")
-    flag = F.coalesce(f <= params.last_minute_days, F.lit(False))
+    after, before = "days_after_booking_to_cancel", "days_before_flight_to_cancel"
+    flag = F.coalesce(F.col(before) <= params.last_minute_days, F.lit(False))
+    found = quantiles(b, [(after, 0.5), (after, 0.9), (before, 0.5), (before, 0.9)])
     return b.agg(
-        F.percentile(a, F.lit(0.5)).alias(TIMING_STATS[0]),
-        F.percentile(a, F.lit(0.9)).alias(TIMING_STATS[1]),
-        F.percentile(f, F.lit(0.5)).alias(TIMING_STATS[2]),
-        F.percentile(f, F.lit(0.9)).alias(TIMING_STATS[3]),
+        *[F.lit(x).cast("double").alias(name) for name, x in zip(TIMING_STATS, found)],
         F.avg(flag.cast("double")).alias("last_minute_share"),
         F.count(F.lit(1)).alias("n_cancel"),
     )
@@ -334,7 +333,8 @@ def cancel_timing_stats(booking: DataFrame, params: KpiParams = DEFAULT) -> Data
 def last_minute_share(booking: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
     """R-19: share of cancellations made at most ``last_minute_days`` before
     the flight (an unknown timing counts as not last-minute)."""
-    return cancellation_timing(booking, params).select("last_minute_share")
+    late = F.col("days_before_flight_to_cancel") <= params.last_minute_days
+    return booking_clean(booking).where("is_cancelled").agg(F.avg(F.coalesce(late, F.lit(False)).cast("double")).alias("last_minute_share"))
 
 
 def ancillary_share_by_segment(base: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from aerokpi.llm.common import discard, written
 from aerokpi.llm.hashing import BYTE_VALUES, mix, prefix_sums, span_hashes, window_hashes
-from aerokpi.llm.heavy import frequent_keys
 from aerokpi.llm.units import chunks
 
 LENGTH = 100
@@ -22,16 +21,16 @@ ANCHOR = 32
 #: Blocks (the symbols of the transforms) that a string of LENGTH bytes consists of.
 BLOCKS = 4
 #: Text of one bucket's shards and anchors of one bucket, for sizing the number of buckets.
-BUCKET_BYTES = 256 << 10
-BUCKET_ANCHORS = 400_000
+BUCKET_BYTES = 128 << 10
+BUCKET_ANCHORS = 200_000
 #: Shards that a bucket's pieces are dealt into.
 SHARDS = 8
-#: One text in so many is looked through for anchors that very many texts share, counters
-#: kept for them, and sampled occurrences that make an anchor such a one. Which anchors are
-#: found only decides how the work is split, never the result.
+#: One text in so many is looked through for anchors that very many texts share, how many of
+#: them are told apart, and sampled texts that make an anchor such a one, at every size of the
+#: input. Which anchors are found only decides how the work is split, never the result.
 SAMPLE = 64
-HOT_CAPACITY = 4096
-HOT_LEAST = 16
+HOT_CAPACITY = 1 << 16
+HOT_LEAST = 32
 PIECE = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "<u2")])
 RANGE = "doc long, row long, start long, stop long"
 
@@ -110,6 +109,15 @@ def ranges(found: np.ndarray, length: int) -> list[np.ndarray]:
     return [found["doc"], found["row"], start, start + found["count"] + length - 1]
 
 
+def merged_ranges(found: np.ndarray, length: int) -> list[np.ndarray]:
+    """Columns of RANGE: the same bytes as `ranges`, in the longest runs that a text's pieces make."""
+    doc, row, start, stop = ranges(found[np.lexsort((found["start"], found["row"], found["doc"]))], length)
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > stop[:-1])
+    first = np.flatnonzero(new)
+    return [doc[first], row[first], start[first], np.maximum.reduceat(stop, first) if len(first) else stop]
+
+
 def to_buckets(records: np.ndarray, payload: list[bytes] | None, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(bucket, records, their payloads end to end), by anchor."""
     to = (records["anchor"] >> np.uint64(20)) % np.uint64(buckets)
@@ -219,7 +227,7 @@ def repeated(shards: list[Shard], length: int) -> list[np.ndarray]:
 
 
 def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
-    """Anchors that many of the sampled texts share; at most HOT_CAPACITY + 1."""
+    """Anchors that many of the sampled texts share; at most HOT_CAPACITY, the most frequent."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -230,15 +238,14 @@ def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(found["anchor"][once].view(np.int64))], names=["anchor"])
 
     some = docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0).select("text")
-    found = written(some.mapInArrow(work, "anchor long"), "sampled")
-    often = frequent_keys(found, "anchor", found.count(), HOT_CAPACITY).where(F.col("at_least") >= HOT_LEAST).collect()
-    discard(docs.sparkSession, found)
+    often = some.mapInArrow(work, "anchor long").groupBy("anchor").count().where(F.col("count") >= HOT_LEAST) \
+        .orderBy(F.desc("count"), "anchor").limit(HOT_CAPACITY).collect()
     return np.sort(np.array([r["anchor"] for r in often], dtype=np.int64).view(np.uint64))
 
 
 def anchored(docs: DataFrame, length: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Every task's pieces by bucket, the first of equal ones; ranges that a later equal piece
-    covers have bucket -1."""
+    """Every task's pieces by bucket, the first of equal ones; the columns of RANGE that later
+    equal pieces cover have bucket -1."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -250,7 +257,7 @@ def anchored(docs: DataFrame, length: int, buckets: int, hot: np.ndarray) -> Dat
                 first, later = earliest(np.concatenate(found))
                 out = list(to_buckets(first, None, buckets))
                 if len(later):
-                    out.append((-1, later.tobytes(), b""))
+                    out.append((-1, np.stack(merged_ranges(later, length)).tobytes(), b""))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))],
                                                      names=["bucket", "records", "text"])
@@ -259,17 +266,20 @@ def anchored(docs: DataFrame, length: int, buckets: int, hot: np.ndarray) -> Dat
 
 
 def sorted_out(blobs: DataFrame, length: int) -> DataFrame:
-    """(settled, and RANGE, anchor, count): ranges of later equal pieces, which are settled, and
-    the pieces of anchors with several contents, whose strings are still to be compared."""
+    """(settled, and RANGE, anchor, count): merged ranges of later equal pieces, which are settled
+    (anchor and count 0), and the pieces of anchors with several contents, whose strings are still to be compared."""
 
     def work(table: pa.Table) -> pa.Table:
         first, later = earliest(np.concatenate([np.frombuffer(x, dtype=PIECE) for x in table["records"].to_pylist()]))
         _, at, n = np.unique(first["anchor"], return_inverse=True, return_counts=True)
         open_ = first[n[at] > 1]
-        columns = [np.concatenate(c) for c in zip(ranges(later, length), ranges(open_, length))]
-        both = np.concatenate((later, open_))
-        return pa.table([pa.array(np.arange(len(both)) < len(later)), *map(pa.array, columns), pa.array(both["anchor"].view(np.int64)),
-                         pa.array(both["count"].astype(np.int64))], names=["settled", "doc", "row", "start", "stop", "anchor", "count"])
+        gone = merged_ranges(later, length)
+        columns = [np.concatenate(c) for c in zip(gone, ranges(open_, length))]
+        none = np.zeros(len(gone[0]), dtype=np.int64)
+        return pa.table([pa.array(np.arange(len(columns[0])) < len(none)), *map(pa.array, columns),
+                         pa.array(np.concatenate((none, open_["anchor"].view(np.int64)))),
+                         pa.array(np.concatenate((none, open_["count"].astype(np.int64))))],
+                        names=["settled", "doc", "row", "start", "stop", "anchor", "count"])
 
     return blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(work, f"settled boolean, {RANGE}, anchor long, count long")
 
@@ -329,7 +339,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in ranges(np.frombuffer(x, dtype=PIECE), length)],
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(x, dtype=np.int64).reshape(4, -1)],
                                                  names=["doc", "row", "start", "stop"])
 
     local = blobs.where("bucket < 0").select("records").mapInArrow(unpack, RANGE)

@@ -81,6 +81,27 @@ def test_text_form_and_empty_table(docs_of):
     assert sd.without_repeats(docs_of([(1, "a")])).columns == ["doc_id", "text", "key", "row"]
 
 
+def test_a_copy_is_one_range_however_many_pieces_it_has(docs_of):
+    rng = random.Random(5)
+    copy = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(i, copy) for i in range(30)]
+    check(docs_of, rows, parts=2)
+    ranges = sd.repeated_ranges(docs_of(rows, 2).selectExpr("doc_id as doc", "xxhash64(text) as mark", "text"), 100)
+    # the first copy of the second task is compared with the first task's by bucket, piece by piece
+    assert ranges.where("start = 0 and stop = 3000").count() == 28 and ranges.count() < 28 + 3000
+
+
+def test_merged_ranges_cover_the_same_bytes():
+    rng = random.Random(2)
+    found = np.zeros(200, dtype=sd.PIECE)
+    for name, top in (("doc", 3), ("row", 2), ("start", 4000), ("count", 60)):
+        found[name] = [rng.randrange(1, top + 1) for _ in found]
+    covered = lambda columns: {(d, r, b) for d, r, s, e in zip(*(c.tolist() for c in columns)) for b in range(s, e)}
+    merged = sd.merged_ranges(found, 100)
+    assert covered(merged) == covered(sd.ranges(found, 100)) and len(merged[0]) < 200
+    assert len(sd.merged_ranges(found[:0], 100)[0]) == 0
+
+
 def test_merge_gives_sorted_suffixes_and_common_prefixes():
     rng = random.Random(1)
     blocks = ["".join(rng.choice("xy") for _ in range(25)) for _ in range(3)]

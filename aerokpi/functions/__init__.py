@@ -5,6 +5,7 @@ from aerokpi.functions.columns import (  # noqa: F401
     canon_code,
     channel_norm,
     device_norm,
+    has_booking_id,
     ratio,
     routing_key,
     segment_label,
@@ -20,5 +21,7 @@ from aerokpi.functions.money import (  # noqa: F401
     money_resum_times,
     money_sum,
     money_total,
+    parts_total,
     sum_value,
+    with_parts,
 )

@@ -32,6 +32,11 @@ def booking_id_norm(x) -> Column:
     return F.nullif(digits, F.lit(""))
 
 
+def has_booking_id(x) -> Column:
+    """Whether ``booking_id_norm`` gives an id: there is a digit."""
+    return _c(x).cast("string").rlike("[0-9]")
+
+
 def channel_norm(x, synonyms: dict | None = None) -> Column:
     """Trim, lower-case, then map channel synonyms; unknown values pass through."""
     syn = synonyms if synonyms is not None else CHANNEL_SYNONYMS

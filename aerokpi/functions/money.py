@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerokpi.params import MONEY_UNITS
@@ -69,35 +69,69 @@ class Amount(dict[str, Column]):
     w0 ... w6 of one row's amount, all null for a null amount."""
 
 
-def money_total(*cols, nulls_as_zero: bool = True) -> Amount:
-    """Row-wise exact total of money columns.
+def _part(c) -> tuple[Column, Column]:
+    """An amount on the common scale as a count of units, any other as it is; one of the two is
+    null, and both for what is no amount."""
+    x = _c(c)
+    units, on = _units(x)
+    return F.when(is_amount(x) & on, units.cast("bigint")), F.when(is_amount(x) & ~on, x)
 
-    With ``nulls_as_zero=False`` a null part makes the total null. What is no amount (NaN,
-    infinite, 2**160 or more) counts as null."""
+
+def _total(parts: list[tuple[Column, Column]], nulls_as_zero: bool) -> Amount:
     zero = F.lit(0).cast("bigint")
     add = lambda cs: reduce(lambda a, b: a + b, cs)
-    parts = [(F.when(is_amount(c), _c(c)), *_units(_c(c))) for c in cols]
-    units = add([F.when(x.isNotNull() & on, u.cast("bigint")).otherwise(zero) for x, u, on in parts])
-    off = add([F.when(x.isNotNull() & ~on, 1).otherwise(0).cast("bigint") for x, _, on in parts])
+    units = add([F.coalesce(u, zero) for u, _ in parts])
+    off = add([F.when(x.isNotNull(), 1).otherwise(0).cast("bigint") for _, x in parts])
     fields = {"h": F.shiftright(units, _LOW_BITS), "l": units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1)), "off": off}
     for i in range(WINDOWS):
-        fields[_w(i)] = F.when(off > 0, add([F.when(x.isNotNull() & ~on, _piece(x, i)).otherwise(zero) for x, _, on in parts]))
+        fields[_w(i)] = F.when(off > 0, add([F.coalesce(_piece(x, i), zero) for _, x in parts]))
     if not nulls_as_zero:
-        present = reduce(lambda a, b: a & b, [x.isNotNull() for x, _, _ in parts])
+        present = reduce(lambda a, b: a & b, [u.isNotNull() | x.isNotNull() for u, x in parts])
         fields = {k: F.when(present, v) for k, v in fields.items()}
     return Amount(fields)
 
 
+def money_total(*cols, nulls_as_zero: bool = True) -> Amount:
+    """Row-wise exact total of money columns.
+
+    With ``nulls_as_zero=False`` a null part makes the total null. What is no amount (NaN,
+    infinite, 2**160 or more) counts as null."""
+    return _total([_part(c) for c in cols], nulls_as_zero)
+
+
+_UNITS, _OFF = "_units_of_", "_off_scale_"
+
+
+def with_parts(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with two columns more for each of the money columns, which ``parts_total`` adds up:
+    several totals of a row then look at each of its amounts once."""
+    parts = {c: _part(c) for c in cols}
+    return df.select("*", *[u.alias(_UNITS + c) for c, (u, _) in parts.items()], *[x.alias(_OFF + c) for c, (_, x) in parts.items()])
+
+
+def parts_total(*cols: str, nulls_as_zero: bool = True) -> Amount:
+    """``money_total`` over ``with_parts``."""
+    return _total([(F.col(_UNITS + c), F.col(_OFF + c)) for c in cols], nulls_as_zero)
+
+
 def money(x) -> Amount:
     """One money column as an amount; null stays null."""
     return money_total(x, nulls_as_zero=False)
 
 
 def money_sum(amount: Amount) -> Column:
-    """SUM of an amount over rows, as a sum column; its fields are null if all amounts are."""
+    """SUM of an amount over rows, as a sum column; its fields are null if all amounts are.
+
+    Only longs are summed by row: a piece is split like the units, as sums of decimals read
+    and write every one of their buffers for every row."""
     units = _big(F.sum(amount["h"])) * _big(1 << _LOW_BITS) + _big(F.sum(amount["l"]))
+
+    def window(w: Column) -> Column:
+        high, low = F.shiftright(w, _LOW_BITS), w.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+        return (_big(F.sum(high)) * _big(1 << _LOW_BITS) + _big(F.sum(low))).cast(_EXACT)
+
     return F.struct(units.cast(_EXACT).alias("u"), F.sum(amount["off"]).alias("off"),
-                    *[F.sum(_big(amount[_w(i)])).alias(_w(i)) for i in range(WINDOWS)])
+                    *[window(amount[_w(i)]).alias(_w(i)) for i in range(WINDOWS)])
 
 
 def money_resum(total) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerokpi.functions import (
-    booking_id_norm, canon_code, money, money_resum, money_sum, money_total, ratio, sum_value, weekday_name,
+    canon_code, has_booking_id, money, money_resum, money_sum, parts_total, ratio, sum_value, weekday_name, with_parts,
 )
 from aerokpi.params import DEFAULT, KpiParams
 from aerokpi.sources.schema import ANCILLARY_COLS, REVENUE_COLS
@@ -32,15 +32,15 @@ LEG_KEYS = ["flightnumber", "flight_date", "origin", "destination"]
 
 
 def leg_base(booking: DataFrame) -> DataFrame:
-    return booking.groupBy(*LEG_KEYS).agg(
+    return with_parts(booking, *REVENUE_COLS).groupBy(*LEG_KEYS).agg(
         F.sum("passengercount").alias("pax_sum"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.count(booking_id_norm("bookingid_pnr")).alias("n_ids"),
+        F.count_if(has_booking_id("bookingid_pnr")).alias("n_ids"),
         F.count("cancellation_date").alias("cancels"),
-        money_sum(money_total(*REVENUE_COLS, nulls_as_zero=False)).alias("revenue_sql_u"),
-        money_sum(money_total(*REVENUE_COLS)).alias("revenue_all_u"),
-        money_sum(money_total(*ANCILLARY_COLS, nulls_as_zero=False)).alias("anc_sql_u"),
-        money_sum(money_total(*ANCILLARY_COLS)).alias("anc_all_u"),
+        money_sum(parts_total(*REVENUE_COLS, nulls_as_zero=False)).alias("revenue_sql_u"),
+        money_sum(parts_total(*REVENUE_COLS)).alias("revenue_all_u"),
+        money_sum(parts_total(*ANCILLARY_COLS, nulls_as_zero=False)).alias("anc_sql_u"),
+        money_sum(parts_total(*ANCILLARY_COLS)).alias("anc_all_u"),
     )
 
 

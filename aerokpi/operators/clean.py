@@ -12,9 +12,10 @@ from aerokpi.functions import (
     channel_norm,
     device_norm,
     amount_value,
-    money_total,
+    parts_total,
     weekday_name,
     whole_days,
+    with_parts,
 )
 from aerokpi.params import DEFAULT, ROUTING_DASH, KpiParams
 from aerokpi.sources.schema import ANCILLARY_COLS, REVENUE_COLS
@@ -25,19 +26,29 @@ def booking_clean(booking: DataFrame) -> DataFrame:
 
     Totals are summed exactly (in 1e-4 units) and converted once.
     """
-    dates = all(isinstance(booking.schema[c].dataType, T.DateType)
+    return _cleaned(_identified(booking), booking.columns)
+
+
+def _identified(booking: DataFrame) -> DataFrame:
+    return booking.select("*", booking_id_norm("bookingid_pnr").alias("bookingid_norm"))
+
+
+def _cleaned(identified: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The cleaned ``columns`` and derived ones of ``_identified`` bookings, and ``more`` as they are."""
+    dates = all(isinstance(identified.schema[c].dataType, T.DateType)
                 for c in ("reservation_date", "cancellation_date", "flight_date"))
-    return booking.select(
-        *[canon_code(c).alias(c) if c in ("origin", "destination") else F.col(c) for c in booking.columns],
-        booking_id_norm("bookingid_pnr").alias("bookingid_norm"),
-        amount_value(money_total(*REVENUE_COLS)).alias("total_revenue"),
+    return with_parts(identified, *REVENUE_COLS).select(
+        *[canon_code(c).alias(c) if c in ("origin", "destination") else F.col(c) for c in columns],
+        "bookingid_norm",
+        amount_value(parts_total(*REVENUE_COLS)).alias("total_revenue"),
         F.concat(canon_code("origin"), F.lit(ROUTING_DASH), canon_code("destination")).alias("routing_canonical"),
         F.col("cancellation_date").isNotNull().alias("is_cancelled"),
         weekday_name("flight_date").alias("flight_dow"),
         whole_days("cancellation_date", "reservation_date", dates).alias("days_after_booking_to_cancel"),
         whole_days("flight_date", "cancellation_date", dates).alias("days_before_flight_to_cancel"),
         whole_days("flight_date", "reservation_date", dates).alias("lead_time_days"),
-        amount_value(money_total(*ANCILLARY_COLS)).alias("ancillary_total"),
+        amount_value(parts_total(*ANCILLARY_COLS)).alias("ancillary_total"),
+        *more,
     )
 
 
@@ -79,5 +90,8 @@ def pnr_devices(passenger: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
 
 def booking_enriched(booking: DataFrame, passenger: DataFrame, params: KpiParams = DEFAULT) -> DataFrame:
     """R-3: cleaned bookings with the PNR's primary channel (left join; the
-    right side has one row per PNR, so no fan-out)."""
-    return booking_clean(booking).join(pnr_channel(passenger, params), "bookingid_norm", "left")
+    right side has one row per PNR, so no fan-out). Bookings are joined as
+    delivered and cleaned afterwards, so no derived column is shuffled."""
+    joined = _identified(booking).join(pnr_channel(passenger, params), "bookingid_norm", "left")
+    enriched = _cleaned(joined, booking.columns, "primary_channel")
+    return enriched.select("bookingid_norm", *[c for c in enriched.columns if c != "bookingid_norm"])

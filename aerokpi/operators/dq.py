@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerokpi.functions import booking_id_norm, canon_code, money_total, routing_key, amount_value
+from aerokpi.functions import amount_value, booking_id_norm, canon_code, parts_total, routing_key, with_parts
 from aerokpi.params import DEFAULT, DQ_CHECKS, ROUTING_DASH, SEGMENT_ARROW, KpiParams
 from aerokpi.sources.schema import REVENUE_COLS
 
@@ -41,11 +41,15 @@ def _false_if_null(c) -> F.Column:
 def dq_booking(booking: DataFrame) -> DataFrame:
     """Bookings as the checks see them: raw codes, money as DOUBLE, plus the
     normalised PNR, canonical routing and the zero-filled total revenue."""
-    return booking.select(
-        *booking.columns,
-        booking_id_norm("bookingid_pnr").alias("bookingid_norm"),
+    return _checked(booking.select(*booking.columns, booking_id_norm("bookingid_pnr").alias("bookingid_norm")))
+
+
+def _checked(identified: DataFrame) -> DataFrame:
+    """``dq_booking`` of bookings that have ``bookingid_norm`` as their last column."""
+    return with_parts(identified, *REVENUE_COLS).select(
+        *identified.columns,
         F.concat(canon_code("origin"), F.lit(ROUTING_DASH), canon_code("destination")).alias("routing_canonical"),
-        amount_value(money_total(*REVENUE_COLS)).alias("total_revenue"),
+        amount_value(parts_total(*REVENUE_COLS)).alias("total_revenue"),
     )
 
 
@@ -79,16 +83,20 @@ def booking_check(booking: DataFrame, name: str) -> DataFrame:
     return b.where(booking_flags(b)[name])
 
 
-def duplicate_legs_within_pnr(booking: DataFrame) -> DataFrame:
+def duplicate_legs_within_pnr(booking: DataFrame, stable=None) -> DataFrame:
     """DQ-13: every booking whose (PNR, flight, date, O, D) occurs more than
     once, nulls equal. Groups are counted with a partial aggregate, then the
     offending keys are semi-joined back null-safely: a hot key never has to
-    fit in one task's memory (AQE splits skewed semi-join partitions)."""
-    b = dq_booking(booking)
-    dups = b.groupBy(*DUP_KEYS).count().where(F.col("count") > 1).drop("count")
-    d = dups.select(*[F.col(k).alias(f"k_{k}") for k in DUP_KEYS])
-    cond = reduce(lambda x, y: x & y, [b[k].eqNullSafe(d[f"k_{k}"]) for k in DUP_KEYS])
-    return b.join(d, cond, "left_semi")
+    fit in one task's memory (AQE splits skewed semi-join partitions).
+
+    ``stable`` turns the offending keys into data (a written table), whose size
+    is known before the join is planned: bookings are shuffled only if the keys
+    are too many to be broadcast. Derived columns are computed after the join."""
+    d = duplicate_keys(booking)
+    d = (stable(d) if stable is not None else d).drop("is_duplicate", "n_bookings")
+    b = booking.select(*booking.columns, booking_id_norm("bookingid_pnr").alias("bookingid_norm"))
+    cond = reduce(lambda x, y: x & y, [b[k].eqNullSafe(d[f"dup_{k}"]) for k in DUP_KEYS])
+    return _checked(b.join(d, cond, "left_semi"))
 
 
 def _passenger_ids(passenger: DataFrame) -> DataFrame:
@@ -131,17 +139,18 @@ def leg_check(dq_leg_df: DataFrame, name: str, params: KpiParams = DEFAULT) -> D
 
 
 def dq_summary(booking: DataFrame, passenger: DataFrame, dq_leg_df: DataFrame,
-               params: KpiParams = DEFAULT) -> DataFrame:
+               params: KpiParams = DEFAULT, duplicates: DataFrame | None = None) -> DataFrame:
     """DQ-S: (check, count) for the fifteen checks, most offenders first,
     ties in check order. Four one-row aggregates (bookings, duplicate groups,
     PNRs, legs), each unpivoted to (check, count) rows and unioned: no
-    offender row reaches the driver."""
+    offender row reaches the driver. ``duplicates`` may be a written table of
+    ``duplicate_keys``."""
     b = dq_booking(booking)
     bf = booking_flags(b)
     row_counts = b.agg(*[F.count_if(bf[n]).alias(n) for n in BOOKING_CHECKS])
     dup = (
-        b.groupBy(*DUP_KEYS).count().where(F.col("count") > 1)
-        .agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("duplicate_legs_within_pnr"))
+        (duplicate_keys(booking) if duplicates is None else duplicates)
+        .agg(F.coalesce(F.sum("n_bookings"), F.lit(0)).cast("bigint").alias("duplicate_legs_within_pnr"))
     )
     per = passenger_per_pnr(passenger)
     pax = per.agg(*[
@@ -164,9 +173,10 @@ def dq_summary(booking: DataFrame, passenger: DataFrame, dq_leg_df: DataFrame,
 
 
 def duplicate_keys(booking: DataFrame) -> DataFrame:
-    """The (PNR, flight, date, O, D) that occur more than once, under names of their own."""
+    """The (PNR, flight, date, O, D) that occur more than once, under names of their own, and how
+    often they do."""
     dups = dq_booking(booking).groupBy(*DUP_KEYS).count().where(F.col("count") > 1)
-    return dups.select(*[F.col(k).alias(f"dup_{k}") for k in DUP_KEYS], F.lit(True).alias("is_duplicate"))
+    return dups.select(*[F.col(k).alias(f"dup_{k}") for k in DUP_KEYS], F.lit(True).alias("is_duplicate"), F.col("count").alias("n_bookings"))
 
 
 def _exploded(df: DataFrame, flags: dict[str, F.Column]) -> DataFrame:
@@ -184,7 +194,7 @@ def offenders(booking: DataFrame, duplicates: DataFrame, passenger: DataFrame, d
     an array and exploded. ``duplicates`` is a written table of ``duplicate_keys``."""
     b = dq_booking(booking)
     cond = reduce(lambda x, y: x & y, [b[k].eqNullSafe(duplicates[f"dup_{k}"]) for k in DUP_KEYS])
-    b = b.join(duplicates, cond, "left").drop(*[f"dup_{k}" for k in DUP_KEYS])
+    b = b.join(duplicates, cond, "left").drop(*[f"dup_{k}" for k in DUP_KEYS], "n_bookings")
     rows = _exploded(b, {**booking_flags(b), "duplicate_legs_within_pnr": F.col("is_duplicate")}).drop("is_duplicate")
     per = passenger_per_pnr(passenger).drop("n")
     several = {n: F.col(f"several_{n}") for n in PASSENGER_CHECKS}

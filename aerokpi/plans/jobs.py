@@ -85,7 +85,7 @@ def export_dq(w: Warehouse, out: str, fmt: str = "csv") -> None:
     dq_leg = marts.dq_leg(w.leg_base(), w.flight())
     duplicates = w.stable("duplicate_keys", dq.duplicate_keys(w.booking()))
     publish_folder(dq.offenders(w.booking(), duplicates, w.passenger(), dq_leg, w.params), f"{out}/offenders", "parquet", ("check",))
-    _write(dq.dq_summary(w.booking(), w.passenger(), dq_leg, w.params), f"{out}/dq_summary", fmt, small=True)
+    _write(dq.dq_summary(w.booking(), w.passenger(), dq_leg, w.params, duplicates), f"{out}/dq_summary", fmt, small=True)
     for name in DQ_CHECKS:
         if name in dq.BOOKING_CHECKS:
             df = dq.booking_check(w.booking(), name)
@@ -94,7 +94,7 @@ def export_dq(w: Warehouse, out: str, fmt: str = "csv") -> None:
         elif name in dq.LEG_CHECKS:
             df = dq.leg_check(dq_leg, name, w.params)
         else:
-            df = dq.duplicate_legs_within_pnr(w.booking())
+            df = dq.duplicate_legs_within_pnr(w.booking(), lambda _: duplicates)
         _write(df, f"{out}/{name}", fmt)
 
 

@@ -368,7 +368,7 @@ def _register_dq(name: str) -> None:
     elif name in dq.LEG_CHECKS:
         fn = lambda w: dq.leg_check(_dq_leg(w), name, w.params)
     else:
-        fn = lambda w: dq.duplicate_legs_within_pnr(w.booking())
+        fn = lambda w: dq.duplicate_legs_within_pnr(w.booking(), lambda d: w.stable("duplicate_keys", d))
     fn.__doc__ = f"DQ check {name}: offending rows."
     query(f"dq_{name}")(fn)
 
@@ -379,7 +379,7 @@ for _n in DQ_CHECKS:
 
 @query("dq_summary")
 def _dq_summary(w: Warehouse) -> DataFrame:
-    return dq.dq_summary(w.booking(), w.passenger(), _dq_leg(w), w.params)
+    return dq.dq_summary(w.booking(), w.passenger(), _dq_leg(w), w.params, w.stable("duplicate_keys", dq.duplicate_keys(w.booking())))
 
 
 # ---- insights -----------------------------------------------------------------------

@@ -220,3 +220,27 @@ def test_distributed_ntile_small_segments(spark, n_legs):
     got = sorted(r.q5 for r in marts.leg_yield_index(w.leg(), TESTDATA).collect())
     ref = sorted(r.q5 for r in marts.leg_yield_index_window(w.leg(), TESTDATA).collect())
     assert got == ref
+
+
+def test_duplicate_legs_are_found_from_a_written_key_table(spark):
+    """DQ-13 with written keys: the bookings aren't shuffled, and the summary takes its count from the keys."""
+    import inspect
+
+    from aerokpi.operators import clean, dq
+
+    assert "stable" in inspect.signature(dq.duplicate_legs_within_pnr).parameters
+    columns = "bookingid_pnr string, reservation_date date, cancellation_date date, flight_date date, origin string, destination string, routing string, flightnumber string, " \
+        "revenue_per_booking_ticket double, revenue_per_booking_ancilliary_pre_check_in double, revenue_per_booking_ancilliary_at_check_in double, passengercount long"
+    row = lambda pnr, flight: (pnr, None, None, None, "a ", "B", None, flight, 1.5, None, 2.0, 1)
+    b = spark.createDataFrame([row("P-1", "TX1"), row("x1", "TX1"), row("P-2", "TX1"), row(None, None), row("no", None), row("P-3", None)], columns)
+    plain = dq.duplicate_legs_within_pnr(b)
+    kept = dq.duplicate_legs_within_pnr(b, lambda d: d.localCheckpoint())
+    show = lambda df: sorted(map(str, df.collect()))
+    assert show(plain) == show(kept) and plain.count() == 4 and plain.columns == dq.dq_booking(b).columns
+    assert {r.total_revenue for r in kept.collect()} == {3.5}
+    p = spark.createDataFrame([("pnr 1", 1, "App", None)], "bookingid string, ordinal long, booking_channel string, device_used string")
+    enriched = clean.booking_enriched(b, p)
+    plan = enriched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ancillary_total") < plan.index("Join LeftOuter")  # derived above the join
+    assert enriched.columns == ["bookingid_norm", *[c for c in clean.booking_clean(b).columns if c != "bookingid_norm"], "primary_channel"]
+    assert [r.primary_channel for r in enriched.orderBy("bookingid_pnr").collect()].count("condor app") == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,42 +23,55 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
         .where(F.length("line") >= min_chars)
 
 
+def parts_of(full: Column) -> Column:
+    """Parts of a line of `full` characters."""
+    return F.greatest(F.lit(PARTS), F.ceil(full / PART_CHARS).cast("int"))
+
+
 def edge_of(full: Column, j: Column) -> Column:
     """Where part j of a line of `full` characters begins."""
-    parts = F.greatest(F.lit(PARTS), F.ceil(full / PART_CHARS).cast("int"))
-    return F.floor(full * j.cast("long") / parts).cast("int")
-
-
-def part_keys(line: Column, n: Column, is_long: bool) -> Column:
-    """For each part, the hash of everything around it; of a line as the longer (or equally
-    long) one of a pair, or as the one that is a character shorter. The parts are those of
-    the longer line, so both lines of a near pair have a key in common."""
-    full = n if is_long else n + 1
-
-    def around(j: Column) -> Column:
-        return F.struct(F.xxhash64(full, j, F.left(line, edge_of(full, j)), F.right(line, full - edge_of(full, j + 1))).alias("key"),
-                        j.alias("part"), F.lit(is_long).alias("is_long"))
-
-    few = F.array(*[around(F.lit(j)) for j in range(PARTS)])
-    many = F.transform(F.sequence(F.lit(0), F.ceil(full / PART_CHARS).cast("int") - 1), around)
-    return F.when(full <= PARTS * PART_CHARS, few).otherwise(many)
-
-
-def variants(line: Column, n: Column, part: Column, is_long: Column, key: Column) -> Column:
-    """Hashed keys of the line's variants within one edit of that part: for the longer line,
-    each deletion, once with its place (a substitution joins two equal deletions at the same
-    place) and once without (an insertion joins a deletion to the shorter line); for the
-    shorter line, the line itself."""
-    full = F.when(is_long, n).otherwise(n + 1)
-    start, end = edge_of(full, part), edge_of(full, part + 1)
-    inner = F.substring(line, start + 1, F.when(is_long, end - start).otherwise(end - start - 1))
-    without = lambda i: F.concat(F.left(inner, i - 1), F.substring(inner, i + 1, F.length(inner)))
-    places = F.sequence(F.lit(1), end - start)
-    deletions = F.concat(
-        F.transform(places, lambda i: F.struct(F.xxhash64(key, i, without(i)).alias("variant"), F.lit("same").alias("role"))),
-        F.transform(F.array_distinct(F.transform(places, lambda i: F.xxhash64(key, F.lit(0), without(i)))),  # distinct over plain longs
-                    lambda h: F.struct(h.alias("variant"), F.lit("long").alias("role"))))
-    return F.when(is_long, deletions).otherwise(F.array(F.struct(F.xxhash64(key, F.lit(0), inner).alias("variant"), F.lit("short").alias("role"))))
+    return F.floor(full * j.cast("long") / parts_of(full)).cast("int")
+
+
+def part_keys(line: Column, n: Column) -> Column:
+    """For each part, the hash of everything around it: first of a line as the longer (or
+    equally long) one of a pair, then as the one that is a character shorter. The parts are
+    those of the longer line, so both lines of a near pair have a key in common.
+
+    Lambda functions are interpreted for every row, so lines with PARTS parts go without."""
+    def around(full: Column) -> Callable[[Column], Column]:
+        return lambda j: F.xxhash64(full, j, F.left(line, edge_of(full, j)), F.right(line, full - edge_of(full, j + 1)))
+
+    few = F.array(*[around(full)(F.lit(j)) for full in (n, n + 1) for j in range(PARTS)])
+    many = F.concat(*[F.transform(F.sequence(F.lit(0), parts_of(full) - 1), around(full)) for full in (n, n + 1)])
+    return F.when(n < PARTS * PART_CHARS, few).otherwise(many)
+
+
+def keyed_parts(classes: DataFrame) -> DataFrame:
+    """`classes` (with `n` and `keys` of `part_keys`) by key: key, part and is_long instead of `keys`."""
+    longer = parts_of(F.col("n"))
+    return classes.select("*", F.posexplode("keys").alias("place", "key")).withColumn("is_long", F.col("place") < longer) \
+        .withColumn("part", F.col("place") - F.when(F.col("is_long"), 0).otherwise(longer)).drop("keys", "place")
+
+
+def variants(able: DataFrame) -> DataFrame:
+    """(h, h2, first, variant, role): hashed keys of the variants of `line` within one edit of
+    its `part`, for the longer line of a pair each deletion: with its place where `alike` (a
+    substitution joins two equal deletions at the same place) and without where `longer` (an
+    insertion joins a deletion to the shorter line); for the shorter line, the line itself.
+    Deletions from a run of one character are equal, so the last of the run stands for it."""
+    full = F.when(F.col("is_long"), F.col("n")).otherwise(F.col("n") + 1)
+    start, end = edge_of(full, F.col("part")), edge_of(full, F.col("part") + 1)
+    rows = able.select("h", "h2", "first", "key", "alike", "longer", "is_long",
+                       F.substring("line", start + 1, F.when(F.col("is_long"), end - start).otherwise(end - start - 1)).alias("inner"))
+    i, inner = F.col("i"), F.col("inner")
+    without = F.concat(F.left(inner, i - 1), F.substring(inner, i + 1, F.length(inner)))
+    deleted = rows.where("is_long").withColumn("i", F.explode(F.sequence(F.lit(1), F.length("inner"))))
+    same = deleted.where("alike").select("h", "h2", "first", F.xxhash64("key", i, without).alias("variant"), F.lit("same").alias("role"))
+    ends_run = (i == F.length(inner)) | (F.substring(inner, i, F.lit(1)) != F.substring(inner, i + 1, F.lit(1)))
+    long = deleted.where(F.col("longer") & ends_run).select("h", "h2", "first", F.xxhash64("key", F.lit(0), without).alias("variant"), F.lit("long").alias("role"))
+    short = rows.where("NOT is_long").select("h", "h2", "first", F.xxhash64("key", F.lit(0), inner).alias("variant"), F.lit("short").alias("role"))
+    return same.unionByName(long).unionByName(short)
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -74,9 +89,10 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(F.greatest(n, m) <= PARTS * PART_CHARS, F.levenshtein(a, b, 1) >= 0).otherwise(apart)
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The keys of several rows, counted where the rows lie before they are shuffled."""
-    return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+def shared_keys(keyed: DataFrame, *more: Column) -> DataFrame:
+    """The keys of several rows with their number `n` and other aggregates, counted where the
+    rows lie before they are shuffled."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), *more).where("n > 1")
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
@@ -99,29 +115,26 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id")).alias("doc"), F.col(text_col).alias("text"))
-    n = F.length("line")
-    keys = F.concat(part_keys(F.col("line"), n, True), part_keys(F.col("line"), n, False))
-    lines = lines_of(plain, min_chars if equal_from is None else min(equal_from, min_chars)).select(
-        F.struct("doc", "line_no").alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), n.alias("n"),
-        F.when(n >= min_chars, keys).alias("keys"))
+    n = F.col("n")
+    lines = lines_of(plain, min_chars if equal_from is None else min(equal_from, min_chars)).withColumn("n", F.length("line")).select(
+        F.struct("doc", "line_no").alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "n",
+        F.when(n >= min_chars, part_keys(F.col("line"), n)).alias("keys"))
     instances = written(lines.select("at", "h", "h2"), "lines")
     classes = written(lines.groupBy("h", "h2").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
 
     # only what finds the lines again is shuffled by key and to the documents
-    keyed = classes.select("h", F.col("first.doc.no").alias("no"), F.col("first.doc.id").alias("id"), F.col("first.line_no").alias("line_no"),
-                           F.explode("keys").alias("k")).select("h", "no", "id", "line_no", "k.*")
-    shared = written(shared_keys(keyed), "shared-keys")
-    able = keyed.join(shared, "key", "left_semi")
-    asked = able.groupBy("no", "id").agg(F.collect_list(F.struct("h", "line_no", "key", "part", "is_long")).alias("asked"))
+    keyed = keyed_parts(classes.select("h", F.col("first.doc.no").alias("no"), F.col("first.doc.id").alias("id"), F.col("first.line_no").alias("line_no"), "n", "keys")).drop("n")
+    longs = shared_keys(keyed, F.count_if("is_long").alias("longs")).where("longs > 0")  # shorter lines alone have no partner under the key
+    shared = written(longs.select("key", (F.col("longs") > 1).alias("alike"), (F.col("n") > F.col("longs")).alias("longer")), "shared-keys")
+    able = keyed.join(shared, "key")
+    asked = able.groupBy("no", "id").agg(F.collect_list(F.struct("h", "line_no", "key", "part", "is_long", "alike", "longer")).alias("asked"))
     fetched = plain.select("doc", "text").join(asked, F.col("doc").eqNullSafe(F.struct("no", "id"))) \
         .withColumn("lines", F.split("text", "\n", -1)).select("doc", "lines", F.explode("asked").alias("a")) \
-        .select(F.struct("doc", F.col("a.line_no").alias("line_no")).alias("first"), "a.h", "a.key", "a.part", "a.is_long",
+        .select(F.struct("doc", F.col("a.line_no").alias("line_no")).alias("first"), "a.h", "a.key", "a.part", "a.is_long", "a.alike", "a.longer",
                 F.get("lines", F.col("a.line_no")).alias("line")) \
         .where(F.xxhash64("line") == F.col("h")).withColumn("h2", F.xxhash64(F.lit(1), "line")).withColumn("n", F.length("line"))
     able_lines = written(fetched, "able")
-    emitted = able_lines.select("h", "h2", "first", F.explode(variants(
-        F.col("line"), F.col("n"), F.col("part"), F.col("is_long"), F.col("key"))).alias("v")).select("h", "h2", "first", "v.*")
-    variants_ = written(emitted, "variants")
+    variants_ = written(variants(able_lines), "variants")
     earliest = written(variants_.groupBy("variant").agg(
         *[F.min(F.when(F.col("role") == r, F.struct("first", "h", "h2"))).alias(r) for r in ("same", "long", "short")], F.count("*").alias("n"))
         .where("n > 1").drop("n"), "earliest")

@@ -119,3 +119,39 @@ def test_shared_keys_are_counted_before_the_shuffle(spark):
     plan = shared._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "Window" not in plan
     assert sorted(r.key for r in shared.collect()) == [3, 7]
+
+
+def test_only_keys_and_variants_that_may_join_are_emitted(docs_of, monkeypatch):
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = df.localCheckpoint()
+        return tables[name]
+
+    monkeypatch.setattr(line_dedup, "written", kept)
+    monkeypatch.setattr(line_dedup, "discard", lambda *_: None)
+    line = "a line of forty characters for this testa"
+    got = {r.doc_id: r.keep_id for r in line_dedup.line_decisions(docs_of([(1, line), (2, line[:-2] + "zz"), (3, "own " + line[::-1])])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3}
+    # two equally long lines agree before their last half: no variants as the shorter line, none that meet a shorter line
+    assert {(r.alike, r.longer) for r in tables["shared-keys"].collect()} == {(True, False)}
+    assert {r.role for r in tables["variants"].select("role").distinct().collect()} == {"same"}
+
+
+def test_variants_of_runs_are_emitted_once(spark):
+    able = spark.createDataFrame([(1, 2, 0, 7, True, True, True, 0, 40, "a" * 20 + "b" * 20), (3, 4, 1, 7, True, True, False, 0, 39, "a" * 19 + "b" * 20)],
+                                 "h long, h2 long, first int, key long, alike boolean, longer boolean, is_long boolean, part int, n int, line string")
+    rows = line_dedup.variants(able).collect()
+    assert sorted(r.role for r in rows) == ["long"] + ["same"] * 20 + ["short"]
+    assert len({r.variant for r in rows if r.role != "same"}) == 1
+
+
+def test_lines_where_the_number_of_parts_changes(docs_of):
+    rng = random.Random(4)
+    rows = []
+    for i, n in enumerate([20, 21, 1022, 1023, 1024, 1025, 1536, 1537]):
+        base = "".join(rng.choice("abcdé ") for _ in range(n))
+        at = rng.randrange(n)
+        rows += [(10 * i, base), (10 * i + 1, base[:at] + base[at + 1 :]), (10 * i + 2, base[:at] + "#" + base[at:]), (10 * i + 3, base[:at] + "##" + base[at + 2 :])]
+    got = {(r.doc_id, r.line_no): (r.keep_id, r.keep_line) for r in line_dedup.line_decisions(docs_of(rows)).collect()}
+    assert got == brute.lines(rows, line_dedup.MIN_CHARS)

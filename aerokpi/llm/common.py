@@ -30,10 +30,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, lineage cut."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+#: Deletes a query's shuffle files when it ends; otherwise they lie until the driver collects garbage.
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, lineage cut. `tidy` deletes the
+    shuffle files of the write as soon as the table is there."""
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_FILE_CLEANUP, "false")
+    if tidy:
+        conf.set(_FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            conf.set(_FILE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerokpi.llm.common import discard, written
+from aerokpi.llm import common
+from aerokpi.llm.common import discard
 from aerokpi.llm.components import components
 from aerokpi.llm.hashing import buffers, by_bytes, mix, shingle_hashes, word_hashes
 
@@ -41,6 +42,11 @@ _TERMS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 _NO_WORDS = np.uint16(0xFFFF)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table without its shuffle files, which would add up to more than the texts."""
+    return common.written(df, name, tidy=True)
+
+
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes and their row numbers, ascending by row and hash."""
     data, offsets = buffers(texts)
@@ -75,10 +81,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(none, 0.0, same)
 
 
-def as_hex(prints: np.ndarray) -> pa.Array:
-    text = prints.astype(">u2").tobytes().hex()
-    size = DIGITS * prints.shape[1]
-    return pa.array([text[i : i + size] for i in range(0, len(text), size)], pa.string())
+def as_bytes(prints: np.ndarray) -> pa.Array:
+    """The places as big-endian bytes: half as long as their hexadecimal digits."""
+    data, size = prints.astype(">u2").tobytes(), 2 * prints.shape[1]
+    return pa.array([data[i : i + size] for i in range(0, len(data), size)], pa.binary())
 
 
 def set_keys(h: np.ndarray, r: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,11 +119,13 @@ def compared(texts: list[str], prints: np.ndarray, following: list[str], next_pr
     edited = [edited_text(t, f) for t, f in zip(texts, following)]
     h, r = shingles(pa.array(edited, pa.large_string()), width)
     changed = minima(h, r, len(edited))
-    return [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), as_hex(changed),
+    return [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), as_bytes(changed),
             pa.array(likeness(prints, changed)), pa.array(likeness(prints, next_prints))]
 
 
-_COMPARED = "edited_sha256 string, edited_fingerprint string, near_edited double, near_next double"
+#: Columns of hexadecimal digits in results, of bytes in tables and shuffles.
+_PRINTS = ("fingerprint", "edited_fingerprint")
+_COMPARED = "edited_sha256 string, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -135,7 +143,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per document, written: id, n_chars, edited_sha256, fingerprint,
+    """One row per document, its texts read once: id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, key, key2, n_shingles.
 
     A fingerprint holds, for BANDS * ROWS random permutations of 64-bit shingle hashes, 16
@@ -156,7 +164,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranged = plain.repartitionByRange(*by).sortWithinPartitions(*by).select("id", "packed", F.spark_partition_id().alias("part"))
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", T.IntegerType()), T.StructField("n_chars", T.LongType()),
-        T.StructField("fingerprint", T.StringType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()),
+        T.StructField("fingerprint", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()),
         T.StructField("n_shingles", T.LongType()), *T.StructType.fromDDL(_COMPARED).fields,
         T.StructField("head_text", T.StringType()), T.StructField("open_text", T.StringType())])
 
@@ -171,7 +179,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pick = lambda name: np.array([getattr(s, name)[i] for s, i in signed])
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, arrow.field("id").type), pa.array([part] * n, pa.int32()), pa.array([len(t) for t in texts], pa.int64()),
-                as_hex(pick("prints")), pa.array(pick("key").view(np.int64)), pa.array(pick("key2").view(np.int64)), pa.array(pick("n"), pa.int64()), *more,
+                as_bytes(pick("prints")), pa.array(pick("key").view(np.int64)), pa.array(pick("key2").view(np.int64)), pa.array(pick("n"), pa.int64()), *more,
                 pa.array([t if head and i == 0 else None for i, t in enumerate(texts)], pa.string()),
                 pa.array([t if open_ else None for t in texts], pa.string())], schema=arrow)
 
@@ -208,18 +216,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(closed_schema)
-        from_hex = lambda column: np.array([np.frombuffer(bytes.fromhex(x), ">u2") for x in column.to_pylist()], dtype=np.uint16)
+        from_bytes = lambda column: np.array([np.frombuffer(x, ">u2") for x in column.to_pylist()], dtype=np.uint16)
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                mine = one.column("open_text").to_pylist(), from_hex(one.column("fingerprint"))
-                more = compared(*mine, one.column("head_text").to_pylist(), from_hex(one.column("head_print")), width)
+                mine = one.column("open_text").to_pylist(), from_bytes(one.column("fingerprint"))
+                more = compared(*mine, one.column("head_text").to_pylist(), from_bytes(one.column("head_print")), width)
                 yield pa.RecordBatch.from_arrays([one.column(c) for c in left] + more, schema=arrow)
 
     closed = opened.select(*left, "open_text", "head_text", "head_print").mapInArrow(close, closed_schema)
-    out = written(made.where("open_text IS NULL").select(*rest).unionByName(closed.select(*rest)), "fingerprints")
-    discard(spark, made)
-    return out.withColumnRenamed("id", id_col)
+    # the many finished rows are read where they lie, not written again
+    out = made.where("open_text IS NULL").select(*rest).unionByName(written(closed.select(*rest), "closed"))
+    return out.select(*[F.lower(F.hex(c)).alias(c) if c in _PRINTS else c for c in rest]).withColumnRenamed("id", id_col)
 
 
 def marked_bits(positions: DataFrame) -> np.ndarray:
@@ -278,7 +286,7 @@ def band_members(classes: DataFrame) -> DataFrame:
     """(band, x, n, centre): the classes of every band that several of them share; bands of the
     same members are one. `centre`, the members of all of a class's bands, is largest for
     the text that the others were copied from."""
-    size = DIGITS * ROWS
+    size = DIGITS * ROWS // 2  # bytes
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * size + 1, size)) for b in range(BANDS)])
     entries = classes.select(F.col("key").alias("x"), "n", F.explode(bands).alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("members"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("content")).where("members > 1")
@@ -345,9 +353,11 @@ def near_copies_by_bands(docs: DataFrame, prints: DataFrame, id_col: str = "doc_
     whose fingerprint shares no band, are their own. A null id is linked like others but
     comes after all ids. Sets are told apart by 128 bits, their links by 64."""
     spark = docs.sparkSession
-    classes = written(prints.where("n_shingles > 0").groupBy("key", "key2").agg(
-        F.min(id_col).alias("rep"), F.first("n_shingles").alias("n"), F.first("fingerprint").alias("fingerprint")), "classes")
-    members = band_members(classes)
+    signed = written(prints.where("n_shingles > 0").groupBy("key", "key2").agg(
+        F.min(id_col).alias("rep"), F.first("n_shingles").alias("n"), F.first(F.unhex("fingerprint")).alias("fingerprint")), "signed")
+    members = band_members(signed)
+    classes = written(signed.select("key", "key2", "rep"), "classes")
+    discard(spark, signed)
     able = written(classes.join(members.select(F.col("x").alias("key")).distinct(), "key", "left_semi").select(
         F.col("key").alias("k"), F.col("key2").alias("k2"), "rep"), "able")
     sets = sets_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), able, width)
@@ -362,5 +372,6 @@ def near_copies_by_bands(docs: DataFrame, prints: DataFrame, id_col: str = "doc_
     # equal sets without links of others share the class's smallest id
     own = classes.select(F.col("key").alias("c_key"), F.col("key2").alias("c_key2"), "rep").join(found, F.col("c_key") == F.col("near_key"), "left").select(
         "c_key", "c_key2", F.coalesce("near_id", "rep").alias("near_id"))
-    return prints.join(own, (F.col("key") == F.col("c_key")) & (F.col("key2") == F.col("c_key2")), "left").select(
-        *prints.columns, F.coalesce("near_id", id_col).alias("near_id"))
+    short = prints.select(*[F.unhex(c).alias(c) if c in _PRINTS else c for c in prints.columns])
+    return short.join(own, (F.col("key") == F.col("c_key")) & (F.col("key2") == F.col("c_key2")), "left").select(
+        *[F.lower(F.hex(c)).alias(c) if c in _PRINTS else c for c in prints.columns], F.coalesce("near_id", id_col).alias("near_id"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from aerokpi.llm import common
+from aerokpi.llm import fingerprints as module
 from aerokpi.llm.fingerprints import BANDS, DIGITS, ROWS, fingerprints, near_copies_by_bands
 from tests.llm import brute
 
@@ -80,3 +84,34 @@ def test_one_document_and_none(spark, docs_of):
     assert near_copies_by_bands(none, fingerprints(none)).collect() == []
     same = docs_of([(None, "a b c d e f")] * 3 + [(2, None)])
     assert sorted(str(r.near_id) for r in near_copies_by_bands(same, fingerprints(same)).collect()) == ["2", "None", "None", "None"]
+
+
+def test_prints_are_written_once_and_as_bytes(spark, docs_of, monkeypatch):
+    tables = []
+
+    def recorded(df, name):
+        out = common.written(df, name)
+        tables.append((out.count(), {f.name: f.dataType.simpleString() for f in out.schema.fields}))
+        return out
+
+    monkeypatch.setattr(module, "written", recorded)
+    rng = random.Random(11)
+    out = fingerprints(docs_of([(i, prose(rng, 30)) for i in range(200)], 4))
+    prints = [(n, kinds) for n, kinds in tables if "edited_fingerprint" in kinds]
+    assert out.count() == 200 and sum(n for n, _ in prints) < 300  # all rows, and the last of each range again
+    assert {kinds[c] for _, kinds in prints for c in ("fingerprint", "edited_fingerprint")} == {"binary"}
+    assert all(len(r.fingerprint) == len(r.edited_fingerprint) == BANDS * ROWS * DIGITS and r.fingerprint == r.fingerprint.lower() for r in out.collect())
+
+
+def test_tidy_tables_leave_no_shuffle_files(spark, docs_of):
+    docs_of([])  # ships the package
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    setting = spark.conf.get(common._FILE_CLEANUP)
+    before = files()
+    out = common.written(spark.range(20000).groupBy(F.xxhash64("id").alias("h")).count(), "tidy", tidy=True)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 20000 and spark.conf.get(common._FILE_CLEANUP) == setting

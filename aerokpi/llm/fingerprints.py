@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,8 @@ GROWTH = 16
 #: Bits of the bitmap that thins out texts before they are shuffled for verification: 16 MB in
 #: the driver and in every worker, at every size of the input.
 FILTER_BITS = 1 << 27
+#: 64-bit words of a set's sketch: what one sketch has and another lacks bounds their overlap.
+SKETCH_WORDS = 16
 #: Bytes of text handled at once, unless one text is larger: the arrays stay in the cache.
 CHUNK_BYTES = 1 << 19
 
@@ -98,6 +102,26 @@ def set_keys(h: np.ndarray, r: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.
     return keys[0], keys[1], n
 
 
+def sketches(h: np.ndarray, r: np.ndarray, n_rows: int) -> list[pa.Array]:
+    """SKETCH_WORDS columns of 64 bits that hold each row's set, a shingle's hash setting one bit,
+    and the number of its shingles beyond the bits set."""
+    size = 64 * SKETCH_WORDS
+    bits = np.zeros((n_rows, size), dtype=np.uint8)
+    bits[r, (h % np.uint64(size)).astype(np.int64)] = 1
+    words, spare = np.packbits(bits, axis=1).view(np.int64), np.bincount(r, minlength=n_rows) - bits.sum(axis=1, dtype=np.int64)
+    return [*[pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH_WORDS)], pa.array(spare, pa.int64())]
+
+
+_SKETCH = [*[f"s{i}" for i in range(SKETCH_WORDS)], "spare"]
+
+
+def most_shared(a: str, b: str) -> Column:
+    """No two sets whose sketches have these prefixes share more shingles: a bit that only one of
+    them has set stands for a shingle that the other lacks."""
+    both = reduce(add, [F.bit_count(F.col(a + c).bitwiseAND(F.col(b + c))) for c in _SKETCH[:-1]])
+    return both + F.least(a + "spare", b + "spare")
+
+
 class Signed:
     """Texts of some rows with their fingerprints, set keys and sizes."""
 
@@ -242,7 +266,7 @@ def marked_bits(positions: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, able: DataFrame, width: int) -> DataFrame:
-    """(key, key2, n, items), written, of the classes `able` (k, k2, rep), read from the text
+    """(key, key2, n, items and the columns of `sketches`), written, of the classes `able` (k, k2, rep), read from the text
     of each class's representative in `docs` (id, text).
 
     A bitmap of FILTER_BITS bits, whatever the number of classes, tells tasks which texts
@@ -273,13 +297,14 @@ def sets_of(docs: DataFrame, able: DataFrame, width: int) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(n, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], names=["key", "key2", "n", "items"])
+                     pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64))), *sketches(h, r, b - a)],
+                    names=["key", "key2", "n", "items", *_SKETCH])
 
     some = docs.select(F.xxhash64("id").alias("owner"), "text").mapInArrow(wanted, "key long, key2 long, owner long, text string")
     owners = able.select(F.col("k").alias("key"), F.col("k2").alias("key2"), F.xxhash64("rep").alias("owner"))
     keys = ["key", "key2", "owner"]
     texts = some.join(owners, keys, "left_semi").dropDuplicates(keys).select("text")
-    return written(texts.mapInArrow(sets, "key long, key2 long, n long, items array<long>"), "sets")
+    return written(texts.mapInArrow(sets, "key long, key2 long, n long, items array<long>" + "".join(f", {c} long" for c in _SKETCH)), "sets")
 
 
 def band_members(classes: DataFrame) -> DataFrame:
@@ -305,13 +330,14 @@ def verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     In rounds, every band elects pivots (one, then GROWTH times as many: the best of each
     salted part, those outside the band's larger components first, then the most central,
     which the bands of a cluster share) and compares them
-    exactly with its other members, unless they are connected already or their sizes rule a
-    link out. A band ends when all members that were no pivots are connected, so a group of
+    exactly with its other members, unless they are connected already or their sizes or
+    sketches rule a link out. A band ends when all members that were no pivots are connected, so a group of
     copies takes one round and no pairs are formed within it."""
     spark = members.sparkSession
     near = lambda both, n, m: both * 100 >= (n + m - both) * percent
     left = sets.select(F.col("key").alias("x"), F.col("items").alias("x_items"))
     right = sets.select(F.col("key").alias("p"), F.col("items").alias("p_items"))
+    sketch = lambda key, to: sets.select(F.col("key").alias(key), *[F.col(c).alias(f"{to}_{c}") for c in _SKETCH])
     active = written(members.withColumn("label", F.col("x")), "active")
     links: DataFrame | None = None
     pivots = 1
@@ -323,8 +349,9 @@ def verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
         salt = F.pmod(F.xxhash64("x", F.lit(pivots)), F.lit(pivots)).alias("salt")
         elected = written(sized.groupBy("band", salt).agg(F.min(F.struct("size", (-F.col("centre")).alias("far"), F.xxhash64("x").alias("by"), "x", "n", "label")).alias("e")).select(
             "band", F.col("e.x").alias("p"), F.col("e.n").alias("m"), F.col("e.label").alias("p_label")), "pivots")
-        pairs = active.join(elected, "band").where(
-            (F.col("x") != F.col("p")) & (F.col("label") != F.col("p_label")) & near(F.least("n", "m"), F.col("n"), F.col("m")))
+        n, m = F.col("n"), F.col("m")
+        pairs = active.join(sketch("x", "x"), "x").join(elected.join(sketch("p", "p"), "p"), "band").where(
+            (F.col("x") != F.col("p")) & (F.col("label") != F.col("p_label")) & near(F.least(n, m), n, m) & near(most_shared("x_", "p_"), n, m))
         measured = pairs.select("x", "p", "n", "m").distinct().join(left, "x").join(right, "p").select(
             F.col("x").alias("a"), F.col("p").alias("b"), "n", "m", F.size(F.array_intersect("x_items", "p_items")).alias("both"))
         found = measured.where(near(F.col("both"), F.col("n"), F.col("m"))).select("a", "b")

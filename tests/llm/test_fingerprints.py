@@ -115,3 +115,17 @@ def test_tidy_tables_leave_no_shuffle_files(spark, docs_of):
             break
         time.sleep(0.1)
     assert not files() - before and out.count() == 20000 and spark.conf.get(common._FILE_CLEANUP) == setting
+
+
+def test_sketches_bound_what_sets_share(spark):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in (1, 40, 300, 300, 5000)]
+    sets += [np.unique(np.concatenate((sets[2][:k], sets[3][k:]))) for k in (0, 60, 150, 290, 300)]
+    h, r = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    columns = [c.to_pylist() for c in module.sketches(h, r, len(sets))]
+    rows = [(i, *[c[i] for c in columns]) for i in range(len(sets))]
+    left, right = (spark.createDataFrame([tuple(x) for x in rows], ", ".join(f"{p}_{c} long" for c in ["id", *module._SKETCH])) for p in "ab")
+    bounds = {(x.a_id, x.b_id): x.most for x in left.crossJoin(right).select("a_id", "b_id", module.most_shared("a_", "b_").alias("most")).collect()}
+    for (i, j), most in bounds.items():
+        assert len(np.intersect1d(sets[i], sets[j])) <= most <= min(len(sets[i]), len(sets[j]))
+    assert bounds[2, 3] < 150  # 300 shingles each, none in common: no pair of similarity 0.8
